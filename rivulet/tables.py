@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +47,9 @@ class Work:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/rivulet-{name}-{uuid.uuid4().hex}"
-        self.made: dict[int, str] = {}
         self.count = 0
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -55,7 +57,6 @@ class Work:
         path = f"{self.root}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.made[id(back)] = path
         back._rivulet_path = path
         return back
 
@@ -92,3 +93,17 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: once a Spark context, as a zip file."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rivulet_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="rivulet-code-")) / "rivulet_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, str(p.relative_to(here.parent)))
+    sc.addPyFile(str(target))
+    sc._rivulet_shipped = True
