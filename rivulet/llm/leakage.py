@@ -31,7 +31,7 @@ PIECE = {"words": 12, "han": 20}
 SENT = 500_000
 
 _WORD = re.compile(r"[^\W_]+")
-_HAN = re.compile("[㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]+")
+_HAN = re.compile("[㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]+")
 
 
 def words(text: str) -> list[str]:
