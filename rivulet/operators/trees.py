@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.text import insert_norm, present
-from rivulet.tables import Work, hot_keys, skew_join, union_all
+from rivulet.tables import HOT_PARTS, Work, hot_keys, skew_join, union_all
 
 #: One node in so many is a splitter, on average.
-SPLIT = 4
+SPLIT = 2
 #: Links walked in one job.
 HOPS = 4
 
@@ -35,11 +35,22 @@ def links(hierarchy: DataFrame) -> DataFrame:
     return d.filter(present("child") & present("parent") & (F.col("child") != F.col("parent"))).distinct()
 
 
-def _hot(rows: DataFrame, key: str, total: int) -> DataFrame:
+def _hot(rows: DataFrame, key: str, total: int) -> list:
     return hot_keys(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "n", total)
 
 
-def _walk(work: Work, up: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _higher(step: DataFrame, hot: list) -> list:
+    """Hot nodes and those that come next after them: what many walk through now, they walk through in the next hops too."""
+    every, last = set(hot), hot
+    for _ in range(HOPS - 1):
+        if not last or len(every) > HOPS * HOT_PARTS:
+            break
+        last = [r[0] for r in step.filter(F.col("at").isin(last)).select("next").limit(HOT_PARTS).collect()]
+        every |= set(last)
+    return sorted(every)
+
+
+def _walk(work: Work, up: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """Walk every node to its next splitter.
 
     Returns (node, at, d) for every node passed, splitters included, with the
@@ -49,31 +60,30 @@ def _walk(work: Work, up: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     step = up.select(F.col("child").alias("at"), F.col("parent").alias("next"))
     seen = [up.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.lit(1).alias("d"))]
-    fan = _hot(seen[0], "at", up.count())
+    fan = _hot(seen[0], "at", total)
     open_end = ~is_splitter(F.col("at"))
     front = mine = seen[0].filter(open_end)
-    reached = 1
-    while True:
-        hot = higher = _hot(front, "at", max(front.count(), 1))
-        if not hot.isEmpty():  # what many walk through now, they walk through in the next hops' nodes too
-            for _ in range(HOPS - 1):
-                higher = step.join(F.broadcast(higher), "at", "left_semi").select(F.col("next").alias("at"))
-                hot = hot.unionByName(higher)
-        hot = hot.unionByName(fan)
-        layers, cur = [], front
-        for _ in range(HOPS):
-            cur = skew_join(cur.filter(open_end), step, "at", hot, "inner", "node").select("node", F.col("next").alias("at"), (F.col("d") + 1).alias("d"))
-            layers.append(cur)
-        new = union_all(layers).groupBy("node", "at").agg(F.min("d").alias("d"))
-        new = work.put(new.join(mine.select("node", "at"), ["node", "at"], "left_anti"))
-        if new.isEmpty():
+    reached, size, older = 1, total, None
+    while size:
+        hot = sorted({*_higher(step, _hot(front, "at", size)), *fan})
+        cur = front.select("node", "at", F.col("at").alias("h0"))
+        for i in range(1, HOPS + 1):
+            cur = cur.withColumn("at", F.when(~is_splitter(F.col("at")), F.col("at")))
+            cur = skew_join(cur, step, "at", hot, "left", "node").drop("at").withColumn(f"h{i}", F.col("next")).withColumnRenamed("next", "at")
+        hops = F.array(*[F.struct(F.col(f"h{i}").alias("at"), F.lit(reached + i).alias("d")) for i in range(1, HOPS + 1)])
+        new = cur.select("node", F.explode(F.filter(hops, lambda x: x["at"].isNotNull())).alias("e")).select("node", "e.at", "e.d")
+        new = new.groupBy("node", "at").agg(F.min("d").alias("d")).join(mine.select("node", "at"), ["node", "at"], "left_anti")
+        new = work.put(new)
+        if not new.count():
             break
         seen.append(new)
         reached += HOPS
         front = new.filter(open_end & (F.col("d") == reached))
-        walking = front.select("node").distinct()
-        older, mine = mine, work.put(mine.unionByName(new).join(walking, "node", "left_semi"))
-        work.drop(older)
+        size = front.count()
+        if size:
+            mine = work.put(mine.unionByName(new).join(front.select("node").distinct(), "node", "left_semi"))
+            work.drop(older)
+            older = mine
     passed = union_all(seen)
     return passed, passed.filter(is_splitter(F.col("at")))
 
@@ -87,7 +97,7 @@ def closure(hierarchy: DataFrame) -> DataFrame:
     spark = hierarchy.sparkSession
     work = Work(spark, "trees")
     up = work.put(links(hierarchy))
-    passed, ends = _walk(work, up)
+    passed, ends = _walk(work, up, up.count())
 
     # reduced graph: splitter to splitter, closed by doubling
     near = work.put(ends.filter(is_splitter(F.col("node"))).select(F.col("node").alias("s"), F.col("at").alias("t"), "d"))

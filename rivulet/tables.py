@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: A key counts as hot when it holds more than one part in so many of all rows; there can be no more hot keys than that.
 HOT_PARTS = 512
+#: A key with fewer rows than that is never hot.
+HOT_LEAST = 10_000
 #: A hot key's rows are spread over so many salts.
 SALTS = 32
 
@@ -68,26 +70,29 @@ class Work:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def hot_keys(counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """Keys whose count ``n`` exceeds one part in HOT_PARTS of ``total``: at most HOT_PARTS rows, whatever the data."""
-    return counted.filter(F.col(n) > max(total // HOT_PARTS, 1000)).select(key)
+def hot_keys(counted: DataFrame, key: str, n: str, total: int) -> list:
+    """Keys whose count ``n`` exceeds one part in HOT_PARTS of ``total`` and HOT_LEAST: at most HOT_PARTS values, whatever the data."""
+    least = max(total // HOT_PARTS, HOT_LEAST)
+    if total <= least:
+        return []
+    return [r[0] for r in counted.filter(F.col(n) > least).select(key).collect()]
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner", spread: str | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner", spread: str | None = None) -> DataFrame:
     """Equi-join on ``key`` where left rows of a few keys may be a large share.
 
-    ``right`` has few rows per key.  ``hot`` (from ``hot_keys``; bounded, so it
-    is broadcast) names the keys whose left rows get a salt made of ``spread``
-    (default: all left columns); the right rows of those keys are repeated once
-    per salt.  Null keys never match, as in any equi-join.
+    ``right`` has few rows per key.  Left rows of the ``hot`` keys (from
+    ``hot_keys``) get a salt made of ``spread`` (default: all left columns);
+    the right rows of those keys are repeated once per salt.  Null keys never
+    match, as in any equi-join, and are spread too.
     """
-    mark = F.broadcast(hot.select(F.col(key).alias("_hot")).distinct())
-    by = F.xxhash64(*([spread] if spread else left.columns))
-    a = left.join(mark, F.col(key) == F.col("_hot"), "left")
-    a = a.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(by, F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("_hot")
-    b = right.join(mark, F.col(key) == F.col("_hot"), "left")
-    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    b = b.withColumn("_salt", F.explode(salts)).drop("_hot")
+    if not hot and how != "left":
+        return left.join(right, key, how)
+    by = F.pmod(F.xxhash64(*([spread] if spread else left.columns)), F.lit(SALTS)).cast("int")
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    a = left.withColumn("_salt", F.when(F.col(key).isNull() | is_hot, by).otherwise(F.lit(0)))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    b = right.withColumn("_salt", F.explode(salts) if hot else F.lit(0))
     return a.join(b, [key, "_salt"], how).drop("_salt")
 
 
