@@ -1,4 +1,4 @@
-"""Queries of the core library and the SQL that each must agree with."""
+"""Queries of the core library, each over whole tables."""
 
 from __future__ import annotations
 
@@ -7,59 +7,439 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet import oracle
+from rivulet import vocabulary as V
+from rivulet.functions.hashing import quad_hash
+from rivulet.functions.parsing import pipe_triples, question_terms, sections, verdict
+from rivulet.functions.text import insert_norm, is_atomic, lookup_norm, scope_norm
+from rivulet.operators import aggregates, bridges, derived, domains, fulltext, gates, graph, lookups
 from rivulet.operators.orphans import knowledge_base_orphans, orphans_by_month
 from rivulet.operators.trees import closure, hierarchies
-from rivulet.sql import norm_sql
+from rivulet.plans import pulse, query_engine, store
+from rivulet.sources import readers, star
+from rivulet.streaming import queue
 from rivulet.tables import load
 
+QUAD = store.QUAD
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+
+def _kb(spark: SparkSession, d: str) -> DataFrame:
+    return store.facts(load(spark, d, "entries"))
+
+
+def _standing(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "bridges").filter("deleted_at is null")
+
+
+def p3_found(spark, d):
     return closure(load(spark, d, "hierarchy")).select("child", "ancestor")
 
 
-def p3_depths(spark: SparkSession, d: str) -> DataFrame:
+def p3_depths(spark, d):
     return closure(load(spark, d, "hierarchy"))
 
 
-def p3_hierarchies(spark: SparkSession, d: str) -> DataFrame:
+def p3_hierarchies(spark, d):
     return hierarchies(load(spark, d, "hierarchy"))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def p5_found(spark, d):
     return knowledge_base_orphans(spark, d).select("table_name", "record_key", "ref_month", "reason")
 
 
-def p5_by_month(spark: SparkSession, d: str) -> DataFrame:
+def p5_by_month(spark, d):
     return orphans_by_month(knowledge_base_orphans(spark, d)).select("table_name", "ref_month", "reason", "kind", F.col("n").cast("bigint").alias("n"))
 
 
-_TREE = f"""
-WITH RECURSIVE l AS (SELECT {norm_sql("child")} AS c, {norm_sql("ancestor")} AS p FROM hierarchy WHERE depth IS NULL OR depth = 1),
-e AS (SELECT DISTINCT c, p FROM l WHERE c <> '' AND p <> '' AND c <> p),
-"""
+def normalize_terms(spark, d):
+    return load(spark, d, "entries").select("id", insert_norm("subject").alias("inserted"), scope_norm("subject").alias("scoped"), lookup_norm("subject").alias("looked_up"))
+
+
+def append_dedup(spark, d):
+    """Rows of later generations that a store of generation 0 accepts, with their new ids."""
+    e = load(spark, d, "entries")
+    old = store.facts(e.filter("generation = 0"))
+    new = store.append(old, e.filter("generation > 0"))
+    top = old.agg(F.max("id")).first()[0] or 0
+    return store.number(new.select("input_id", *QUAD), ["input_id"], top + 1)
+
+
+def star_triples(spark, d):
+    return star.star_triples(spark, d)
+
+
+def find_exact(spark, d):
+    return lookups.find(_kb(spark, d), predicate="is_a", truth_value="T").select("id", *QUAD)
+
+
+def search_like(spark, d):
+    return lookups.search(_kb(spark, d), "tidal_b").select("id", "subject", "object", "truth_value", "generation")
+
+
+def search_multi(spark, d):
+    return lookups.search_multi(_kb(spark, d), ["tizepebo", "frozen spring"]).select("id", "subject", "object")
+
+
+def about(spark, d):
+    return lookups.about(_kb(spark, d), "groundwater basin", "chemistry").select("id", "context", "predicate", "object")
+
+
+def reverse(spark, d):
+    return lookups.reverse(_kb(spark, d), "tidal_basin").select("id", "subject", "context", "predicate")
+
+
+def unresolved(spark, d):
+    return lookups.unresolved(_kb(spark, d), 30).select("id", *QUAD)
+
+
+def known_subjects(spark, d):
+    return lookups.known_subjects(_kb(spark, d))
+
+
+def ambiguous_subjects(spark, d):
+    return lookups.ambiguous_subjects(_kb(spark, d))
+
+
+def subject_display(spark, d):
+    return lookups.subject_display(_kb(spark, d))
+
+
+def raw_lookup(spark, d):
+    return lookups.raw_lookup(_kb(spark, d), _standing(spark, d), "tizepebo")
+
+
+def stats_source(spark, d):
+    return aggregates.stats_by_source(_kb(spark, d))
+
+
+def stats_grade_pivot(spark, d):
+    return aggregates.stats_by_grade(_kb(spark, d))
+
+
+def stats_dashboard(spark, d):
+    return aggregates.dashboard(_kb(spark, d))
+
+
+def kb_report(spark, d):
+    return aggregates.report(_kb(spark, d))
+
+
+def pulse_merge(spark, d):
+    return pulse.merge(_kb(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
+
+
+def pulse_merge_all(spark, d):
+    return pulse.merge(_kb(spark, d), pulse.Settings(cap=None)).select(*QUAD, "truth_value", "evidence")
+
+
+def pulse_transitive(spark, d):
+    return pulse.transitive(_kb(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
+
+
+def transitive_blocked(spark, d):
+    return pulse.blocked_chains(_kb(spark, d), pulse.Settings())
+
+
+def pulse_cross_domain(spark, d):
+    return pulse.cross_domain(_kb(spark, d), _standing(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
+
+
+def pulse_analogy(spark, d):
+    return pulse.analogy(_kb(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
+
+
+def profile_pairs(spark, d):
+    s = pulse.similar_profiles(_kb(spark, d), pulse.Settings())
+    return s.select("context", F.array_join("p1", ",").alias("p1"), F.array_join("p2", ",").alias("p2"), F.round("sim", 6).alias("sim"))
+
+
+def profile_classes(spark, d):
+    return pulse.profiles(_kb(spark, d), pulse.Settings()).select("context", F.array_join("profile", ",").alias("profile"), "n", "first_subject")
+
+
+def pulse_run(spark, d):
+    """Facts by generation and source after two pulses with verification."""
+    s = pulse.run(_kb(spark, d), _standing(spark, d), cycles=2)
+    return s.groupBy("source", "truth_value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def verify_offline(spark, d):
+    return store.verify_offline(_kb(spark, d), 500, V.SAFE_CURRICULUM)
+
+
+def update_truth(spark, d):
+    """All facts after the offline verdicts were written back."""
+    kb = _kb(spark, d)
+    v = store.verify_offline(kb, 500, V.SAFE_PRODUCTION).filter("truth_value = 'T' and verified").select("id", F.col("truth_value").alias("truth"), F.lit("auto").alias("evidence"))
+    out = store.update_truth(kb, v)
+    return out.select("id", "truth_value", "verified", "needs_verification", F.size("evidence_for").alias("n_for"), F.size("evidence_against").alias("n_against"))
+
+
+def upsert_concepts(spark, d):
+    """The latest definition of each subject and context, from the documents."""
+    docs = load(spark, d, "documents").filter("subject is not null and context is not null and text is not null")
+    c = docs.select("subject", "context", F.left("text", F.lit(40)).alias("definition"), "source", F.col("doc_id").alias("seq"))
+    none = c.filter("false").drop("seq")
+    return store.upsert_concepts(none, c)
+
+
+def _gate_pairs(spark, d):
+    p = _kb(spark, d).select(F.col("predicate").alias("inherited")).distinct()
+    return p.select("inherited", F.explode(F.array(*[F.lit(x) for x in oracle.GATE_LINKS])).alias("link"))
+
+
+def gate_verdicts(spark, d):
+    r = gates.Rules()
+    return _gate_pairs(spark, d).select("link", "inherited", r.verdict(F.col("link"), F.col("inherited")).alias("verdict"))
+
+
+def chain_confidence(spark, d):
+    r = gates.Rules()
+    return _gate_pairs(spark, d).select("link", "inherited", r.confidence(F.col("link"), F.col("inherited")).alias("confidence"))
+
+
+def rule_suggest(spark, d):
+    """Outcomes: every fact judged true or false, paired with the predicate class of its context."""
+    o = _kb(spark, d).filter("truth_value in ('T', 'F')").select(F.col("context").alias("link"), F.col("predicate").alias("inherited"), (F.col("truth_value") == "T").alias("approved"))
+    return gates.suggest_rules(gates.pair_stats(o))
+
+
+def predicate_normalize(spark, d):
+    return derived.normalize_predicates(_kb(spark, d)).select("id", "subject", "predicate", "object")
+
+
+def hierarchy_closure(spark, d):
+    return derived.build_hierarchy(_kb(spark, d)).select("child", "ancestor", "depth")
+
+
+def centrality(spark, d):
+    kb = _kb(spark, d)
+    return aggregates.centrality(kb, derived.build_hierarchy(kb))
+
+
+def synonyms(spark, d):
+    return derived.build_synonyms(_kb(spark, d))
+
+
+def domain_cluster(spark, d):
+    return derived.domain_clusters(_kb(spark, d))
+
+
+def domain_cluster_like(spark, d):
+    return derived.domain_clusters(_kb(spark, d), literal_like=True)
+
+
+def dedup_triples(spark, d):
+    return derived.deduplicate(_kb(spark, d)).select("id", "subject", "predicate", "object")
+
+
+def integrity(spark, d):
+    kb = _kb(spark, d)
+    return derived.integrity(kb, load(spark, d, "hierarchy").select(insert_norm("child").alias("child")).filter("child <> ''"))
+
+
+def neighbors_d2(spark, d):
+    return graph.neighbors(_kb(spark, d), "tizepebo", 2, "earth_science")
+
+
+def neighbors_out(spark, d):
+    return graph.neighbors(_kb(spark, d), "tizepebo", 2, outgoing_only=True, atomic_only=True)
+
+
+def graph_size(spark, d):
+    return graph.graph_size(graph.neighbors(_kb(spark, d), "futadala", 2, atomic_only=True))
+
+
+def path_bounded(spark, d):
+    return graph.find_path(_kb(spark, d), "tizepebo", "kekegete")
+
+
+def classify_domains(spark, d):
+    terms = _kb(spark, d).select(F.explode(F.array("subject", "object")).alias("term"))
+    return domains.classify(terms).select("term", F.array_join("domains", ",").alias("domains"), domains.context_of(F.col("domains")).alias("context"))
+
+
+def compat_score(spark, d):
+    f = domains.with_domains(_kb(spark, d))
+    return f.select("id", domains.compatibility(F.col("s_domains"), F.col("o_domains")).alias("score"))
+
+
+def domain_matrix(spark, d):
+    return domains.dictionary(spark)
+
+
+def nonsense_filter(spark, d):
+    return domains.nonsense(_kb(spark, d)).select("id", "reason")
+
+
+def predicate_profile(spark, d):
+    return domains.predicate_profile(_kb(spark, d))
+
+
+def type_gate(spark, d):
+    kb = _kb(spark, d)
+    return domains.type_gate(kb, domains.predicate_profile(kb)).select("id", "score", "gate", "confidence")
+
+
+def scope_blocked(spark, d):
+    kb = _kb(spark, d)
+    _, rejected = domains.gate(kb, "transitive", domains.predicate_profile(kb))
+    return domains.blocked_by_reason(rejected)
+
+
+def domain_analysis(spark, d):
+    return domains.analyze(_kb(spark, d))
+
+
+def bridge_add_dedup(spark, d):
+    """Bridges with odd ids added to those with even ids."""
+    b = load(spark, d, "bridges")
+    return bridges.add_bridges(b.filter("id % 2 = 0"), b.filter("id % 2 = 1"))
+
+
+def bridge_add_undirected(spark, d):
+    b = load(spark, d, "bridges")
+    return bridges.add_bridges(b.filter("id % 2 = 0"), b.filter("id % 2 = 1"), undirected=True)
+
+
+def bridge_find(spark, d):
+    return bridges.find_bridges(load(spark, d, "bridges"), "tizepebo").select("id", "term_a", "term_b", "strength")
+
+
+def bridge_between(spark, d):
+    return bridges.bridges_between(load(spark, d, "bridges"), "chemistry", "physics").select("id", "term_a", "term_b")
+
+
+def bridge_stats(spark, d):
+    return bridges.bridge_stats(load(spark, d, "bridges"))
+
+
+def bridge_examples(spark, d):
+    return bridges.examples_of(load(spark, d, "bridges"), load(spark, d, "bridge_examples"))
+
+
+def bridge_facts(spark, d):
+    return bridges.facts_with_bridges(_kb(spark, d), _standing(spark, d))
+
+
+def bridge_discover_shared(spark, d):
+    return bridges.shared_mechanisms(_kb(spark, d))
+
+
+def bridge_discover_stated(spark, d):
+    return bridges.bridge_predicates(_kb(spark, d))
+
+
+def bridge_discover_structural(spark, d):
+    return bridges.structural_patterns(_kb(spark, d), words=["spring", "channel", "sluice", "lagoon", "marsh"])
+
+
+def bridge_potential(spark, d):
+    return bridges.potential_bridges(_kb(spark, d))
+
+
+def bridge_relevant(spark, d):
+    terms = _kb(spark, d).filter(is_atomic("subject")).select(F.col("subject").alias("term"))
+    return bridges.relevant_bridges(load(spark, d, "bridges"), terms).select("id")
+
+
+def bridge_pairs(spark, d):
+    kb = _kb(spark, d)
+    found = pulse.cross_domain(kb, _standing(spark, d), pulse.Settings())
+    return bridges.cross_pattern_candidates(found)
+
+
+def fts_tokens(spark, d):
+    return fulltext.build_index(_kb(spark, d), stemmed=False, columns=["subject", "predicate", "object"])
+
+
+def fts_index(spark, d):
+    i = fulltext.build_index(_kb(spark, d))
+    return i.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fts_search(spark, d):
+    kb = _kb(spark, d)
+    syn = derived.build_synonyms(kb).filter("source = 'manual'").select("term", "synonym")
+    return fulltext.search_index(kb, fulltext.build_index(kb), ["tidal_basin", "slow"], syn).select("id", "subject", "object")
+
+
+def fts_phrase(spark, d):
+    kb = _kb(spark, d)
+    return fulltext.search_index(kb, fulltext.build_index(kb, False, ["subject", "object"]), ["tidal basin"], stemmed=False).select("id", "subject", "object")
+
+
+def question_answer(spark, d):
+    return query_engine.answer(_kb(spark, d), _standing(spark, d), "How does tizepebo relate to futadala?")
+
+
+def _texts(spark, d):
+    return load(spark, d, "documents").select("doc_id", "text")
+
+
+def question_terms_q(spark, d):
+    q = _texts(spark, d).select("doc_id", F.posexplode(question_terms(F.col("text"))).alias("pos", "term"))
+    return q.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+
+
+def reply_triples(spark, d):
+    return pipe_triples(_texts(spark, d), "doc_id", "text").select(F.col("id").alias("doc_id"), "line_no", "subject", "predicate", "object", "truth_value")
+
+
+def reply_verdicts(spark, d):
+    v, r = verdict(F.col("text"))
+    return _texts(spark, d).filter("text like '%VERDICT%'").select("doc_id", v.alias("verdict"), r.alias("reason"))
+
+
+def reply_sections(spark, d):
+    return _texts(spark, d).filter("text is not null").select("doc_id", sections(F.col("text")).alias("s")).select("doc_id", F.length("s.facts").alias("n_facts"), F.length("s.confused").alias("n_confused"), F.length("s.reasoning").alias("n_reasoning"))
+
+
+def chunk_text(spark, d):
+    return readers.article_chunks(_texts(spark, d), chunk_size=600, overlap=80)
+
+
+def wiki_extracts(spark, d):
+    return readers.extract_chunks(_texts(spark, d), first=None, most=None)
+
+
+def wiki_sections(spark, d):
+    return readers.section_chunks(_texts(spark, d))
+
+
+def queue_order(spark, d):
+    """Events as tasks: kind, payload and value as priority."""
+    e = load(spark, d, "events")
+    return queue.queue_order(e.select(F.col("event_id").alias("id"), F.col("event_type").alias("task_type"), F.col("props").alias("payload"), F.floor(F.coalesce("value", F.lit(0.0)) % 10).cast("int").alias("priority")))
+
+
+def queue_next(spark, d):
+    e = load(spark, d, "events")
+    return queue.next_tasks(e.select(F.col("event_id").alias("id"), F.col("event_type").alias("task_type"), F.col("props").alias("payload"), F.floor(F.coalesce("value", F.lit(0.0)) % 10).cast("int").alias("priority")), 20)
+
+
+def fnv1a(spark, d):
+    return _kb(spark, d).select("id", quad_hash().alias("quad_hash"))
+
 
-_ORPHANS = f"""
-WITH t AS (SELECT {norm_sql("subject")} AS term FROM entries UNION SELECT {norm_sql("object")} FROM entries),
-x AS (SELECT b.id AS bid, b.created_at AS made, b.deleted_at AS gone, e.* FROM bridge_examples e LEFT JOIN bridges b ON e.bridge_id = b.id WHERE e.bridge_id IS NOT NULL),
-k AS (SELECT 'bridge_examples' AS table_name, cast(id AS varchar) AS record_key, created_at,
-             CASE WHEN bid IS NULL THEN 'missing' WHEN gone IS NOT NULL THEN 'deleted' WHEN made > created_at THEN 'late' END AS reason FROM x),
-c AS (SELECT 'centrality' AS table_name, subject AS record_key, created_at, 'missing' AS reason FROM centrality
-      WHERE subject IS NOT NULL AND {norm_sql("subject")} <> '' AND {norm_sql("subject")} NOT IN (SELECT term FROM t WHERE term IS NOT NULL)),
-o AS (SELECT table_name, record_key, coalesce(strftime(created_at, '%Y-%m'), 'unknown') AS ref_month, reason
-      FROM (SELECT * FROM k UNION ALL SELECT * FROM c) WHERE reason IS NOT NULL)
-"""
+_QUERIES = [
+    p3_found, p3_depths, p3_hierarchies, p5_found, p5_by_month,
+    normalize_terms, append_dedup, star_triples, find_exact, search_like, search_multi, about, reverse, unresolved, known_subjects,
+    ambiguous_subjects, subject_display, raw_lookup, stats_source, stats_grade_pivot, stats_dashboard, kb_report,
+    pulse_merge, pulse_merge_all, pulse_transitive, transitive_blocked, pulse_cross_domain, pulse_analogy, profile_pairs, profile_classes, pulse_run,
+    verify_offline, update_truth, upsert_concepts, gate_verdicts, chain_confidence, rule_suggest, predicate_normalize, hierarchy_closure, centrality,
+    synonyms, domain_cluster, domain_cluster_like, dedup_triples, integrity, neighbors_d2, neighbors_out, graph_size, path_bounded,
+    classify_domains, compat_score, domain_matrix, nonsense_filter, predicate_profile, type_gate, scope_blocked, domain_analysis,
+    bridge_add_dedup, bridge_add_undirected, bridge_find, bridge_between, bridge_stats, bridge_examples, bridge_facts, bridge_discover_shared,
+    bridge_discover_stated, bridge_discover_structural, bridge_potential, bridge_relevant, bridge_pairs, fts_tokens, fts_index, fts_search, fts_phrase,
+    question_answer, question_terms_q, reply_triples, reply_verdicts, reply_sections, chunk_text, wiki_extracts, wiki_sections,
+    queue_order, queue_next, fnv1a,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_depths, p3_hierarchies, p5_found, p5_by_month)}
+    return {q.__name__.removesuffix("_q"): q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    pairs = _TREE + "r AS (SELECT c, p FROM e UNION SELECT r.c, e.p FROM r JOIN e ON r.p = e.c)\nSELECT c AS child, p AS ancestor FROM r"
-    depths = _TREE + "r AS (SELECT c, p, 1 AS d FROM e UNION SELECT r.c, e.p, r.d + 1 FROM r JOIN e ON r.p = e.c WHERE r.d < 200)\nSELECT c AS child, p AS ancestor, min(d) AS depth FROM r GROUP BY c, p"
-    return {
-        "p3_found": pairs,
-        "p3_depths": depths,
-        "p5_found": _ORPHANS + "SELECT table_name, record_key, ref_month, reason FROM o",
-        "p5_by_month": _ORPHANS + "SELECT table_name, ref_month, reason, 'direct' AS kind, count(*) AS n FROM o GROUP BY table_name, ref_month, reason",
-    }
+    return oracle.queries()
