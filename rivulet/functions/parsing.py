@@ -29,7 +29,7 @@ def pipe_triples(df: DataFrame, id_col: str, text_col: str, default_truth: str =
     p = lines.select("id", "line_no", parts.alias("p")).filter((F.size("p") >= 3) & F.forall(F.slice("p", 1, 3), lambda x: F.length(x) > 0))
     letter = F.upper(F.left(F.coalesce(F.get("p", F.lit(3)), F.lit("")), F.lit(1)))
     truth = F.when(letter.isin("T", "F", "M"), letter).otherwise(default_truth)
-    return p.select("id", "line_no", insert_norm(F.col("p")[0]).alias("subject"), insert_norm(F.col("p")[1]).alias("predicate"), insert_norm(F.col("p")[2]).alias("object"), truth.alias("truth_value"))
+    return p.select("id", "line_no", insert_norm(F.get("p", F.lit(0))).alias("subject"), insert_norm(F.get("p", F.lit(1))).alias("predicate"), insert_norm(F.get("p", F.lit(2))).alias("object"), truth.alias("truth_value"))
 
 
 def verdict(c: Column) -> tuple[Column, Column]:
@@ -56,7 +56,7 @@ def bridge_verdict(c: Column) -> Column:
     return F.struct(
         F.upper(line("MEANINGFUL")).startswith("Y").alias("meaningful"),
         F.when(kind.isin(V.BRIDGE_TYPES), kind).otherwise("emergent").alias("bridge_type"),
-        F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_to_number(F.regexp_extract(line("STRENGTH"), r"([0-9]\.[0-9]+|[0-9])", 1), F.lit("9.9999")).cast("double"))), F.lit(0.5)).alias("strength"),
+        F.coalesce(F.least(F.lit(1.0), F.regexp_extract(line("STRENGTH"), r"([0-9]*\.?[0-9]+)", 1).try_cast("double")), F.lit(0.5)).alias("strength"),
         line("REASON").alias("reason"),
         line("TEACHING").alias("teaching_note"),
     )

@@ -127,7 +127,7 @@ def relevant_bridges(bridges: DataFrame, terms: DataFrame) -> DataFrame:
 def cross_pattern_candidates(store: DataFrame, domains: V.Domains | None = None) -> DataFrame:
     """(subject, term_a, term_b): pair subjects 'a,b' whose two terms have known, different domain sets."""
     pairs = store.filter("subject like '%,%' and predicate like 'both\\_%'").select("subject").distinct()
-    pairs = pairs.select("subject", F.split("subject", ",")[0].alias("term_a"), F.split("subject", ",")[1].alias("term_b"))
+    pairs = pairs.select("subject", F.get(F.split("subject", ","), F.lit(0)).alias("term_a"), F.get(F.split("subject", ","), F.lit(1)).alias("term_b"))
     labels = classify(pairs.select(F.explode(F.array("term_a", "term_b")).alias("term")), domains).filter(F.size("domains") > 0)
     a = labels.select(F.col("term").alias("term_a"), F.col("domains").alias("da"))
     b = labels.select(F.col("term").alias("term_b"), F.col("domains").alias("db"))

@@ -65,11 +65,11 @@ def read_conceptnet(spark: SparkSession, path: str, max_edges: int | None = 100_
     c = F.split("value", "\t")
     lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).withColumn("c", c).filter(F.size("c") >= 5)
     mark = f"/c/{language}/"
-    term = lambda i: F.split_part(F.split_part(F.col("c")[i], F.lit(mark), F.lit(2)), F.lit("/"), F.lit(1))
+    term = lambda i: F.split_part(F.split_part(F.get("c", F.lit(i)), F.lit(mark), F.lit(2)), F.lit("/"), F.lit(1))
     rel = rows(spark, sorted(V.CONCEPTNET_RELATIONS.items()), "relation string, predicate string")
-    meta = F.from_json(F.col("c")[4], "weight double, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    e = lines.filter(F.contains(F.col("c")[2], F.lit(mark)) & F.contains(F.col("c")[3], F.lit(mark)))
-    e = e.select("line", F.col("c")[1].alias("relation"), term(2).alias("s"), term(3).alias("o"), meta.alias("m")).join(rel, "relation")
+    meta = F.from_json(F.get("c", F.lit(4)), "weight double, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    e = lines.filter(F.contains(F.get("c", F.lit(2)), F.lit(mark)) & F.contains(F.get("c", F.lit(3)), F.lit(mark)))
+    e = e.select("line", F.get("c", F.lit(1)).alias("relation"), term(2).alias("s"), term(3).alias("o"), meta.alias("m")).join(rel, "relation")
     e = e.filter(F.col("m").isNotNull() & F.col("m._bad").isNull()).withColumn("weight", F.coalesce("m.weight", F.lit(0.0))).filter(F.col("weight") >= min_weight)
     if max_edges is not None:
         e = e.orderBy("line").limit(max_edges)
