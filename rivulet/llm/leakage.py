@@ -110,7 +110,8 @@ def _pieces(keep_text: bool):
                 at, least = piece_hashes(hashes, runs, PIECE[kind])
                 rows = pd.DataFrame({"id": ids[owner[runs[at]]] if len(at) else np.empty(0, np.int64), "kind": kind, "hash": least.view(np.int64)})
                 rows["piece"] = [_text(flat, a, kind) for a in at] if keep_text else ""
-                yield rows.drop_duplicates()
+                if len(rows):
+                    yield rows.drop_duplicates().astype({"kind": object, "piece": object})
 
     return run
 
@@ -131,7 +132,8 @@ def _search(known: dict[str, tuple[np.ndarray, dict[str, list[int]]]]):
                 for a in at[sought[spot] == least]:
                     for item in exact.get(_text(flat, a, kind), ()):
                         found.add((int(ids[owner[runs[a]]]), item))
-            yield pd.DataFrame(sorted(found), columns=["doc_id", "item_id"]).astype("int64")
+            if found:
+                yield pd.DataFrame(sorted(found), columns=["doc_id", "item_id"])
 
     return run
 
