@@ -18,7 +18,7 @@ from rivulet.operators.trees import closure, hierarchies
 from rivulet.plans import pulse, query_engine, store
 from rivulet.sources import readers, star
 from rivulet.streaming import queue
-from rivulet.tables import load
+from rivulet.tables import Work, load
 
 QUAD = store.QUAD
 
@@ -27,6 +27,11 @@ def _kb(spark: SparkSession, d: str) -> DataFrame:
     return store.facts(load(spark, d, "entries"))
 
 
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The store as a written table, for queries that read it several times."""
+    return Work(spark, "store").put(_kb(spark, d))
+
+
 def _standing(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "bridges").filter("deleted_at is null")
 
@@ -58,7 +63,7 @@ def normalize_terms(spark, d):
 def append_dedup(spark, d):
     """Rows of later generations that a store of generation 0 accepts, with their new ids."""
     e = load(spark, d, "entries")
-    old = store.facts(e.filter("generation = 0"))
+    old = Work(spark, "store").put(store.facts(e.filter("generation = 0")))
     new = store.append(old, e.filter("generation > 0"))
     top = old.agg(F.max("id")).first()[0] or 0
     return store.number(new.select("input_id", *QUAD), ["input_id"], top + 1)
@@ -101,11 +106,11 @@ def ambiguous_subjects(spark, d):
 
 
 def subject_display(spark, d):
-    return lookups.subject_display(_kb(spark, d))
+    return lookups.subject_display(_stored(spark, d))
 
 
 def raw_lookup(spark, d):
-    return lookups.raw_lookup(_kb(spark, d), _standing(spark, d), "tizepebo")
+    return lookups.raw_lookup(_stored(spark, d), _standing(spark, d), "tizepebo")
 
 
 def stats_source(spark, d):
@@ -117,7 +122,7 @@ def stats_grade_pivot(spark, d):
 
 
 def stats_dashboard(spark, d):
-    return aggregates.dashboard(_kb(spark, d))
+    return aggregates.dashboard(_stored(spark, d))
 
 
 def kb_report(spark, d):
@@ -125,31 +130,31 @@ def kb_report(spark, d):
 
 
 def pulse_merge(spark, d):
-    return pulse.merge(_kb(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
+    return pulse.merge(_stored(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
 
 
 def pulse_merge_all(spark, d):
-    return pulse.merge(_kb(spark, d), pulse.Settings(cap=None)).select(*QUAD, "truth_value", "evidence")
+    return pulse.merge(_stored(spark, d), pulse.Settings(cap=None)).select(*QUAD, "truth_value", "evidence")
 
 
 def pulse_transitive(spark, d):
-    return pulse.transitive(_kb(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
+    return pulse.transitive(_stored(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
 
 
 def transitive_blocked(spark, d):
-    return pulse.blocked_chains(_kb(spark, d), pulse.Settings())
+    return pulse.blocked_chains(_stored(spark, d), pulse.Settings())
 
 
 def pulse_cross_domain(spark, d):
-    return pulse.cross_domain(_kb(spark, d), _standing(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
+    return pulse.cross_domain(_stored(spark, d), _standing(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
 
 
 def pulse_analogy(spark, d):
-    return pulse.analogy(_kb(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
+    return pulse.analogy(_stored(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
 
 
 def profile_pairs(spark, d):
-    s = pulse.similar_profiles(_kb(spark, d), pulse.Settings())
+    s = pulse.similar_profiles(_stored(spark, d), pulse.Settings())
     return s.select("context", F.array_join("p1", ",").alias("p1"), F.array_join("p2", ",").alias("p2"), F.round("sim", 6).alias("sim"))
 
 
@@ -159,7 +164,7 @@ def profile_classes(spark, d):
 
 def pulse_run(spark, d):
     """Facts by generation and source after two pulses with verification."""
-    s = pulse.run(_kb(spark, d), _standing(spark, d), cycles=2)
+    s = pulse.run(_stored(spark, d), _standing(spark, d), cycles=2)
     return s.groupBy("source", "truth_value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -169,7 +174,7 @@ def verify_offline(spark, d):
 
 def update_truth(spark, d):
     """All facts after the offline verdicts were written back."""
-    kb = _kb(spark, d)
+    kb = _stored(spark, d)
     v = store.verify_offline(kb, 500, V.SAFE_PRODUCTION).filter("truth_value = 'T' and verified").select("id", F.col("truth_value").alias("truth"), F.lit("auto").alias("evidence"))
     out = store.update_truth(kb, v)
     return out.select("id", "truth_value", "verified", "needs_verification", F.size("evidence_for").alias("n_for"), F.size("evidence_against").alias("n_against"))
@@ -209,20 +214,20 @@ def predicate_normalize(spark, d):
 
 
 def hierarchy_closure(spark, d):
-    return derived.build_hierarchy(_kb(spark, d)).select("child", "ancestor", "depth")
+    return derived.build_hierarchy(_stored(spark, d)).select("child", "ancestor", "depth")
 
 
 def centrality(spark, d):
-    kb = _kb(spark, d)
+    kb = _stored(spark, d)
     return aggregates.centrality(kb, derived.build_hierarchy(kb))
 
 
 def synonyms(spark, d):
-    return derived.build_synonyms(_kb(spark, d))
+    return derived.build_synonyms(_stored(spark, d))
 
 
 def domain_cluster(spark, d):
-    return derived.domain_clusters(_kb(spark, d))
+    return derived.domain_clusters(_stored(spark, d))
 
 
 def domain_cluster_like(spark, d):
@@ -234,24 +239,24 @@ def dedup_triples(spark, d):
 
 
 def integrity(spark, d):
-    kb = _kb(spark, d)
+    kb = _stored(spark, d)
     return derived.integrity(kb, load(spark, d, "hierarchy").select(insert_norm("child").alias("child")).filter("child <> ''"))
 
 
 def neighbors_d2(spark, d):
-    return graph.neighbors(_kb(spark, d), "tizepebo", 2, "earth_science")
+    return graph.neighbors(_stored(spark, d), "tizepebo", 2, "earth_science")
 
 
 def neighbors_out(spark, d):
-    return graph.neighbors(_kb(spark, d), "tizepebo", 2, outgoing_only=True, atomic_only=True)
+    return graph.neighbors(_stored(spark, d), "tizepebo", 2, outgoing_only=True, atomic_only=True)
 
 
 def graph_size(spark, d):
-    return graph.graph_size(graph.neighbors(_kb(spark, d), "futadala", 2, atomic_only=True))
+    return graph.graph_size(graph.neighbors(_stored(spark, d), "futadala", 2, atomic_only=True))
 
 
 def path_bounded(spark, d):
-    return graph.find_path(_kb(spark, d), "tizepebo", "kekegete")
+    return graph.find_path(_stored(spark, d), "tizepebo", "kekegete")
 
 
 def classify_domains(spark, d):
@@ -260,7 +265,7 @@ def classify_domains(spark, d):
 
 
 def compat_score(spark, d):
-    f = domains.with_domains(_kb(spark, d))
+    f = domains.with_domains(_stored(spark, d))
     return f.select("id", domains.compatibility(F.col("s_domains"), F.col("o_domains")).alias("score"))
 
 
@@ -269,26 +274,26 @@ def domain_matrix(spark, d):
 
 
 def nonsense_filter(spark, d):
-    return domains.nonsense(_kb(spark, d)).select("id", "reason")
+    return domains.nonsense(_stored(spark, d)).select("id", "reason")
 
 
 def predicate_profile(spark, d):
-    return domains.predicate_profile(_kb(spark, d))
+    return domains.predicate_profile(_stored(spark, d))
 
 
 def type_gate(spark, d):
-    kb = _kb(spark, d)
+    kb = _stored(spark, d)
     return domains.type_gate(kb, domains.predicate_profile(kb)).select("id", "score", "gate", "confidence")
 
 
 def scope_blocked(spark, d):
-    kb = _kb(spark, d)
+    kb = _stored(spark, d)
     _, rejected = domains.gate(kb, "transitive", domains.predicate_profile(kb))
     return domains.blocked_by_reason(rejected)
 
 
 def domain_analysis(spark, d):
-    return domains.analyze(_kb(spark, d))
+    return domains.analyze(_stored(spark, d))
 
 
 def bridge_add_dedup(spark, d):
@@ -323,7 +328,7 @@ def bridge_facts(spark, d):
 
 
 def bridge_discover_shared(spark, d):
-    return bridges.shared_mechanisms(_kb(spark, d))
+    return bridges.shared_mechanisms(_stored(spark, d))
 
 
 def bridge_discover_stated(spark, d):
@@ -331,11 +336,11 @@ def bridge_discover_stated(spark, d):
 
 
 def bridge_discover_structural(spark, d):
-    return bridges.structural_patterns(_kb(spark, d), words=["spring", "channel", "sluice", "lagoon", "marsh"])
+    return bridges.structural_patterns(_stored(spark, d), words=["spring", "channel", "sluice", "lagoon", "marsh"])
 
 
 def bridge_potential(spark, d):
-    return bridges.potential_bridges(_kb(spark, d))
+    return bridges.potential_bridges(_stored(spark, d))
 
 
 def bridge_relevant(spark, d):
@@ -344,7 +349,7 @@ def bridge_relevant(spark, d):
 
 
 def bridge_pairs(spark, d):
-    kb = _kb(spark, d)
+    kb = _stored(spark, d)
     found = pulse.cross_domain(kb, _standing(spark, d), pulse.Settings())
     return bridges.cross_pattern_candidates(found)
 
@@ -359,18 +364,18 @@ def fts_index(spark, d):
 
 
 def fts_search(spark, d):
-    kb = _kb(spark, d)
+    kb = _stored(spark, d)
     syn = derived.build_synonyms(kb).filter("source = 'manual'").select("term", "synonym")
     return fulltext.search_index(kb, fulltext.build_index(kb), ["tidal_basin", "slow"], syn).select("id", "subject", "object")
 
 
 def fts_phrase(spark, d):
-    kb = _kb(spark, d)
+    kb = _stored(spark, d)
     return fulltext.search_index(kb, fulltext.build_index(kb, False, ["subject", "object"]), ["tidal basin"], stemmed=False).select("id", "subject", "object")
 
 
 def question_answer(spark, d):
-    return query_engine.answer(_kb(spark, d), _standing(spark, d), "How does tizepebo relate to futadala?")
+    return query_engine.answer(_stored(spark, d), _standing(spark, d), "How does tizepebo relate to futadala?")
 
 
 def _texts(spark, d):

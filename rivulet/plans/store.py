@@ -35,11 +35,14 @@ def normalised(entries: DataFrame) -> DataFrame:
 
 
 def first_of(df: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
-    """The row with the least ``order`` of each key.  An aggregate, not a window: it combines on the map side, so a
-    key with a third of all rows costs no more than its share."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_best"))
-    return best.select(*[c if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
+    """The row with the least ``order`` of each key; ``order`` must be unique within a key.
+
+    An aggregate, not a window: it combines on the map side, so a key with a
+    third of all rows costs no more than its share.  One expression a column,
+    so Catalyst drops the columns that a query does not read.
+    """
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    return df.groupBy(*keys).agg(F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in rest]).select(*df.columns)
 
 
 def facts(entries: DataFrame) -> DataFrame:
