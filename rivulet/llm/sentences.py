@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,7 @@ _THAI_GAP = re.compile("(?<=[฀-๏๚-๿\"”’)])\\s+(?=[฀-๏\"“‘(])
 _SPACE = re.compile(r"\s*")
 
 
+@lru_cache(maxsize=100_000)
 def _shape(token: str) -> str:
     """Script, case and length of a token."""
     if not token:
@@ -80,11 +82,12 @@ def _before(text: str, start: int, mark: int, end: int) -> tuple[str, str, str]:
     while i > start and text[i - 1].isspace():
         i -= 1
     j = i
-    if i > start and _IDEOGRAPH.match(text[i - 1]):
-        j = i - 1
-    else:
-        while j > start and not text[j - 1].isspace() and not _IDEOGRAPH.match(text[j - 1]) and i - j < 40:
-            j -= 1
+    j = i
+    if i > start:
+        last = text[max(start, i - 40) : i].split()[-1]
+        if not last.isascii():
+            last = last[-1] if _IDEOGRAPH.match(last[-1]) else _IDEOGRAPH.split(last)[-1]
+        j = i - len(last)
     token = text[j:i].lstrip(_OPEN)
     tail = "".join(text[mark:end].split())
     gap = " " if i < mark else ""
@@ -235,6 +238,7 @@ class Statistics:
 
     def __init__(self, rows: list[tuple[str, str, int, int]]):
         self.by = {(s, k): (n, e) for s, k, n, e in rows}
+        self.known: dict[tuple[str, str, str], tuple[float, bool]] = {}
         self.all = {s: (sum(n for t, _, n, _ in rows if t == s), sum(e for t, _, _, e in rows if t == s)) for s in "AB"}
 
     def _share(self, side: str, shape: str) -> float:
@@ -244,6 +248,14 @@ class Statistics:
 
     def odds(self, side: str, key: str, shape: str) -> tuple[float, bool]:
         """(log-odds, whether it never stands at the edge, beyond chance)."""
+        found = self.known.get((side, key, shape))
+        if found is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            found = self.known[side, key, shape] = self._odds(side, key, shape)
+        return found
+
+    def _odds(self, side: str, key: str, shape: str) -> tuple[float, bool]:
         share = min(self._share(side.upper(), shape), 0.95)
         n, e = self.by.get((side, key), (0, 0))
         p = (e + 0.5 * share) / (n + 0.5)
@@ -308,6 +320,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 60) -
 
 def split(text: str, stats: Statistics, weights: np.ndarray) -> list[tuple[int, int]]:
     """Sentences of one text as (start, end)."""
+    weights = [float(w) for w in weights]
     cuts: list[tuple[int, int]] = []
     for start, end in paragraphs(text):
         for a, b, listed in blocks(text, start, end):
@@ -320,7 +333,7 @@ def split(text: str, stats: Statistics, weights: np.ndarray) -> list[tuple[int,
                 if not x.after and x.after_shape == "-":
                     continue
                 values, _ = features(stats, x)
-                if float(np.dot(values, weights)) > 0:
+                if sum(v * w for v, w in zip(values, weights)) > 0:
                     ends.append(x.end)
             if _THAI.search(text, a, b):
                 ends = sorted({*ends, *(m.start() for m in _THAI_GAP.finditer(text, a, b))})
