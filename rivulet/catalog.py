@@ -12,7 +12,7 @@ from rivulet import vocabulary as V
 from rivulet.functions.hashing import quad_hash
 from rivulet.functions.parsing import pipe_triples, question_terms, sections, verdict
 from rivulet.functions.text import insert_norm, is_atomic, lookup_norm, scope_norm
-from rivulet.operators import aggregates, bridges, derived, domains, fulltext, gates, graph, lookups
+from rivulet.operators import aggregates, bridges, derived, domains, fulltext, gates, graph, journal, lookups
 from rivulet.operators.orphans import knowledge_base_orphans, orphans_by_month
 from rivulet.operators.trees import closure, hierarchies
 from rivulet.plans import pulse, query_engine, store
@@ -423,6 +423,18 @@ def queue_next(spark, d):
     return queue.next_tasks(e.select(F.col("event_id").alias("id"), F.col("event_type").alias("task_type"), F.col("props").alias("payload"), F.floor(F.coalesce("value", F.lit(0.0)) % 10).cast("int").alias("priority")), 20)
 
 
+def log_recent(spark, d):
+    """Events as a log."""
+    e = load(spark, d, "events").select(F.col("event_id").alias("id"), "event_type", F.lit(0).alias("grade_level"), F.col("props").alias("message"))
+    return journal.recent(e, 50)
+
+
+def confusions(spark, d):
+    """False facts as confusions of subject and object, added to those of generation 0."""
+    f = _kb(spark, d).filter("truth_value = 'F'").select("id", "subject", F.col("object").alias("confused_with"), F.col("predicate").alias("reason"), F.col("grade_level").alias("grade"), "generation")
+    return journal.add_confusions(f.filter("generation = 0"), f.filter("generation > 0"))
+
+
 def fnv1a(spark, d):
     return _kb(spark, d).select("id", quad_hash().alias("quad_hash"))
 
@@ -438,7 +450,7 @@ _QUERIES = [
     bridge_add_dedup, bridge_add_undirected, bridge_find, bridge_between, bridge_stats, bridge_examples, bridge_facts, bridge_discover_shared,
     bridge_discover_stated, bridge_discover_structural, bridge_potential, bridge_relevant, bridge_pairs, fts_tokens, fts_index, fts_search, fts_phrase,
     question_answer, question_terms_q, reply_triples, reply_verdicts, reply_sections, chunk_text, wiki_extracts, wiki_sections,
-    queue_order, queue_next, fnv1a,
+    queue_order, queue_next, log_recent, confusions, fnv1a,
 ]
 
 

@@ -323,6 +323,10 @@ q AS (SELECT DISTINCT subject, string_split(subject, ',')[1] AS term_a, string_s
 SELECT subject, term_a, term_b FROM q JOIN dom x ON term_a = x.term JOIN dom y ON term_b = y.term WHERE len(x.domains) > 0 AND len(y.domains) > 0 AND x.domains <> y.domains""",
         "fts_tokens": _TOKENS + "SELECT token, entry_id, col, pos FROM tk",
         "fts_phrase": KB + "SELECT id, subject, object FROM kb WHERE truth_value = 'T' AND (contains(' ' || regexp_replace(subject, '[_,-]+', ' ', 'g') || ' ', ' tidal basin ') OR contains(' ' || regexp_replace(object, '[_,-]+', ' ', 'g') || ' ', ' tidal basin '))",
+        "log_recent": "SELECT event_id AS id, event_type, 0 AS grade_level, props AS message FROM events ORDER BY event_id DESC LIMIT 50",
+        "confusions": KB.rstrip() + """, c AS (SELECT id, subject, object AS confused_with, predicate AS reason, grade_level AS grade, generation FROM kb WHERE truth_value = 'F')
+SELECT id, subject, confused_with, reason, grade FROM c ANTI JOIN (SELECT subject, confused_with FROM c WHERE generation = 0) USING (subject, confused_with) WHERE generation > 0
+QUALIFY row_number() OVER (PARTITION BY subject, confused_with ORDER BY id) = 1""",
         "queue_order": _TASKS,
         "queue_next": f"SELECT * FROM ({_TASKS}) ORDER BY priority DESC, id LIMIT 20",
     }

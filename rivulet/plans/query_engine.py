@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import Protocol
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +16,6 @@ from rivulet.tables import Work, union_all
 COLUMNS = ["subject", "context", "predicate", "object"]
 
 
-class LanguageModel(Protocol):
-    """What the engine may ask of a language model; ``Offline`` answers none of it."""
-
-    def ask(self, prompt: str) -> str: ...
-
-
-class Offline:
-    """The default: no model.  Callers fall back to deterministic rules."""
-
-    def ask(self, prompt: str) -> str:
-        return ""
-
-
 def extract_terms(question: str) -> list[str]:
     """Terms of a question without a model: longer words that are no stop words."""
     words = [w for w in question.split() if len(w) > 2 and w.lower().replace("?", "") not in V.STOP_WORDS]

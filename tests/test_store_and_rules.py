@@ -170,3 +170,35 @@ def test_domain_dictionary(tmp_path):
     assert scores["mathematics", "chemistry"] == 0.7 and scores["chemistry", "mathematics"] == 0.3 and scores["physics", "physics"] == 1.0
     (tmp_path / "d.json").write_text('{"keywords": {"physics": ["quark"]}}')
     assert V.Domains.from_json(str(tmp_path / "d.json")).keyword_rows() == [("quark", "physics")]
+
+
+class Echo:
+    """A model for tests: knows one fact and judges everything false."""
+
+    def ask(self, prompt):
+        return "VERDICT: F\nREASON: no" if prompt.startswith("Is this") else "FACTS:\n- rain | causes | flood\nCONFUSED:\nnone"
+
+
+def test_curriculum_and_model(spark):
+    from rivulet.plans import curriculum, language_model
+
+    s = kb(spark, [("dog", "biology", "is_a", "mammal"), ("mammal", "biology", "is_a", "animal")])
+    none = spark.createDataFrame([], "id long, term_a string, term_b string")
+    grades = [curriculum.Grade(1, "first", ["rain"], ["why?"])]
+    done, report = curriculum.run(s, none, grades, pulses=1, after=1, model=Echo())
+    got = {(r["subject"], r["object"]): r["truth_value"] for r in done.collect()}
+    assert got["rain", "flood"] == "T" and got["dog", "animal"] == "F" and report.first()["grade"] == 1
+    v = language_model.verify(done.filter("source = 'idea:transitive'"), Echo())
+    assert [(r["link"], r["inherited"], r["approved"]) for r in language_model.outcomes(done, v).collect()] == [("is_a", "is_a", False)]
+    offline, _ = curriculum.run(s, none, grades, pulses=1, after=0)
+    assert {(r["subject"], r["object"]): r["truth_value"] for r in offline.collect()}["dog", "animal"] == "T"
+    assert language_model.verify(s).count() == 0
+
+
+def test_journal(spark):
+    from rivulet.operators import journal
+
+    log = spark.createDataFrame([(i, "e", 0, "m") for i in range(5)], "id long, event_type string, grade_level int, message string")
+    assert [r["id"] for r in journal.recent(journal.append_log(log, log), 3).collect()] == [4, 4, 3]
+    ing = spark.createDataFrame([("json", 3, None), ("json", None, 1)], "source_type string, facts_added long, errors long")
+    assert [tuple(r) for r in journal.ingest_summary(ing).collect()] == [("json", 2, 3, 1)]
