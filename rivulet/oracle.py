@@ -327,6 +327,26 @@ SELECT subject, term_a, term_b FROM q JOIN dom x ON term_a = x.term JOIN dom y O
         "confusions": KB.rstrip() + """, c AS (SELECT id, subject, object AS confused_with, predicate AS reason, grade_level AS grade, generation FROM kb WHERE truth_value = 'F')
 SELECT id, subject, confused_with, reason, grade FROM c ANTI JOIN (SELECT subject, confused_with FROM c WHERE generation = 0) USING (subject, confused_with) WHERE generation > 0
 QUALIFY row_number() OVER (PARTITION BY subject, confused_with ORDER BY id) = 1""",
+        "p3_hierarchies": _TREE + """r AS (SELECT c, p, 1 AS d FROM e UNION SELECT r.c, e.p, r.d + 1 FROM r JOIN e ON r.p = e.c WHERE r.d < 200),
+dp AS (SELECT c, p, min(d) AS d FROM r GROUP BY c, p), rg AS (SELECT c AS ring FROM dp WHERE c = p),
+u AS (SELECT c, coalesce(list(p ORDER BY d, p) FILTER (c <> p), []) AS up, coalesce(max(d) FILTER (c <> p), 0) AS depth, min(ring) AS ring, bool_or(c = p) AS on_ring FROM dp LEFT JOIN rg ON p = ring GROUP BY c
+      UNION ALL SELECT DISTINCT p, []::VARCHAR[], 0, NULL, false FROM dp WHERE p NOT IN (SELECT c FROM dp)),
+b AS (SELECT p, count(*) AS k FROM dp WHERE c <> p GROUP BY p)
+SELECT c AS node, coalesce(ring, up[-1], c) AS root, depth, array_to_string(list_prepend(c, up), '→') AS path, coalesce(k, 0) AS descendants,
+CASE WHEN on_ring THEN 'ring' WHEN ring IS NOT NULL THEN 'to_ring' ELSE 'tree' END AS kind FROM u LEFT JOIN b ON u.c = b.p""",
+        "question_terms": rf"""WITH q AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+')) AS w FROM documents),
+t AS (SELECT doc_id, replace(replace(lower(w), '?', ''), '''s', '') AS term FROM q WHERE length(w) > 2 AND replace(lower(w), '?', '') NOT IN {_in(V.STOP_WORDS)})
+SELECT doc_id, count(*) AS n_terms, min(term) AS first_term, max(term) AS last_term FROM t GROUP BY doc_id""",
+        "reply_verdicts": r"""WITH d AS (SELECT doc_id, upper(regexp_extract(text, '(?i)VERDICT\s*:[\s*_`]*([TFM])', 1)) AS v, trim(regexp_extract(text, '(?i)REASON\s*:[ *_`]*([^\n]*)', 1)) AS reason FROM documents WHERE text LIKE '%VERDICT%')
+SELECT doc_id, CASE WHEN v = '' THEN 'M' ELSE v END AS verdict, reason FROM d""",
+        "reply_triples": f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+i AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l),
+p AS (SELECT doc_id, (i - 1)::INTEGER AS line_no, list_transform(string_split(ltrim(ls[i], '-*•–0123456789.) ' || chr(9)), '|'), lambda x: trim(x)) AS p FROM i WHERE contains(ls[i], '|')),
+q AS (SELECT doc_id, line_no, p[1] AS s, p[2] AS pr, p[3] AS o, upper(left(coalesce(p[4], ''), 1)) AS t FROM p WHERE len(p) >= 3 AND p[1] <> '' AND p[2] <> '' AND p[3] <> '')
+SELECT doc_id, line_no, {norm_sql("s")} AS subject, {norm_sql("pr")} AS predicate, {norm_sql("o")} AS object, CASE WHEN t IN ('T', 'F', 'M') THEN t ELSE 'T' END AS truth_value FROM q""",
+        "fnv1a": KB.rstrip() + """, h AS (SELECT id, list_reduce(list_transform(string_split(subject || '|' || context || '|' || predicate || '|' || object, ''), lambda c: ord(c)::UBIGINT),
+ lambda a, b: ((xor(a, b)::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT, 14695981039346656037::UBIGINT) AS h FROM kb)
+SELECT id, CASE WHEN h > 9223372036854775807 THEN (h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE h::BIGINT END AS quad_hash FROM h""",
         "queue_order": _TASKS,
         "queue_next": f"SELECT * FROM ({_TASKS}) ORDER BY priority DESC, id LIMIT 20",
     }
