@@ -162,6 +162,25 @@ def profile_classes(spark, d):
     return pulse.profiles(_kb(spark, d), pulse.Settings()).select("context", F.array_join("profile", ",").alias("profile"), "n", "first_subject")
 
 
+def pulse_profile_size(spark, d):
+    return pulse.profile_sizes(_kb(spark, d))
+
+
+def pulse_transitive_variant(spark, d):
+    s = pulse.Settings(ignore_context=True, truth_by_confidence=True)
+    return pulse.transitive(_stored(spark, d), s).select(*QUAD, "truth_value")
+
+
+def pulse_cross_variant(spark, d):
+    s = pulse.Settings(cross_skip=("profile_size",), group_max=8)
+    return pulse.cross_domain(_stored(spark, d), _standing(spark, d), s).select(*QUAD, "truth_value", "evidence")
+
+
+def profile_pairs_variant(spark, d):
+    s = pulse.similar_profiles(_stored(spark, d), pulse.Settings(similarity=0.3, min_profile=3, min_shared=2))
+    return s.select("context", F.array_join("p1", ",").alias("p1"), F.array_join("p2", ",").alias("p2"), F.round("sim", 6).alias("sim"))
+
+
 def pulse_run(spark, d):
     """Facts by generation and source after two pulses with verification."""
     s = pulse.run(_stored(spark, d), _standing(spark, d), cycles=2)
@@ -444,6 +463,7 @@ _QUERIES = [
     normalize_terms, append_dedup, star_triples, find_exact, search_like, search_multi, about, reverse, unresolved, known_subjects,
     ambiguous_subjects, subject_display, raw_lookup, stats_source, stats_grade_pivot, stats_dashboard, kb_report,
     pulse_merge, pulse_merge_all, pulse_transitive, transitive_blocked, pulse_cross_domain, pulse_analogy, profile_pairs, profile_classes, pulse_run,
+    pulse_profile_size, pulse_transitive_variant, pulse_cross_variant, profile_pairs_variant,
     verify_offline, update_truth, upsert_concepts, gate_verdicts, chain_confidence, rule_suggest, predicate_normalize, hierarchy_closure, centrality,
     synonyms, domain_cluster, domain_cluster_like, dedup_triples, integrity, neighbors_d2, neighbors_out, graph_size, path_bounded,
     classify_domains, compat_score, domain_matrix, nonsense_filter, predicate_profile, type_gate, scope_blocked, domain_analysis,

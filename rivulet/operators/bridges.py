@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet import vocabulary as V
 from rivulet.functions.text import is_atomic, lookup_norm
+from rivulet.operators.derived import rows
 from rivulet.operators.domains import classify
 from rivulet.tables import union_all
 
@@ -132,3 +133,20 @@ def cross_pattern_candidates(store: DataFrame, domains: V.Domains | None = None)
     a = labels.select(F.col("term").alias("term_a"), F.col("domains").alias("da"))
     b = labels.select(F.col("term").alias("term_b"), F.col("domains").alias("db"))
     return pairs.join(a, "term_a").join(b, "term_b").filter("da <> db").select("subject", "term_a", "term_b")
+
+
+def seed_bridges(spark: SparkSession) -> DataFrame:
+    """A few bridges of this library's own to start with (term_a, term_b, domain_a, domain_b, bridge_type, reason, strength)."""
+    seeds = [
+        ("river_delta", "lung", "geography", "biology", "pattern", "both branch to reach a whole area", 0.7),
+        ("water_cycle", "market", "earth_science", "economics", "structural", "flows, stores and feedback", 0.5),
+        ("valve", "heart", "engineering", "biology", "technological", "one-way passages", 0.8),
+        ("wave", "rumour", "physics", "psychology", "metaphorical", "spreads and fades", 0.4),
+        ("current", "current_account", "physics", "economics", "etymological", "from running water", 0.5),
+        ("tide", "moon", "earth_science", "astronomy", "causal", "pulled by gravity", 0.9),
+        ("irrigation", "tax", "agriculture", "politics", "historical", "canals needed administration", 0.6),
+        ("erosion", "forgetting", "earth_science", "psychology", "metaphorical", "slow loss of form", 0.4),
+        ("well", "patience", "everyday", "philosophy", "philosophical", "depth takes time", 0.3),
+        ("ice", "glass", "chemistry", "materials", "sensory", "clear, cold and hard", 0.4),
+    ]
+    return rows(spark, seeds, "term_a string, term_b string, domain_a string, domain_b string, bridge_type string, reason string, strength double").withColumn("strength", F.col("strength").cast("double"))

@@ -347,6 +347,13 @@ SELECT doc_id, line_no, {norm_sql("s")} AS subject, {norm_sql("pr")} AS predicat
         "fnv1a": KB.rstrip() + """, h AS (SELECT id, list_reduce(list_transform(string_split(subject || '|' || context || '|' || predicate || '|' || object, ''), lambda c: ord(c)::UBIGINT),
  lambda a, b: ((xor(a, b)::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT, 14695981039346656037::UBIGINT) AS h FROM kb)
 SELECT id, CASE WHEN h > 9223372036854775807 THEN (h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE h::BIGINT END AS quad_hash FROM h""",
+        "pulse_profile_size": KB + f"""SELECT subject, 'profile_size' AS predicate, 'has_' || count(DISTINCT predicate) || '_predicates_and_' || count(DISTINCT object) || '_objects' AS object, 'merged ' || count(*) AS evidence
+FROM kb WHERE truth_value = 'T' AND {S} GROUP BY subject HAVING count(*) >= 3""",
+        "pulse_transitive_variant": _CHAINS.replace("(a.context = b.context OR a.context = 'general' OR b.context = 'general')", "true") + f""", c AS (SELECT * FROM ch ANTI JOIN kb USING (subject, context, predicate, object) WHERE verdict LIKE 'allow%' QUALIFY row_number() OVER (PARTITION BY subject, context, predicate, object ORDER BY a_id, b_context, b_id) = 1)
+SELECT subject, context, predicate, object, CASE WHEN link IN {_in([*V.TRANSPARENT_LINKS, *V.SEMI_TRANSPARENT_LINKS])} THEN 'T' ELSE 'M' END AS truth_value
+FROM c ORDER BY a_id, b_context, b_id, subject, context, predicate, object LIMIT 50""",
+        "pulse_cross_variant": _CROSS.replace("count(*) <= 0.5 * (SELECT n FROM tot)", "count(*) <= 8").replace(f"predicate NOT IN {_in(V.CROSS_SKIP)}", "predicate <> 'profile_size'") + "SELECT subject, context, predicate, object, 'T' AS truth_value, CASE WHEN ok THEN 'bridge-validated' ELSE 'shared' END AS evidence FROM r",
+        "profile_pairs_variant": _PROFILES + "SELECT context, array_to_string(p1, ',') AS p1, array_to_string(p2, ',') AS p2, round(sim, 6) AS sim FROM sm WHERE sim >= 0.3 AND len(p1) >= 3 AND len(p2) >= 3 AND len(list_intersect(p1, p2)) >= 2",
         "queue_order": _TASKS,
         "queue_next": f"SELECT * FROM ({_TASKS}) ORDER BY priority DESC, id LIMIT 20",
     }

@@ -35,6 +35,13 @@ class Settings:
     analogy_skip: tuple = tuple(V.ANALOGY_SKIP)
     share: float = 0.5
     similarity: float = 0.6
+    #: Variants: chains over any contexts; truth by the gate's confidence (below 0.5: M, else T); largest group of a
+    #: shared property (None: by ``share``); least size of a profile and of what two profiles share.
+    ignore_context: bool = False
+    truth_by_confidence: bool = False
+    group_max: int | None = None
+    min_profile: int = 1
+    min_shared: int = 1
     rules: Rules = None
 
     def __post_init__(self):
@@ -71,11 +78,19 @@ def merge(store: DataFrame, s: Settings) -> DataFrame:
     return out.select(*QUAD, F.lit("T").alias("truth_value"), F.lit(False).alias("needs_verification"), F.lit("idea:merge").alias("source"), "evidence", F.col("first").alias("rank"))
 
 
+def profile_sizes(store: DataFrame, least: int = 3) -> DataFrame:
+    """(subject, predicate 'profile_size', object, evidence) of atomic subjects with ``least`` true facts or more: how
+    many predicates and objects they have."""
+    t = _true(store).filter(is_atomic("subject")).groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("predicate").alias("p"), F.count_distinct("object").alias("o"))
+    made = F.concat(F.lit("has_"), F.col("p"), F.lit("_predicates_and_"), F.col("o"), F.lit("_objects"))
+    return t.filter(F.col("n") >= least).select("subject", F.lit("profile_size").alias("predicate"), made.alias("object"), F.concat(F.lit("merged "), F.col("n")).alias("evidence"))
+
+
 def chains(left: DataFrame, right: DataFrame, s: Settings) -> DataFrame:
     """All chains of two facts whose contexts agree, with the gate's verdict."""
     a = left.select(*[F.col(c).alias(f"a_{c}") for c in ["id", *QUAD]])
     b = right.select(*[F.col(c).alias(f"b_{c}") for c in ["id", *QUAD]])
-    agree = (F.col("a_context") == F.col("b_context")) | (F.col("a_context") == "general") | (F.col("b_context") == "general")
+    agree = F.lit(True) if s.ignore_context else (F.col("a_context") == F.col("b_context")) | (F.col("a_context") == "general") | (F.col("b_context") == "general")
     j = a.join(b, (F.col("a_object") == F.col("b_subject")) & agree & (F.col("a_subject") != F.col("b_object")))
     return j.withColumn("verdict", s.rules.verdict(F.col("a_predicate"), F.col("b_predicate")))
 
@@ -91,7 +106,7 @@ def transitive(store: DataFrame, s: Settings) -> DataFrame:
     def conclude(left: DataFrame) -> DataFrame:
         c = chains(left, t, s).filter(F.startswith("verdict", F.lit("allow")))
         evidence = F.concat(F.lit("transitive["), "a_predicate", F.lit("→"), "b_predicate", F.lit("]: "), "a_subject", F.lit("("), "a_context", F.lit(")→"), "a_object", F.lit("→"), "b_object")
-        return c.select(F.col("a_subject").alias("subject"), F.col("a_context").alias("context"), F.col("b_predicate").alias("predicate"), F.col("b_object").alias("object"), evidence.alias("evidence"), "a_id", "b_context", "b_id")
+        return c.select(F.col("a_subject").alias("subject"), F.col("a_context").alias("context"), F.col("b_predicate").alias("predicate"), F.col("b_object").alias("object"), evidence.alias("evidence"), "a_id", "b_context", "b_id", s.rules.confidence(F.col("a_predicate"), F.col("b_predicate")).alias("conf"))
 
     order = [F.col("a_id"), F.col("b_context"), F.col("b_id")]
     if s.cap is None:
@@ -107,7 +122,8 @@ def transitive(store: DataFrame, s: Settings) -> DataFrame:
             if size >= total or out.count() >= s.cap:
                 break
             size *= GROWTH
-    return out.select(*QUAD, F.lit("M").alias("truth_value"), F.lit(True).alias("needs_verification"), F.lit("idea:transitive").alias("source"), "evidence", F.col("a_id").alias("rank"))
+    sure = (F.col("conf") >= 0.5) if s.truth_by_confidence else F.lit(False)
+    return out.select(*QUAD, F.when(sure, "T").otherwise("M").alias("truth_value"), (~sure).alias("needs_verification"), F.lit("idea:transitive").alias("source"), "evidence", F.col("a_id").alias("rank"))
 
 
 def blocked_chains(store: DataFrame, s: Settings) -> DataFrame:
@@ -141,7 +157,7 @@ def cross_domain(store: DataFrame, bridges: DataFrame, s: Settings) -> DataFrame
     total = everyone.select("subject", "context").distinct().count()
     t = everyone.filter(is_atomic("object") & ~F.col("predicate").isin(list(s.cross_skip)))
     key = ["predicate", "object"]
-    groups = work.put(t.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter((F.col("n") > 1) & (F.col("n") <= s.share * total)))
+    groups = work.put(t.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter((F.col("n") > 1) & (F.col("n") <= (s.share * total if s.group_max is None else s.group_max))))
     n_groups = groups.count()
 
     def pairs(some: DataFrame, members: int | None) -> DataFrame:
@@ -191,7 +207,8 @@ def profiles(store: DataFrame, s: Settings) -> DataFrame:
 
 def _profiled(store: DataFrame, s: Settings) -> DataFrame:
     t = _true(store).filter(is_atomic("subject") & ~F.col("predicate").isin(list(s.analogy_skip)))
-    return t.groupBy("subject", "context").agg(F.array_sort(F.collect_set("predicate")).alias("profile"))
+    p = t.groupBy("subject", "context").agg(F.array_sort(F.collect_set("predicate")).alias("profile"))
+    return p if s.min_profile <= 1 else p.filter(F.size("profile") >= s.min_profile)
 
 
 def similar_profiles(store: DataFrame, s: Settings) -> DataFrame:
@@ -209,7 +226,8 @@ def similar_profiles(store: DataFrame, s: Settings) -> DataFrame:
     a, b = head.select("context", "w", F.col("profile").alias("p1")), head.select("context", "w", F.col("profile").alias("p2"))
     j = a.join(b, ["context", "w"]).filter((F.col("p1") < F.col("p2")) & (F.size("p1") * s.similarity <= F.size("p2")) & (F.size("p2") * s.similarity <= F.size("p1"))).select("context", "p1", "p2").distinct()
     sim = F.size(F.array_intersect("p1", "p2")) / F.size(F.array_union("p1", "p2"))
-    return j.withColumn("sim", sim).filter(F.col("sim") >= s.similarity)
+    out = j.withColumn("sim", sim).filter(F.col("sim") >= s.similarity)
+    return out if s.min_shared <= 1 else out.filter(F.size(F.array_intersect("p1", "p2")) >= s.min_shared)
 
 
 def analogy(store: DataFrame, s: Settings) -> DataFrame:

@@ -202,3 +202,9 @@ def test_journal(spark):
     assert [r["id"] for r in journal.recent(journal.append_log(log, log), 3).collect()] == [4, 4, 3]
     ing = spark.createDataFrame([("json", 3, None), ("json", None, 1)], "source_type string, facts_added long, errors long")
     assert [tuple(r) for r in journal.ingest_summary(ing).collect()] == [("json", 2, 3, 1)]
+
+
+def test_seed_bridges(spark):
+    seeds = bridges.seed_bridges(spark)
+    assert seeds.count() == 10 and seeds.filter(~F.col("bridge_type").isin(V.BRIDGE_TYPES)).count() == 0
+    assert bridges.find_bridges(seeds, "Water Cycle").count() == 1
