@@ -56,7 +56,7 @@ def bridge_verdict(c: Column) -> Column:
     return F.struct(
         F.upper(line("MEANINGFUL")).startswith("Y").alias("meaningful"),
         F.when(kind.isin(V.BRIDGE_TYPES), kind).otherwise("emergent").alias("bridge_type"),
-        F.coalesce(F.least(F.lit(1.0), F.regexp_extract(line("STRENGTH"), r"([0-9]*\.?[0-9]+)", 1).try_cast("double")), F.lit(0.5)).alias("strength"),
+        F.least(F.lit(1.0), F.coalesce(F.regexp_extract(line("STRENGTH"), r"([0-9]*\.?[0-9]+)", 1).try_cast("double"), F.lit(0.5))).alias("strength"),
         line("REASON").alias("reason"),
         line("TEACHING").alias("teaching_note"),
     )

@@ -183,7 +183,7 @@ def cross_domain(store: DataFrame, bridges: DataFrame, s: Settings) -> DataFrame
             if out.count() >= s.cap or (take >= n_groups and members >= largest):
                 break
             take, members = take * GROWTH, members * GROWTH
-    linked = bridges.select(F.least("term_a", "term_b").alias("x"), F.greatest("term_a", "term_b").alias("y")).distinct().withColumn("known", F.lit(True))
+    linked = bridges.filter("term_a is not null and term_b is not null").select(F.least("term_a", "term_b").alias("x"), F.greatest("term_a", "term_b").alias("y")).distinct().withColumn("known", F.lit(True))
     out = out.withColumns({"x": F.least("s1", "s2"), "y": F.greatest("s1", "s2")}).join(linked, ["x", "y"], "left")
     nth = F.row_number().over(W.partitionBy("x", "y").orderBy(*order, "subject", "context", "predicate", "object"))
     evidence = F.when(F.coalesce("known", F.lit(False)) | (nth > 1), "bridge-validated").otherwise("shared")
