@@ -144,7 +144,10 @@ def _grow(fields: list[str]):
 
 
 def _route(cuts: dict[str, set[str]]):
-    """Containers under their subtree's prefix: the shortest one that isn't cut."""
+    """Terms under their subtree's prefix: the shortest one of the term that isn't cut, or the term itself where all are.
+
+    That is the same for a term whichever container of a worker held it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -156,8 +159,9 @@ def _route(cuts: dict[str, set[str]]):
                     rows.append((field, to, terms, occ, rec))
                     continue
                 deeper: dict[str, list] = {}
-                for t, o, r in zip(terms, occ, rec):  # the whole container is cut: one piece per next character
-                    part = deeper.setdefault(t[: len(prefix) + 1], [[], [], []])
+                for t, o, r in zip(terms, occ, rec):  # the whole container is cut: workers that burst deeper have its terms further down
+                    to = next((t[:i] for i in range(len(prefix) + 1, len(t) + 1) if t[:i] not in inner), t)
+                    part = deeper.setdefault(to, [[], [], []])
                     part[0].append(t)
                     part[1].append(o)
                     part[2].append(r)

@@ -44,6 +44,17 @@ def test_frequencies(spark, monkeypatch, merge):
     assert got == model(rows, "p") | model(rows, "q")
 
 
+def test_frequencies_with_workers_of_unequal_size(spark, monkeypatch):
+    """Two workers' tries burst below cut prefixes, the third's few terms stay in the container 'm' (and 'mo' is a term that is cut itself)."""
+    monkeypatch.setattr(terms, "MERGE", 50)
+    many = [{"p": f"mo{a}{b}{c}"} for a in "abcdefgh" for b in "abcdefghijkl" for c in "abcdefgh"] + [{"p": "mo"}]
+    few = [{"p": w} for w in ["moaab", "moaab", "mohha", "mo", "mo", "m"]]
+    df = spark.createDataFrame(many, "p string").repartition(2).union(spark.createDataFrame(few, "p string").coalesce(1))
+    assert df.rdd.getNumPartitions() == 3
+    got = [tuple(x) for x in term_frequencies(df, ["p"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == model(many + few, "p")
+
+
 def test_frequencies_empty(spark):
     assert term_frequencies(spark.createDataFrame([], "p string"), ["p"]).count() == 0
     assert term_frequencies(spark.createDataFrame([(None,), ("",), ("!",)], "p string"), ["p"]).count() == 0
