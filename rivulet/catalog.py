@@ -202,7 +202,7 @@ def update_truth(spark, d):
 def upsert_concepts(spark, d):
     """The latest definition of each subject and context, from the documents."""
     docs = load(spark, d, "documents").filter("subject is not null and context is not null and text is not null")
-    c = docs.select("subject", "context", F.left("text", F.lit(40)).alias("definition"), "source", F.col("doc_id").alias("seq"))
+    c = docs.select("subject", "context", F.col("text").alias("definition"), "source", F.col("doc_id").alias("seq"))
     none = c.filter("false").drop("seq")
     return store.upsert_concepts(none, c)
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rivulet import catalog
 from rivulet import vocabulary as V
 from rivulet.functions.hashing import fnv_batch
 from rivulet.functions.porter import stem
@@ -148,6 +149,13 @@ def test_porter_and_fnv():
     assert list(fnv_batch(values)) == [fnv(v or "") for v in values]
 
 
+def test_upsert_concepts_keeps_whole_definitions(spark, tmp_path):
+    long = "A basin is " + "wide and deep, " * 200
+    rows = [(1, "basin", "general", "old", "a"), (2, "basin", "general", long, "b"), (3, "tide", "physics", "short", "c"), (4, "tide", "physics", None, "d")]
+    spark.createDataFrame(rows, "doc_id long, subject string, context string, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert collected(catalog.upsert_concepts(spark, str(tmp_path))) == [("basin", "general", long, "b"), ("tide", "physics", "short", "c")]
+
+
 def test_search_index(spark):
     s = kb(spark, [("running_water", "general", "p", "cafe_wall"), ("wall", "general", "p", "water_run"), ("big", "general", "p", "stone")])
     i = fulltext.build_index(s)
