@@ -384,7 +384,7 @@ def fts_index(spark, d):
 
 def fts_search(spark, d):
     kb = _stored(spark, d)
-    syn = derived.build_synonyms(kb).filter("source = 'manual'").select("term", "synonym")
+    syn = derived.build_synonyms(kb).select("term", "synonym")
     return fulltext.search_index(kb, fulltext.build_index(kb), ["tidal_basin", "slow"], syn).select("id", "subject", "object")
 
 

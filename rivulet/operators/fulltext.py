@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.functions.porter import stem, stem_column
+from rivulet.functions.porter import stem_column
 from rivulet.operators.lookups import search_multi
-from rivulet.tables import union_all
+from rivulet.tables import Work
 
 #: Accented letters of the Latin script and their plain forms.
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -29,29 +29,50 @@ def build_index(store: DataFrame, stemmed: bool = True, columns: list[str] = COL
     return flat.select(stem_column(F.col("token")).alias("token") if stemmed else F.col("token"), "entry_id", "col", "pos")
 
 
-def _phrase(index: DataFrame, words: list[str]) -> DataFrame:
-    """Entries with the words next to each other in one column: one pass, grouped by where the phrase would start."""
-    starts = F.array(*[F.when(F.col("token") == w, F.col("pos") - i) for i, w in enumerate(words)])
-    at = index.filter(F.col("token").isin(sorted(set(words)))).select("entry_id", "col", F.posexplode(starts).alias("word", "start")).filter("start is not null")
-    return at.groupBy("entry_id", "col", "start").agg(F.count_distinct("word").alias("n")).filter(F.col("n") == len(words)).select("entry_id").distinct()
+def _phrases(texts: DataFrame, stemmed: bool) -> DataFrame:
+    """(phrase, n): the words of every text joined by blanks, and how many; texts without a word give none."""
+    words = texts.select(tokens_of(F.col("text")).alias("words")).distinct().select("words", F.posexplode("words").alias("i", "token"))
+    words = words.select("words", "i", stem_column(F.col("token")).alias("token") if stemmed else F.col("token"))
+    inner = words.groupBy("words").agg(F.array_sort(F.collect_list(F.struct("i", "token"))).alias("w"))
+    return inner.select(F.array_join("w.token", " ").alias("phrase"), F.size("w").alias("n")).distinct()
 
 
-def search_index(store: DataFrame, index: DataFrame, terms: list[str], synonyms: DataFrame | None = None, stemmed: bool = True, most: int = 1000) -> DataFrame:
+def _holding(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(entry_id) with the words of any phrase next to each other in one column.
+
+    The runs of words as long as some phrase are joined with the phrases, so
+    the work grows with the index and not with index times phrases.
+    """
+    lengths = sorted(r["n"] for r in phrases.select("n").distinct().collect())  # the lengths of phrases, a term has few words
+    if not lengths:
+        return index.select("entry_id").filter("false")
+    tokens = phrases.select(F.explode(F.split("phrase", " ")).alias("token")).distinct()
+    at = index.join(tokens, "token", "left_semi").groupBy("entry_id", "col").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("w"))
+
+    def runs(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.slice("w", i, n))
+        near = F.filter(every, lambda r: F.element_at(r, -1)["pos"] - F.element_at(r, 1)["pos"] == n - 1)
+        return F.when(F.size("w") >= n, F.transform(near, lambda r: F.array_join(r["token"], " ")))
+
+    none = F.array().cast("array<string>")
+    held = at.select("entry_id", F.explode(F.array_distinct(F.concat(*[F.coalesce(runs(n), none) for n in lengths]))).alias("phrase"))
+    return held.join(phrases, "phrase", "left_semi").select("entry_id").distinct()
+
+
+def search_index(store: DataFrame, index: DataFrame, terms: list[str], synonyms: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
     """Facts that hold any of the terms, or of their synonyms, as a phrase; without a hit, the substring search.
 
-    ``synonyms`` (term, synonym) expands the terms; at most ``most`` synonyms by
-    name are phrases of one query, a bound on the query text, not on the data.
+    ``synonyms`` (term, synonym) expands the terms, all of them however many
+    there are.  Phrases are taken apart like the indexed columns.
     """
+    if not terms:
+        return search_multi(store, terms)
+    work = Work(store.sparkSession, "search")
     keys = [t.lower().replace(" ", "_") for t in terms]
-    every = list(keys)
+    texts = store.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in keys])).alias("text"))
     if synonyms is not None:
-        every += [r["synonym"] for r in synonyms.filter(F.col("term").isin(keys)).select("synonym").distinct().orderBy("synonym").limit(most).collect()]
-    fold = str.maketrans(_ACCENTED, _PLAIN)
-    phrases = {tuple(stem(w) if stemmed else w for w in t.lower().translate(fold).replace("_", " ").split()) for t in every}
-    hits = [_phrase(index, list(p)) for p in sorted(phrases) if p]
-    if hits:
-        ids = union_all(hits).distinct()
-        found = store.join(ids.withColumnRenamed("entry_id", "id"), "id", "left_semi")
-        if not found.isEmpty():
-            return found
-    return search_multi(store, terms)
+        texts = texts.unionByName(synonyms.filter(F.col("term").isin(keys)).select(F.col("synonym").alias("text")))
+    ids = work.put(_holding(index, work.put(_phrases(texts, stemmed))))
+    if ids.isEmpty():
+        return search_multi(store, terms)
+    return store.join(ids.withColumnRenamed("entry_id", "id"), "id", "left_semi")

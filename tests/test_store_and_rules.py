@@ -165,6 +165,22 @@ def test_search_index(spark):
     assert [r["id"] for r in fulltext.search_index(s, i, ["huge"], syn).collect()] == [3]
 
 
+def test_search_expands_with_every_synonym(spark, tmp_path):
+    """Children and parts of a term count as its manual synonyms do."""
+    quads = [("rock_pool", "g", "is_a", "tidal_basin"), ("crab", "g", "lives_in", "rock_pool"), ("tidal_basin", "g", "has_part", "sea-gate"), ("lock", "g", "near", "sea_gate"), ("lock", "g", "in", "pool_rock"), ("snail", "g", "p", "sluggish")]
+    rows = [(i, *q[:4], None, "T", None, None, None, 0, 0, False, False) for i, q in enumerate(quads, 1)]
+    spark.createDataFrame(rows, ENTRY).write.parquet(f"{tmp_path}/entries.parquet")
+    assert sorted(r["id"] for r in catalog.fts_search(spark, str(tmp_path)).collect()) == [1, 2, 3, 4, 6]
+
+
+def test_search_with_many_synonyms(spark):
+    n = 1200
+    s = kb(spark, [(f"thing_{i}", "g", "p", f"w{i}_x{i}") for i in range(n)] + [("other", "g", "p", "w1_y_x1")])
+    syn = spark.createDataFrame([("huge", f"w{i}_x{i}") for i in range(n)], "term string, synonym string")
+    got = [r["id"] for r in fulltext.search_index(s, fulltext.build_index(s), ["huge"], syn).collect()]
+    assert sorted(got) == list(range(1, n + 1))
+
+
 def test_bridges(spark):
     b = spark.createDataFrame([(1, "a", "b", "scale", 0.5)], "id long, term_a string, term_b string, bridge_type string, strength double")
     new = spark.createDataFrame([(2, "A", "b", "scale", None), (3, "b", "a", "scale", None), (4, "c", "d", "nonsense", None), (5, "c", None, "scale", None), (6, "b", "a", "scale", 1.0)], b.schema)
