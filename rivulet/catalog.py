@@ -428,7 +428,7 @@ def wiki_extracts(spark, d):
 
 
 def wiki_sections(spark, d):
-    return readers.section_chunks(_texts(spark, d))
+    return readers.section_chunks(_texts(spark, d), most=None)
 
 
 def queue_order(spark, d):

@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from rivulet import catalog
 from rivulet.functions.parsing import bridge_verdict, chunk_text, payload, pipe_triples, question_terms, sections, verdict
 from rivulet.sources import readers
 from rivulet.streaming import queue
@@ -71,6 +72,13 @@ def test_extracts(spark):
     assert [r["chunk"] for r in readers.section_chunks(s).orderBy("section").collect()] == ["a", "b", "c"]
 
 
+def test_wiki_sections_keeps_every_chunk(spark, tmp_path):
+    paras = [c * 1400 for c in "abcdef"]
+    spark.createDataFrame([(1, "\n\n".join(paras) + "\n==\nz")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.wiki_sections(spark, str(tmp_path)).orderBy("section", "chunk_no").collect()
+    assert [(r["section"], r["chunk_no"], r["chunk"][-1]) for r in got] == [(0, i, c) for i, c in enumerate("abcdef")] + [(1, 0, "z")]
+
+
 def test_replies(spark):
     df = spark.createDataFrame([(1, "1. Water | Is-A | fluid\n- a|b\n* x | y | z | m\nVERDICT: **False**\nREASON: no way"), (2, None), (3, "")], "id long, text string")
     assert [tuple(r)[2:] for r in pipe_triples(df, "id", "text").orderBy("line_no").collect()] == [("water", "is_a", "fluid", "T"), ("x", "y", "z", "M")]
