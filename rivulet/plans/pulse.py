@@ -177,12 +177,24 @@ def cross_domain(store: DataFrame, bridges: DataFrame, s: Settings) -> DataFrame
     else:
         take, members = BLOCK // 4, s.cap + 1
         largest = groups.agg(F.max("n")).first()[0] or 0
+
+        def whole(out: DataFrame) -> bool:
+            """No pair of a member beyond the held ones comes before one of ``out``: the first such pair is that of the
+            first member of the first group that is not held in full."""
+            cut = groups.filter(F.col("n") > members).orderBy("first", *key).limit(1)
+            lead = t.join(cut, key).groupBy("first").agg(F.min(F.struct("subject", "context")).alias("m")).first()
+            if lead is None:
+                return True
+            same = (F.col("s1") == lead["m"]["subject"]) & (F.col("c1") == lead["m"]["context"])
+            return out.filter((F.col("first") > lead["first"]) | ((F.col("first") == lead["first"]) & ~same)).isEmpty()
+
         while True:
             # in order of a group's pairs, its first cap + 1 members fill the cap unless pairs are known already
             out = work.put(_new(pairs(groups.orderBy("first", *key).limit(take), members), store, order, s.cap))
-            if out.count() >= s.cap or (take >= n_groups and members >= largest):
+            full = out.count() >= s.cap
+            if members >= largest and (full or take >= n_groups) or full and whole(out):
                 break
-            take, members = take * GROWTH, members * GROWTH
+            take, members = take if full else take * GROWTH, members * GROWTH
     linked = bridges.filter("term_a is not null and term_b is not null").select(F.least("term_a", "term_b").alias("x"), F.greatest("term_a", "term_b").alias("y")).distinct().withColumn("known", F.lit(True))
     out = out.withColumns({"x": F.least("s1", "s2"), "y": F.greatest("s1", "s2")}).join(linked, ["x", "y"], "left")
     nth = F.row_number().over(W.partitionBy("x", "y").orderBy(*order, "subject", "context", "predicate", "object"))

@@ -8,6 +8,7 @@ from rivulet.functions.porter import stem
 from rivulet.functions.text import insert_norm, insert_norm_py
 from rivulet.operators import bridges, derived, domains, fulltext, gates, graph, lookups
 from rivulet.plans import pulse, store
+from rivulet.tables import Work
 
 from .conftest import collected
 
@@ -156,6 +157,19 @@ def test_upsert_concepts_keeps_whole_definitions(spark, tmp_path):
     assert collected(catalog.upsert_concepts(spark, str(tmp_path))) == [("basin", "general", long, "b"), ("tide", "physics", "short", "c")]
 
 
+def test_later_pulses_of_a_large_group(spark):
+    """Every capped pulse is the uncapped rule cut at the cap, when pairs of the first members are known already."""
+    quads = [("a", "g", "p", "x"), ("b", "g", "p", "x")] + [(f"m{i:03}", "g", "has_part", "basin") for i in range(200)] + [("c", "g", "q", "y"), ("d", "g", "q", "y")]
+    s = kb(spark, quads)
+    none = spark.createDataFrame([], "term_a string, term_b string")
+    for _ in range(3):
+        capped = pulse.cross_domain(s, none, pulse.Settings(group_max=1000))
+        every = pulse.cross_domain(s, none, pulse.Settings(group_max=1000, cap=None))
+        first = sorted((r["rank"], r["s1"], r["s2"], r["subject"]) for r in every.collect())[:50]
+        assert sorted((r["rank"], r["s1"], r["s2"], r["subject"]) for r in capped.collect()) == first
+        s = Work(spark, "test").put(pulse._insert(s, capped.drop("s1", "s2"), 1))
+
+
 def test_search_index(spark):
     s = kb(spark, [("running_water", "general", "p", "cafe_wall"), ("wall", "general", "p", "water_run"), ("big", "general", "p", "stone")])
     i = fulltext.build_index(s)
