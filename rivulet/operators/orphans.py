@@ -49,7 +49,7 @@ def _targets(t: Table) -> DataFrame:
     return rows.groupBy("ref").agg(F.min("t_made").alias("t_made"), F.max("t_gone").alias("t_gone"), F.lit(True).alias("t_there"))
 
 
-def orphans(spark: SparkSession, tables: list[Table], references: list[Reference], max_rounds: int = 100) -> DataFrame:
+def orphans(spark: SparkSession, tables: list[Table], references: list[Reference], max_rounds: int | None = None) -> DataFrame:
     """(table_name, record_key, ref_month, reason, via, level): every orphaned record, one row per bad reference.
 
     Level 1 is direct: reason 'missing' when no record has the key, else
@@ -60,7 +60,9 @@ def orphans(spark: SparkSession, tables: list[Table], references: list[Reference
     end and pass nothing on).  ``via`` is the referred table, ``ref_month`` the
     month of the referring row's creation, 'unknown' when that is null.  Rows
     that are repeated in a table come out once each.  Null references are no
-    references; empty tables give no rows, or all references missing.
+    references; empty tables give no rows, or all references missing.  The
+    cascade runs until no record is new; with ``max_rounds``, one that needs
+    more levels is an error.
     """
     work = Work(spark, "orphans")
     by_name = {t.name: t for t in tables}
@@ -88,15 +90,19 @@ def orphans(spark: SparkSession, tables: list[Table], references: list[Reference
     referred = {r.parent for r in references}
     news = every[0].filter(F.col("table_name").isin(*referred) & (F.col("reason") != "late"))
     level = 1
-    while level < max_rounds and referred & {r.child for r in references} and not news.isEmpty():
+    # a record without a key is known by what refers to it, so that a ring of such records ends too
+    named = F.coalesce(F.concat(F.lit("k"), "record_key"), F.concat(F.lit("o"), "own_ref"))
+    while referred & {r.child for r in references} and not news.isEmpty():
+        if max_rounds is not None and level >= max_rounds:
+            raise RuntimeError(f"orphans go on below level {max_rounds}")
         level += 1
         below = []
         for i, r in enumerate(references):
             gone = news.filter(F.col("table_name") == r.parent).select(F.col("own_ref").alias("ref")).distinct()
             hit = refs[i].withColumn("ref", F.col("ref").cast("string")).join(gone, "ref", "left_semi")
             below.append(hit.select(F.lit(r.child).alias("table_name"), "record_key", "own_ref", "ref_month", F.lit("inherited").alias("reason"), F.lit(r.parent).alias("via"), F.lit(level).alias("level")))
-        known = union_all(every).select("table_name", "record_key")
-        fresh = work.put(union_all(below).join(known, ["table_name", "record_key"], "left_anti"))
+        known = union_all(every).select("table_name", named.alias("named"))
+        fresh = work.put(union_all(below).withColumn("named", named).join(known, ["table_name", "named"], "left_anti").drop("named"))
         every.append(fresh)
         news = fresh.filter(F.col("table_name").isin(*referred))
     return union_all(every).drop("own_ref")

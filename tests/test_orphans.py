@@ -1,5 +1,7 @@
 from datetime import datetime
+from inspect import signature
 
+import pytest
 from pyspark.sql import functions as F
 
 from rivulet.operators.orphans import Reference, Table, knowledge_base_orphans, orphans, orphans_by_month
@@ -34,6 +36,21 @@ def test_cyclic_references_end(spark):
     assert {(r["record_key"], r["level"]) for r in found.collect()} == {("3", 1), ("4", 2), ("5", 3)}
 
 
+def test_no_silent_end_of_the_cascade(spark):
+    assert signature(orphans).parameters["max_rounds"].default is None
+    p = spark.createDataFrame([(i, i - 1) for i in range(1, 6)], "id long, next long")
+    run = lambda **more: orphans(spark, [Table("p", p, F.col("id"), F.col("id"))], [Reference("p", "p", F.col("next"))], **more)
+    assert {(r["record_key"], r["level"]) for r in run().collect()} == {(str(i), i) for i in range(1, 6)}
+    with pytest.raises(RuntimeError):
+        run(max_rounds=3)
+
+
+def test_rings_without_keys_end(spark):
+    p = spark.createDataFrame([(1, 2, None), (2, 1, None), (1, 99, "a")], "id long, next long, name string")
+    found = orphans(spark, [Table("p", p, F.col("name"), F.col("id"))], [Reference("p", "p", F.col("next"))], max_rounds=8)
+    assert {(r["record_key"], r["level"]) for r in found.collect()} == {("a", 1), (None, 2), (None, 3)}
+
+
 def test_empty_tables(spark, tmp_path):
     t = {
         "bridges": "id long, created_at timestamp, deleted_at timestamp", "bridge_examples": "id long, bridge_id long, created_at timestamp",
