@@ -363,7 +363,7 @@ def bridge_potential(spark, d):
 
 
 def bridge_relevant(spark, d):
-    terms = _kb(spark, d).filter(is_atomic("subject")).select(F.col("subject").alias("term"))
+    terms = _kb(spark, d).select(F.explode(F.array("subject", "object")).alias("term")).filter(is_atomic("term"))
     return bridges.relevant_bridges(load(spark, d, "bridges"), terms).select("id")
 
 

@@ -118,10 +118,14 @@ def potential_bridges(store: DataFrame, domains: V.Domains | None = None) -> Dat
 
 
 def relevant_bridges(bridges: DataFrame, terms: DataFrame) -> DataFrame:
-    """Bridges with a side equal to a term of the knowledge base or sharing one of its '_'-joined words."""
-    words = terms.select(F.explode(F.array_append(F.split("term", "_"), F.col("term"))).alias("word")).filter("length(word) > 3").distinct()
-    sides = bridges.select("id", F.explode(F.array(lookup_norm("term_a"), lookup_norm("term_b"))).alias("side"))
-    sides = sides.select("id", F.explode(F.array_append(F.split("side", "_"), F.col("side"))).alias("word"))
+    """Bridges with a side equal to a term of the knowledge base, however short, or sharing one of its '_'-joined words
+    of more than three characters."""
+    # a whole term is marked by a blank, which no word of one has
+    whole = lambda c: F.concat(F.lit(" "), F.col(c))
+    parts = lambda c: F.array_append(F.filter(F.array_append(F.split(c, "_"), F.col(c)), lambda w: F.length(w) > 3), whole(c))
+    words = terms.filter("term is not null").select(F.explode(parts("term")).alias("word")).distinct()
+    sides = bridges.select("id", F.explode(F.array(lookup_norm("term_a"), lookup_norm("term_b"))).alias("side")).filter("side is not null")
+    sides = sides.select("id", F.explode(parts("side")).alias("word"))
     return bridges.join(sides.join(words, "word", "left_semi").select("id").distinct(), "id", "left_semi")
 
 

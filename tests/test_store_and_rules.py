@@ -195,6 +195,15 @@ def test_search_with_many_synonyms(spark):
     assert sorted(got) == list(range(1, n + 1))
 
 
+def test_relevant_bridges_by_objects_and_short_terms(spark, tmp_path):
+    quads = [("ice", "g", "p", "sea"), ("water", "g", "p", "salt_marsh")]
+    rows = [(i, *q, None, "T", None, None, None, 0, 0, False, False) for i, q in enumerate(quads, 1)]
+    spark.createDataFrame(rows, ENTRY).write.parquet(f"{tmp_path}/entries.parquet")
+    b = [(1, "ICE", "x"), (2, "x", "sea"), (3, "marsh", None), (4, "ice_age", "y"), (5, "hot water", "y"), (6, "z", None)]
+    spark.createDataFrame(b, "id long, term_a string, term_b string").write.parquet(f"{tmp_path}/bridges.parquet")
+    assert sorted(r["id"] for r in catalog.bridge_relevant(spark, str(tmp_path)).collect()) == [1, 2, 3, 5]
+
+
 def test_bridges(spark):
     b = spark.createDataFrame([(1, "a", "b", "scale", 0.5)], "id long, term_a string, term_b string, bridge_type string, strength double")
     new = spark.createDataFrame([(2, "A", "b", "scale", None), (3, "b", "a", "scale", None), (4, "c", "d", "nonsense", None), (5, "c", None, "scale", None), (6, "b", "a", "scale", 1.0)], b.schema)
