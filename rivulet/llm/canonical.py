@@ -4,12 +4,17 @@ A multi-pattern automaton over all canonical names and aliases finds embedded
 mentions, of which the longest non-overlapping one wins; values without a
 mention go to token-set similarity.  Every worker maps the distinct spellings
 it meets, so nothing is shuffled and no value can be a hot key.
+
+Every answer has a rank, (stage, -score, place, original), and the least one
+wins.  It is a property of the value and the entry alone, so a list that is
+matched in blocks gives the same answers as one that is matched at once.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import permutations
 
 import ahocorasick
@@ -19,20 +24,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.text import insert_norm_py
-from rivulet.tables import Work
+from rivulet.tables import Work, hot_keys, skew_join
 
-#: The reference list is matched in blocks of so many entries.
+#: A worker holds so many entries of the reference list at once; a longer list is matched in blocks, with the same answers.
 BLOCK = 20_000
-#: A worker remembers so many spellings.
-REMEMBERED = 200_000
+#: A worker remembers so many spellings of up to so many characters (a cache; others are worked out again).
+REMEMBERED, REMEMBERED_SIZE = 200_000, 200
+#: Least similarity of a match.  Fitted on the 12,410 distinct word sequences of the test tables' predicates: the best entry
+#: of those that stand for one scores 0.50 or more, that of those that stand for none 0.42 or less.
+LEAST = 0.46
+#: Letters that only the value has weigh so much against it, letters that only the entry has weigh 1: values carry small words.
+FOREIGN = 0.7
+
+#: Stages of an answer, best first.
+EXACT, JOINED, ANY_ORDER, MENTION, SIMILAR = range(5)
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _SEPARATOR = re.compile(r"[\W_]+")
-#: Rows of the usual keyboard, for slips onto a neighbouring key.
-_KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-_NEAR = {(a, b) for r, row in enumerate(_KEYS) for i, a in enumerate(row) for q, other in enumerate(_KEYS) for j, b in enumerate(other) if a != b and abs(r - q) <= 1 and abs(i - j) <= 1}
-#: Small words that may stand before or after a name without changing it.
-_SMALL = ("a", "an", "the", "some", "is", "are", "was", "can", "will", "may", "must")
 
 
 def tokens(value: str) -> list[str]:
@@ -40,39 +48,42 @@ def tokens(value: str) -> list[str]:
     return [t for t in _SEPARATOR.split(_INVISIBLE.sub("", value).lower()) if t]
 
 
-def slips(a: str, b: str, most: float) -> float:
-    """Typing slips between two strings, at most ``most`` (else infinity).
-
-    Insertions, deletions, substitutions and swaps of neighbours count 1 each;
-    doubled letters, neighbouring keys and swaps, which fingers produce more
-    often, count a little less, so that ties fall to the likelier one.
-    """
-    if abs(len(a) - len(b)) > most + 1:
-        return np.inf
-    before2: list[float] = []
-    before = [float(j) for j in range(len(b) + 1)]
+@lru_cache(maxsize=REMEMBERED)
+def in_common(a: str, b: str) -> int:
+    """Letters of the longer string less the slips (insertions, deletions, substitutions, swaps of neighbours) between both."""
+    before2: list[int] = []
+    before = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        row = [float(i)]
+        row = [i]
         for j, y in enumerate(b, 1):
-            if x == y:
-                row.append(before[j - 1])
-                continue
-            drop = before[j] + (0.9 if i > 1 and x == a[i - 2] else 1.0)
-            add = row[j - 1] + (0.9 if j > 1 and y == b[j - 2] else 1.0)
-            turn = before[j - 1] + (0.9 if (x, y) in _NEAR else 1.0)
-            best = min(drop, add, turn)
+            best = before[j - 1] if x == y else 1 + min(before[j], row[j - 1], before[j - 1])
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before2[j - 2] + 0.9)
+                best = min(best, before2[j - 2] + 1)
             row.append(best)
-        if min(row) > most:
-            return np.inf
         before2, before = before, row
-    return before[-1] if before[-1] <= most else np.inf
+    return max(len(a), len(b)) - before[-1]
 
 
-def _allowed(n: int) -> float:
-    """Slips that a name of n letters may hold: about one letter in three of short names, fewer of long ones."""
-    return 1.0 if n <= 4 else 2.0 if n <= 7 else 3.0 if n <= 16 else 4.0
+def similarity(value: tuple[str, ...], entry: tuple[str, ...]) -> float:
+    """Token-set similarity in letters: common / (common + FOREIGN * value's own + entry's own), from 0 to 1.
+
+    Each token is matched with at most one of the other side, the most alike
+    first and only where half of the letters agree.  Where tokens ran together
+    both sides count as one token, with equal weights; the better one holds.
+    """
+    whole, name = "".join(value), "".join(entry)
+    n, m = len(whole), len(name)
+    alike = lambda a, b: 2 * min(len(a), len(b)) >= max(len(a), len(b)) <= 2 * in_common(a, b)
+    pairs = sorted((-in_common(a, b), i, j) for i, a in enumerate(value) for j, b in enumerate(entry) if alike(a, b))
+    used_a, used_b, common = set(), set(), 0
+    for c, i, j in pairs:
+        if i not in used_a and j not in used_b:
+            used_a.add(i)
+            used_b.add(j)
+            common -= c
+    as_sets = common / (common + FOREIGN * (n - common) + (m - common)) if common else 0.0
+    joined = in_common(whole, name)
+    return max(as_sets, joined / (n + m - joined))
 
 
 def _letters(words: list[str]) -> np.ndarray:
@@ -88,104 +99,87 @@ class Matcher:
     """One block of the reference list, ready to match."""
 
     def __init__(self, listed: list[tuple[str, str]]):
-        self.listed = sorted(set(listed))
         self.by_tokens: dict[tuple, tuple[str, str]] = {}
         self.by_joined: dict[str, tuple[str, str]] = {}
-        self.by_set: dict[tuple, tuple[str, str]] = {}
+        self.any_order: dict[tuple, tuple[str, str]] = {}
         self.automaton = ahocorasick.Automaton()
-        self.known: dict[str, tuple[float, str] | None] = {}
+        self.known: dict[tuple, tuple | None] = {}
         self.entries = []
-        for original, canonical in self.listed:
+        for original, canonical in sorted(set(listed)):
             ts = tuple(tokens(original))
             if not ts:
                 continue
             self.entries.append((ts, original, canonical))
             self.by_tokens.setdefault(ts, (original, canonical))
             self.by_joined.setdefault("".join(ts), (original, canonical))
-            self.by_set.setdefault(tuple(sorted(set(ts))), (original, canonical))
-            self.automaton.add_word(f"_{'_'.join(ts)}_", (len("_".join(ts)), original, canonical))
-        for ts, original, canonical in self.entries:  # run together in another order
-            for p in permutations(ts) if 1 < len(ts) <= 4 else ():
-                self.by_joined.setdefault("".join(p), (original, canonical))
+            self.any_order.setdefault(tuple(sorted(set(ts))), (original, canonical))
+            for p in permutations(ts) if 1 < len(ts) <= 4 else ():  # run together in another order
+                self.any_order.setdefault(("".join(p),), (original, canonical))
+            word = f"_{'_'.join(ts)}_"
+            if word not in self.automaton:
+                self.automaton.add_word(word, (len(word) - 2, original, canonical))
         self.some = bool(self.entries)
         if self.some:
             self.automaton.make_automaton()
-            self.joined = ["".join(t) for t, _, _ in self.entries]
-            self.counts = _letters(self.joined)
-            self.limits = np.array([_allowed(len(j)) for j in self.joined])
+            self.counts = _letters(["".join(t) for t, _, _ in self.entries])
+            self.sizes = self.counts.sum(1)
 
-    def mention(self, ts: list[str]) -> tuple[float, str] | None:
-        """Longest of the non-overlapping mentions; it must make up half of the value's letters."""
+    def mention(self, ts: tuple[str, ...]) -> tuple | None:
+        """The longest mention, which the longest non-overlapping ones begin with; it must make up half of the value."""
         text = f"_{'_'.join(ts)}_"
-        found = sorted(((-n, end - n, original, canonical) for end, (n, original, canonical) in self.automaton.iter(text)), key=lambda x: x[:3])
-        taken: list[tuple[int, int]] = []
-        kept = []
-        for n, start, _, canonical in found:
-            if all(start >= e or start - n <= s for s, e in taken):
-                taken.append((start, start - n))
-                kept.append((-n, canonical))
-        if kept and 2 * kept[0][0] >= len(text) - 2:
-            return 1.0 - (len(text) - 2 - kept[0][0]) / 1000, kept[0][1]
-        return None
-
-    def similar(self, ts: list[str]) -> tuple[float, str] | None:
-        """Token-set similarity with slips: tokens in any order; then one foreign token at either end, or an -ing form."""
-        best = self._nearest(ts, 0.0, None)
-        if best is not None and best[0][1] <= 1.0:
-            return 1.0 - best[0][0], best[1]
-        forms = [[*ts[:k], t[:-3], *ts[k + 1 :]] for k, t in enumerate(ts) if t.endswith("ing") and len(t) > 5]
-        if len(ts) > 1:
-            forms += [ts[1:], ts[:-1]]
-        elif len(ts[0]) > 6:
-            forms += [[ts[0][len(w) :]] for w in _SMALL if ts[0].startswith(w)] + [[ts[0][: -len(w)]] for w in _SMALL if ts[0].endswith(w)]
-        for form in forms:
-            best = self._nearest(form, 0.3, best)
-        return None if best is None else (1.0 - best[0][0], best[1])
-
-    def _nearest(self, form: list[str], cost: float, best: tuple | None) -> tuple | None:
-        whole = "".join(form)
-        if len(whole) < 2:
-            return best
-        diff = self.counts - _letters([whole])  # lower bound of the slips: letters too many or too few
-        bound = np.maximum(np.where(diff > 0, diff, 0).sum(1), np.where(diff < 0, -diff, 0).sum(1))
-        for i in np.nonzero(bound * 0.9 <= self.limits)[0]:
-            names, original, canonical = self.entries[i]
-            most = float(self.limits[i])
-            d = slips(whole, self.joined[i], most)
-            if d > 0.9 and 1 < len(form) == len(names) <= 5:
-                for p in permutations(form):
-                    d = min(d, slips("".join(p), self.joined[i], most) + 0.2)
-            if d <= most:
-                rank = ((d + cost) / len(self.joined[i]), d + cost, original)
-                if best is None or rank < best[0]:
-                    best = (rank, canonical)
+        found = min(((-n, end - n, original, canonical) for end, (n, original, canonical) in self.automaton.iter(text)), default=None)
+        if found is None or -2 * found[0] < len(text) - 2:
+            return None
+        return MENTION, -(1.0 - (len(text) - 2 + found[0]) / 1000), *found[1:]
+
+    def similar(self, ts: tuple[str, ...]) -> tuple | None:
+        """The most similar entry.  Equal letters bound the similarity from above, so entries are tried by that bound
+        until it falls below the best one; none is left out that could win."""
+        own = _letters(["".join(ts)])
+        common = np.minimum(self.counts, own).sum(1)
+        n = int(own.sum())
+        bound = np.maximum(common / np.maximum(common + FOREIGN * (n - common) + (self.sizes - common), 1), common / np.maximum(n + self.sizes - common, 1))
+        near = np.nonzero(bound >= LEAST - 1e-9)[0]
+        best = None
+        for i in near[np.argsort(-bound[near], kind="stable")]:
+            if best is not None and bound[i] < -best[1] - 1e-9:
+                break
+            entry, original, canonical = self.entries[i]
+            s = similarity(ts, entry)
+            if s >= LEAST:
+                rank = (SIMILAR, -s, 0, original, canonical)
+                best = rank if best is None else min(best, rank)
         return best
 
-    def match(self, value: str) -> tuple[float, str] | None:
-        ts = tokens(value)
+    def match(self, value: str) -> tuple[int, float, int, str, str] | None:
+        """(stage, -score, place, original, canonical) of the best entry, or None."""
+        ts = tuple(tokens(value))
         if not ts or not self.some:
             return None
-        hit = self.by_tokens.get(tuple(ts)) or self.by_joined.get("".join(ts)) or self.by_set.get(tuple(sorted(set(ts))))
-        if hit:
-            return 1.0, hit[1]
-        key = "_".join(ts)  # many spellings come down to the same words
-        if key not in self.known:
+        for stage, hit in ((EXACT, self.by_tokens.get(ts)), (JOINED, self.by_joined.get("".join(ts))), (ANY_ORDER, self.any_order.get(tuple(sorted(set(ts)))))):
+            if hit:
+                return stage, -1.0, 0, *hit
+        if ts not in self.known:  # many spellings come down to the same words
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[key] = self.mention(ts) or self.similar(ts)
-        return self.known[key]
+            found = self.mention(ts) or self.similar(ts)
+            if len(value) > REMEMBERED_SIZE:
+                return found
+            self.known[ts] = found
+        return self.known[ts]
 
 
-def _map(listed: list[tuple[str, str]], all_originals: set[str] | None):
+def _map_rows(listed: list[tuple[str, str]]):
+    """Rows (id, value) straight to their answers: the whole list is held."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher, known = Matcher(listed), {}
-        skip = all_originals if all_originals is not None else set()
+        matcher, known, skip = Matcher(listed), {}, {o for o, _ in listed}
 
         def one(value: str) -> tuple[bool, float, str]:
             if value in skip or not insert_norm_py(value):
                 return False, 0.0, ""
             hit = matcher.match(value)
-            return (True, *hit) if hit else (True, 0.0, "unmatched")
+            return (True, -hit[1], hit[4]) if hit else (True, 0.0, "unmatched")
 
         for pdf in batches:
             codes, values = pd.factorize(pdf["value"])
@@ -193,9 +187,11 @@ def _map(listed: list[tuple[str, str]], all_originals: set[str] | None):
             for v in values:
                 r = known.get(v)
                 if r is None:
+                    r = one(v)
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    r = known[v] = one(v)
+                    if len(v) <= REMEMBERED_SIZE:
+                        known[v] = r
                 found.append(r)
             if not found:
                 continue
@@ -206,38 +202,61 @@ def _map(listed: list[tuple[str, str]], all_originals: set[str] | None):
     return run
 
 
-def canonical_names(df: DataFrame, id_col: str, value_col: str, reference: DataFrame, original: str, canonical: str) -> DataFrame:
+def _map_spellings(listed: list[tuple[str, str]]):
+    """Distinct values to their best answer within one block; values without one give no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(listed)
+        for pdf in batches:
+            rows = [(v, *hit) for v in pdf["value"] if (hit := matcher.match(v))]
+            yield pd.DataFrame(rows, columns=["value", "stage", "less", "place", "original", "canonical"])
+
+    return run
+
+
+def _filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf[[bool(insert_norm_py(v)) for v in pdf["value"]]]
+
+
+def canonical_names(df: DataFrame, id_col: str, value_col: str, reference: DataFrame, original: str, canonical: str, block: int | None = None) -> DataFrame:
     """(entry_id, score, canonical): the canonical name that each freely typed value stands for.
 
     Rows whose value is null, empty after insert normalisation or, character
     for character, a listed original are left out.  ``canonical`` is that of
-    the listed original with the best score (1.0 for the same words, in any
-    order or run together; a little less for a mention inside a longer value;
-    less for each slip), or 'unmatched' with score 0 when none is near enough.
-    Ties fall to the original that comes first in code point order.  Reference
-    rows with a null side are no entries; repeated ones count once; when an
-    original has several canonical names, the first in code point order holds.
-    An empty reference list leaves every value unmatched.  Other columns are
-    disregarded.  A list beyond BLOCK entries is matched in blocks.
+    the listed original found first of: the same words; the same words run
+    together; the same words in any order (score 1.0 so far); the longest
+    mention inside a value that it makes up half of (a little less); the most
+    similar one by token sets, LEAST or more.  Else it is 'unmatched' with
+    score 0.  Ties fall to the original that comes first in code point order.
+    Reference rows with a null side are no entries; repeated ones count once;
+    when an original has several canonical names, the first in code point
+    order holds.  An empty reference list leaves every value unmatched.  Other
+    columns are disregarded.  A list beyond ``block`` entries is matched in
+    blocks against the distinct spellings, with the same answers.
     """
+    block = block or BLOCK
     spark = df.sparkSession
-    Work(spark, "canonical")
+    work = Work(spark, "canonical")
     listed_rows = reference.select(F.col(original).alias("o"), F.col(canonical).alias("c")).filter("o is not null and c is not null").groupBy("o").agg(F.min("c").alias("c"))
-    values = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(value_col).alias("value")).filter("value is not null")
-    schema = "entry_id bigint, score double, canonical string"
+    values = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(value_col).cast("string").alias("value")).filter("value is not null")
     size = listed_rows.count()
-    if size <= BLOCK:
-        listed = [(r["o"], r["c"]) for r in listed_rows.collect()]  # at most BLOCK rows
-        return values.mapInPandas(_map(listed, {o for o, _ in listed}), schema)
-    # beyond one block: each block is matched on its own, the best score of a row wins
-    work = Work(spark, "canonical")
-    parts = -(-size // BLOCK)
-    blocks = work.put(listed_rows.withColumn("b", F.pmod(F.xxhash64("o"), F.lit(parts))))
-    rest = work.put(values.join(listed_rows.select(F.col("o").alias("value")), "value", "left_anti"))
-    out = None
+    if size <= block:
+        listed = [(r["o"], r["c"]) for r in listed_rows.collect()]  # at most ``block`` rows
+        return values.mapInPandas(_map_rows(listed), "entry_id bigint, score double, canonical string")
+    parts = -(-size // block)
+    blocks = work.put(listed_rows.withColumn("b", F.pmod(F.xxhash64("o"), F.lit(parts)).cast("int")))
+    counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).join(listed_rows.select(F.col("o").alias("value")), "value", "left_anti")
+    spellings = work.put(counted.mapInPandas(_filled, "value string, n bigint"))
+    found = []
     for b in range(parts):
-        listed = [(r["o"], r["c"]) for r in blocks.filter(F.col("b") == b).select("o", "c").collect()]
-        got = rest.mapInPandas(_map(listed, None), schema)
-        out = got if out is None else out.unionByName(got)
-    best = F.max_by("canonical", F.struct("score", F.col("canonical") != "unmatched"))
-    return out.groupBy("entry_id").agg(F.max("score").alias("score"), best.alias("canonical"))
+        listed = [(r["o"], r["c"]) for r in blocks.filter(F.col("b") == b).select("o", "c").collect()]  # about ``block`` rows
+        found.append(spellings.select("value").mapInPandas(_map_spellings(listed), "value string, stage int, less double, place int, original string, canonical string"))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    best = every.groupBy("value").agg(F.min(F.struct("stage", "less", "place", "original", "canonical")).alias("a"))
+    answers = work.put(spellings.join(best, "value", "left").select("value", "n", F.coalesce(-F.col("a.less"), F.lit(0.0)).alias("score"), F.coalesce("a.canonical", F.lit("unmatched")).alias("canonical")))
+    hot = hot_keys(answers, "value", "n", answers.agg(F.sum("n")).first()[0] or 0)
+    out = skew_join(values, answers.select("value", "score", "canonical"), "value", hot, "inner", "id")
+    return out.select(F.col("id").alias("entry_id"), "score", "canonical")

@@ -5,7 +5,7 @@ import pytest
 
 from rivulet.functions.text import insert_norm_py
 from rivulet.llm import canonical, terms
-from rivulet.llm.canonical import Matcher, canonical_names, slips
+from rivulet.llm.canonical import Matcher, canonical_names
 from rivulet.llm.terms import BurstTrie, term_frequencies
 
 
@@ -73,30 +73,54 @@ LISTED = [("is_a", "is_a"), ("kind_of", "is_a"), ("part_of", "part_of"), ("uses"
 )
 def test_matching(value, meant):
     hit = Matcher(LISTED).match(value)
-    assert (hit[1] if hit else "unmatched") == meant
+    assert (hit[-1] if hit else "unmatched") == meant
 
 
 def test_mentions_do_not_overlap():
     m = Matcher([("a_b", "1"), ("b_c_d", "2"), ("e", "3")])
-    assert m.mention(["a", "b", "c", "d", "e"])[1] == "2"
+    assert m.mention(("a", "b", "c", "d", "e"))[-1] == "2"
 
 
-def test_slips_against_plain_distance():
+def plain_distance(a, b):
+    """Slips by the textbook table: insertions, deletions, substitutions and swaps of neighbours."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_letters_in_common_and_the_bound():
     r = random.Random(7)
     for _ in range(300):
         a, b = ("".join(r.choice("abc") for _ in range(r.randrange(1, 8))) for _ in range(2))
-        assert slips(a, b, 99) <= max(len(a), len(b))
-        assert slips(a, a, 1) == 0 and abs(slips(a, b, 99) - slips(b, a, 99)) < 0.61
-
-
-@pytest.mark.parametrize("block", [20_000, 2])
-def test_names_over_a_table(spark, monkeypatch, block):
-    monkeypatch.setattr(canonical, "BLOCK", block)
-    rows = [(1, "is_a"), (2, "Is_A"), (3, None), (4, ""), (5, "?!"), (6, "barks_at"), (7, "KIND-OF"), (7, "KIND-OF"), (8, "usess")]
+        assert canonical.in_common(a, b) == max(len(a), len(b)) - plain_distance(a, b)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randrange(1, 6)))
+    listed = sorted({("_".join(word() for _ in range(r.randrange(1, 4))), "c") for _ in range(200)})
+    m = Matcher(listed)
+    for _ in range(200):
+        ts = tuple(word() for _ in range(r.randrange(1, 4)))
+        every = min(((-canonical.similarity(ts, e), o) for e, o, _ in m.entries), key=lambda x: x)
+        got = m.similar(ts)
+        assert (got is None and -every[0] < canonical.LEAST) or (got[1], got[3]) == every
+        assert canonical.similarity(ts, ts) == 1.0 and canonical.similarity(ts, tuple(reversed(ts))) == 1.0
+
+
+@pytest.mark.parametrize("block", [20_000, 3, 1])
+def test_names_over_a_table(spark, block):
+    """The answers do not depend on how many entries are matched at once: mentions, slips, orders and ties included."""
+    rows = [(1, "is_a"), (2, "Is_A"), (3, None), (4, ""), (5, "?!"), (6, "barks_at"), (7, "KIND-OF"), (7, "KIND-OF"), (8, "usess"), (9, "the part of it"), (10, "for used"), (11, "transport hub oof"), (12, "thetransports"), (13, "gres"), (14, "used for kind of"), (15, "y" * 900)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "id long, predicate string, value string")
-    ref = spark.createDataFrame([*LISTED, LISTED[0], (None, "q"), ("q", None)], "original string, canonical string")
-    got = {(r["entry_id"], r["canonical"]) for r in canonical_names(df, "id", "predicate", ref, "original", "canonical").collect()}
-    assert got == {(2, "is_a"), (6, "unmatched"), (7, "is_a"), (8, "uses")}
+    listed = [*LISTED, ("grey", "tie_b"), ("greu", "tie_a"), ("Kind Of", "is_a")]
+    ref = spark.createDataFrame([*listed, LISTED[0], (None, "q"), ("q", None)], "original string, canonical string")
+    found = canonical_names(df, "id", "predicate", ref, "original", "canonical", block).collect()
+    got = Counter((r["entry_id"], r["canonical"], round(r["score"], 4)) for r in found)
+    names = {(2, "is_a"), (6, "unmatched"), (7, "is_a"), (8, "uses"), (9, "part_of"), (10, "used_for"), (11, "hub"), (12, "transports"), (13, "tie_a"), (14, "used_for"), (15, "unmatched")}
+    assert {x[:2] for x in got} == names and sum(got.values()) == 12
+    whole = Counter((r["entry_id"], r["canonical"], round(r["score"], 4)) for r in canonical_names(df, "id", "predicate", ref, "original", "canonical").collect())
+    assert got == whole
 
 
 def test_names_empty(spark):
