@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 
 from rivulet import tables
+from rivulet.llm import dedup
 from rivulet.llm.components import connected_groups, synonym_groups
 from rivulet.llm.dedup import facts, formatting_copies
 
@@ -31,11 +32,19 @@ CASES = [
 ]
 
 
-def test_copies(spark):
-    got = {tuple(r) for r in formatting_copies(spark.createDataFrame(CASES, SCHEMA), "id", TRIPLE).collect()}
+@pytest.mark.parametrize("bits", [dedup.MOST_BITS, 64])
+def test_copies(spark, bits):
+    """A bitmap too small to tell classes apart only costs time."""
+    got = {tuple(r) for r in formatting_copies(spark.createDataFrame(CASES, SCHEMA), "id", TRIPLE, bits).collect()}
     assert got == copies_model(CASES)
 
 
+def test_same_lengths_and_letters_are_not_enough(spark):
+    rows = [(1, "ab", "p", "x,yz"), (2, "ba", "p", "x,yz"), (3, "a-b", "P", "zy,x"), (4, "AB", "p", "YZ x"), (5, "AB.", "p!", "yz,X"), (6, "abc", "p", "x")]
+    got = {tuple(r) for r in formatting_copies(spark.createDataFrame(rows, SCHEMA), "id", TRIPLE).collect()}
+    assert got == {(1, 1, 2), (1, 5, 2)} == copies_model(rows)
+
+
 def test_clashing_columns_and_empty(spark):
     df = spark.createDataFrame([(*r, 1, "k", "s") for r in CASES], SCHEMA + ", _k long, _key string, _salt string")
     assert {tuple(r) for r in formatting_copies(df, "id", TRIPLE).collect()} == copies_model(CASES)
