@@ -3,6 +3,8 @@ import re
 import unicodedata
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from rivulet.llm import encoding, leakage, sentences
@@ -118,11 +120,12 @@ def corpus():
     return docs
 
 
-def test_sentences_learn_from_the_layout(spark):
+@pytest.mark.parametrize("sent", [sentences.SENT, 10])
+def test_sentences_learn_from_the_layout(spark, sent):
     docs = corpus()
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(docs)], "doc_id long, text string")
     got: dict = {}
-    for r in sentences.sentences(df).collect():
+    for r in sentences.sentences(df, sent=sent).collect():
         got.setdefault(r["doc_id"], []).append((r["start_pos"], r["end_pos"]))
     want = {(i, *s) for i, (_, known) in enumerate(docs) for s in known}
     have = {(i, *s) for i, ss in got.items() for s in ss}
@@ -130,6 +133,10 @@ def test_sentences_learn_from_the_layout(spark):
     assert precision > 0.98 and recall > 0.98
 
 
+#: Both sides' log-odds decide.
+WEIGHTS = [1.5, 2.0, 1.0, 2.0, 0.5, -2.5, 0.0, 0.5, 0.5, -0.5, 0.0, 0.0, 0.0, 0.0, 0.0, -0.5, 1.0, 0.0]
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
@@ -142,16 +149,35 @@ def test_sentences_learn_from_the_layout(spark):
     ],
 )
 def test_layout_rules(text, want):
-    stats = sentences.Statistics([])
-    assert [text[a:b] for a, b in sentences.split(text, stats, np.array(sentences.DEFAULT))] == want
+    reader = sentences.Reader()
+    reader.read(text)
+    read = reader.batch(pa.array([1])).rename_columns([c.split()[0] for c in sentences._READ.split(", ")])
+    held = sentences.Held(pd.DataFrame({"side": [], "key": [], "n": [], "edge": []}))
+    (out,) = sentences._sentences(held, {}, np.array(WEIGHTS))(iter([read]))
+    assert [text[a:b] for a, b in zip(out.column("start_pos").to_pylist(), out.column("end_pos").to_pylist())] == want
+
+
+def test_tokens_of_any_length_are_keys():
+    reader = sentences.Reader()
+    reader.read("a" * 3000 + "b. " + "C" * 3000 + " and on. End")
+    assert {len(k) for k in reader.before.key} == {3002, 3} and "C" * 3000 in reader.after.key
+
+
+def test_a_corpus_without_reliable_boundaries_needs_weights(spark):
+    df = spark.createDataFrame([(1, "One. Two"), (2, "no mark"), (3, "")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="weights"):
+        sentences.sentences(df)
+    assert sorted(map(tuple, sentences.sentences(df, weights=WEIGHTS).collect())) == [(1, 0, 4), (1, 5, 8), (2, 0, 7)]
+    assert sorted(map(tuple, sentences.sentences(df.filter("doc_id > 1")).collect())) == [(2, 0, 7)]
 
 
-def test_sentences_cover_the_text(spark):
+@pytest.mark.parametrize("sent", [sentences.SENT, 10])
+def test_sentences_cover_the_text(spark, sent):
     r = random.Random(2)
     texts = ["".join(r.choice([*PARTS, ". ", "! ", "“", "”", "\n\n", "- ", "。", "(", ")", '"', "« ", " »"]) for _ in range(r.randrange(0, 60))) for _ in range(120)] + [None, "", "a. " * 20_000]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, id int")
     got: dict = {}
-    for x in sentences.sentences(df).collect():
+    for x in sentences.sentences(df, weights=WEIGHTS, sent=sent).collect():
         got.setdefault(x["doc_id"], []).append((x["start_pos"], x["end_pos"]))
     for i, t in enumerate(texts):
         spans = sorted(got.get(i, []))
