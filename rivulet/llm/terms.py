@@ -5,6 +5,9 @@ characters to small containers, and a container that grows beyond BURST terms
 bursts into one container per next character.  Only containers leave the
 worker.  Prefixes whose subtrees are too large in sum are cut deeper, so the
 routing adapts to the data; matching subtrees of all workers are then merged.
+A subtree that is still too large, because many workers have it or its terms
+lie deeper than any worker's containers, is merged in lots, and the lots' few
+counters of each term are summed.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ from rivulet.tables import Work
 
 #: A container bursts beyond so many terms.
 BURST = 256
-#: A merge takes about so many (worker, term) counters; a larger subtree is cut at the next character.
+#: A merge takes at most about so many (worker, term) counters; a larger subtree is cut at the next character, or into lots.
 MERGE = 20_000
 #: A worker sends its tries on when they hold so many terms, and starts anew.
 HELD = 200_000
-#: No more cut prefixes than that; MERGE grows where the data would need more.
+#: No more cut prefixes than that are held by every worker; what would need more is merged in lots.
 MOST_CUTS = 50_000
 
 
@@ -150,13 +153,15 @@ def _route(cuts: dict[str, set[str]]):
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lot = 0
         for pdf in batches:
             rows = []
             for field, prefix, terms, occ, rec in zip(pdf.field, pdf.prefix, pdf.terms, pdf.occ, pdf.rec):
                 inner = cuts.get(field, ())
                 to = next((prefix[:i] for i in range(1, len(prefix) + 1) if prefix[:i] not in inner), None)
+                lot += 1
                 if to is not None:
-                    rows.append((field, to, terms, occ, rec))
+                    rows.append((field, to, lot, terms, occ, rec))
                     continue
                 deeper: dict[str, list] = {}
                 for t, o, r in zip(terms, occ, rec):  # the whole container is cut: workers that burst deeper have its terms further down
@@ -165,8 +170,8 @@ def _route(cuts: dict[str, set[str]]):
                     part[0].append(t)
                     part[1].append(o)
                     part[2].append(r)
-                rows += [(field, p, *part) for p, part in deeper.items()]
-            yield pd.DataFrame(rows, columns=["field", "subtree", "terms", "occ", "rec"])
+                rows += [(field, p, lot, *part) for p, part in deeper.items()]
+            yield pd.DataFrame(rows, columns=["field", "subtree", "lot", "terms", "occ", "rec"])
 
     return run
 
@@ -183,6 +188,24 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def in_lots(routed: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``routed`` with ``part``: 0, or for the subtrees in ``heavy`` (field, subtree, n) one of as many parts as leave
+    each with about half of MERGE counters."""
+    parts = F.ceil(2 * F.col("n") / MERGE)
+    part = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("lot", F.get("terms", F.lit(0)), F.size("terms")), parts)).cast("bigint")
+    return routed.join(heavy, ["field", "subtree"], "left").withColumn("part", part).drop("n")
+
+
+def merge_subtrees(routed: DataFrame, work: Work) -> DataFrame:
+    """(field, term, occurrences, records) of all subtrees; no merge takes more than about MERGE counters."""
+    schema = "field string, term string, occurrences bigint, records bigint"
+    heavy = work.put(routed.groupBy("field", "subtree").agg(F.sum(F.size("terms")).alias("n")).filter(F.col("n") > MERGE))
+    if heavy.isEmpty():
+        return routed.groupBy("field", "subtree").applyInPandas(_merge, schema)
+    lots = in_lots(routed, heavy).groupBy("field", "subtree", "part").applyInPandas(_merge, schema)
+    return lots.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+
+
 def term_frequencies(df: DataFrame, fields: list[str], rare: int = 2, common_parts: int = 20) -> DataFrame:
     """(field, term, occurrences, records, mark) for every distinct term of each field.
 
@@ -197,17 +220,17 @@ def term_frequencies(df: DataFrame, fields: list[str], rare: int = 2, common_par
     work = Work(spark, "terms")
     tries = work.put(df.select(*[F.col(f).cast("string").alias(f) for f in fields]).mapInPandas(_grow(fields), _TRIE_SCHEMA))
     weights = tries.filter("kind = 'w'").groupBy("field", "prefix").agg(F.sum("n").alias("n"))
-    merge = MERGE
-    cuts = weights.filter(F.col("n") > merge)
+    largest = MERGE
+    cuts = weights.filter(F.col("n") > largest)
     while cuts.limit(MOST_CUTS + 1).count() > MOST_CUTS:
-        merge *= 4
-        cuts = weights.filter(F.col("n") > merge)
+        largest *= 4
+        cuts = weights.filter(F.col("n") > largest)
     inner: dict[str, set[str]] = {}
     for r in cuts.select("field", "prefix").collect():  # at most MOST_CUTS rows
         inner.setdefault(r["field"], set()).add(r["prefix"])
     containers = tries.filter("kind = 'c'").select("field", "prefix", "terms", "occ", "rec")
-    routed = containers.mapInPandas(_route(inner), "field string, subtree string, terms array<string>, occ array<bigint>, rec array<bigint>")
-    merged = routed.groupBy("field", "subtree").applyInPandas(_merge, "field string, term string, occurrences bigint, records bigint")
+    routed = work.put(containers.mapInPandas(_route(inner), "field string, subtree string, lot bigint, terms array<string>, occ array<bigint>, rec array<bigint>"))
+    merged = merge_subtrees(routed, work)
     totals = {r["field"]: r["n"] for r in tries.filter("kind = 'r'").groupBy("field").agg(F.sum("n").alias("n")).collect()}  # one row a field
     total = F.coalesce(*[F.when(F.col("field") == f, F.lit(int(n))) for f, n in totals.items()], F.lit(0))
     mark = F.when(F.col("occurrences") <= rare, "rare").when(F.col("records") * common_parts > total, "common")

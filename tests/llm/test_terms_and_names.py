@@ -2,11 +2,13 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from rivulet.functions.text import insert_norm_py
 from rivulet.llm import canonical, terms
 from rivulet.llm.canonical import Matcher, canonical_names
 from rivulet.llm.terms import BurstTrie, term_frequencies
+from rivulet.tables import Work
 
 
 def test_trie_counts_like_a_dictionary(monkeypatch):
@@ -55,6 +57,30 @@ def test_frequencies_with_workers_of_unequal_size(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == model(many + few, "p")
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_merges_stay_bounded_with_many_workers(spark, same):
+    """500 workers with one container of 200 terms each under one letter: the same terms, or different ones."""
+    rows = []
+    for w in range(500):
+        words = sorted({f"a{'' if same else w}x{i}" for i in range(200)})
+        rows.append(("p", "a", w, words, [2] * 200, [1] * 200))
+    routed = spark.createDataFrame(rows, "field string, subtree string, lot bigint, terms array<string>, occ array<bigint>, rec array<bigint>")
+    work = Work(spark, "test")
+    heavy = routed.groupBy("field", "subtree").agg(F.sum(F.size("terms")).alias("n"))
+    largest = terms.in_lots(routed, heavy).groupBy("field", "subtree", "part").agg(F.sum(F.size("terms")).alias("n")).agg(F.max("n")).first()[0]
+    assert largest <= terms.MERGE
+    got = terms.merge_subtrees(routed, work).agg(F.count(F.lit(1)), F.sum("occurrences"), F.sum("records"), F.max("records")).first()
+    assert tuple(got) == ((200, 200_000, 100_000, 500) if same else (100_000, 200_000, 100_000, 1))
+
+
+def test_frequencies_with_few_cuts_allowed(spark, monkeypatch):
+    monkeypatch.setattr(terms, "MERGE", 20)
+    monkeypatch.setattr(terms, "MOST_CUTS", 2)
+    rows = [{"p": f"{a}{b}{c}"} for a in "ab" for b in "abcdefgh" for c in "abcdefgh" for _ in range(2)]
+    got = [tuple(x) for x in term_frequencies(spark.createDataFrame(rows, "p string").repartition(3), ["p"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == model(rows, "p")
+
+
 def test_frequencies_empty(spark):
     assert term_frequencies(spark.createDataFrame([], "p string"), ["p"]).count() == 0
     assert term_frequencies(spark.createDataFrame([(None,), ("",), ("!",)], "p string"), ["p"]).count() == 0
