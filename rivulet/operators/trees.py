@@ -1,9 +1,11 @@
 """Parent-child links of unknown depth to full hierarchies.
 
-Hash splitters cut the links into short stretches: every node walks to its next
-splitter, the reduced graph between splitters is solved by doubling, and the
-exact ancestors and paths are expanded from the two.  Rings without a splitter
-end in the walk itself, which never visits a node twice for the same start.
+Hash splitters cut the links into short stretches: every link's walk to the
+next splitter is found by joining stretches end to end, the reduced graph
+between splitters is solved by doubling, and the exact ancestors and paths are
+expanded from the two.  A node with several parents is a splitter as well, so
+that every walk has one way to go.  Rings without a splitter are handled apart:
+a walk that meets a node twice has gone round one and is closed there.
 """
 
 from __future__ import annotations
@@ -12,12 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.text import insert_norm, present
-from rivulet.tables import HOT_PARTS, Work, hot_keys, skew_join, union_all
+from rivulet.tables import Work, hot_keys, skew_join, union_all
 
 #: One node in so many is a splitter, on average.
-SPLIT = 2
-#: Links walked in one job.
-HOPS = 4
+SPLIT = 8
 
 
 def is_splitter(c: Column) -> Column:
@@ -39,53 +39,31 @@ def _hot(rows: DataFrame, key: str, total: int) -> list:
     return hot_keys(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "n", total)
 
 
-def _higher(step: DataFrame, hot: list) -> list:
-    """Hot nodes and those that come next after them: what many walk through now, they walk through in the next hops too."""
-    every, last = set(hot), hot
-    for _ in range(HOPS - 1):
-        if not last or len(every) > HOPS * HOT_PARTS:
-            break
-        last = [r[0] for r in step.filter(F.col("at").isin(last)).select("next").limit(HOT_PARTS).collect()]
-        every |= set(last)
-    return sorted(every)
-
-
-def _walk(work: Work, up: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """Walk every node to its next splitter.
+def _walks(work: Work, up: DataFrame, several: DataFrame | None, total: int) -> DataFrame:
+    """(node, path, last, ring): of every link the nodes from its parent to the next splitter or root, in order.
 
-    Returns (node, at, d) for every node passed, splitters included, with the
-    least number of links, and the ends: the pairs whose ``at`` is a splitter.
-    Only the pairs of nodes that still walk are looked at again, to see that a
-    ring without splitters has closed; their number falls with every round.
+    Each round joins the walks that are still open with those that begin where
+    they stand, so their length doubles.  ``ring`` marks the walks that went
+    round a ring without splitters; their path has each node once.
     """
-    step = up.select(F.col("child").alias("at"), F.col("parent").alias("next"))
-    seen = [up.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.lit(1).alias("d"))]
-    fan = _hot(seen[0], "at", total)
-    open_end = ~is_splitter(F.col("at"))
-    front = mine = seen[0].filter(open_end)
-    reached, size, older = 1, total, None
-    while size:
-        hot = sorted({*_higher(step, _hot(front, "at", size)), *fan})
-        cur = front.select("node", "at", F.col("at").alias("h0"))
-        for i in range(1, HOPS + 1):
-            cur = cur.withColumn("at", F.when(~is_splitter(F.col("at")), F.col("at")))
-            cur = skew_join(cur, step, "at", hot, "left", "node").drop("at").withColumn(f"h{i}", F.col("next")).withColumnRenamed("next", "at")
-        hops = F.array(*[F.struct(F.col(f"h{i}").alias("at"), F.lit(reached + i).alias("d")) for i in range(1, HOPS + 1)])
-        new = cur.select("node", F.explode(F.filter(hops, lambda x: x["at"].isNotNull())).alias("e")).select("node", "e.at", "e.d")
-        new = new.groupBy("node", "at").agg(F.min("d").alias("d")).join(mine.select("node", "at"), ["node", "at"], "left_anti")
-        new = work.put(new)
-        if not new.count():
-            break
-        seen.append(new)
-        reached += HOPS
-        front = new.filter(open_end & (F.col("d") == reached))
-        size = front.count()
-        if size:
-            mine = work.put(mine.unionByName(new).join(front.select("node").distinct(), "node", "left_semi"))
-            work.drop(older)
-            older = mine
-    passed = union_all(seen)
-    return passed, passed.filter(is_splitter(F.col("at")))
+    rows = up.select(F.col("child").alias("node"), F.array("parent").alias("path"), F.col("parent").alias("last"), (~is_splitter(F.col("parent"))).alias("open"), F.lit(False).alias("ring"))
+    closed: list[DataFrame] = []
+    while True:
+        walking = rows.filter("open")
+        size = total if not closed else walking.count()
+        closed.append(rows.filter("not open"))
+        if not size:
+            return union_all(closed).drop("open")
+        onward = union_all([*closed, walking]).filter(~is_splitter(F.col("node")))
+        if several is not None:
+            onward = onward.join(several.withColumnRenamed("child", "node"), "node", "left_anti")
+        onward = onward.select(F.col("node").alias("last"), F.col("path").alias("more"), F.col("last").alias("then"), F.col("open").alias("still"), F.col("ring").alias("round"))
+        j = skew_join(walking, onward, "last", _hot(walking, "last", size), "left", "node")
+        met = F.col("more").isNotNull()
+        j = j.select("node", F.when(met, F.concat("path", "more")).otherwise(F.col("path")).alias("whole"), F.coalesce("then", "last").alias("last"), F.coalesce("still", F.lit(False)).alias("still"), F.coalesce("round", F.lit(False)).alias("round"))
+        j = j.withColumn("path", F.array_distinct("whole"))
+        ring = F.col("round") | (F.size("path") < F.size("whole"))
+        rows = work.put(j.select("node", "path", "last", (F.col("still") & ~ring).alias("open"), ring.alias("ring")))
 
 
 def closure(hierarchy: DataFrame) -> DataFrame:
@@ -97,65 +75,111 @@ def closure(hierarchy: DataFrame) -> DataFrame:
     spark = hierarchy.sparkSession
     work = Work(spark, "trees")
     up = work.put(links(hierarchy))
-    passed, ends = _walk(work, up, up.count())
+    several = work.put(up.groupBy("child").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("child"))
+    several = None if several.isEmpty() else several
+    walks = _walks(work, up, several, up.count())
+
+    def stops(c: str) -> Column:
+        return is_splitter(F.col(c)) | (F.lit(False) if several is None else F.coalesce(F.col(f"{c}_several"), F.lit(False)))
+
+    if several is not None:
+        for c in ("node", "last"):
+            walks = walks.join(several.select(F.col("child").alias(c), F.lit(True).alias(f"{c}_several")), c, "left")
+        walks = work.put(walks)
 
     # reduced graph: splitter to splitter, closed by doubling
-    near = work.put(ends.filter(is_splitter(F.col("node"))).select(F.col("node").alias("s"), F.col("at").alias("t"), "d"))
-    reach, count = near, near.count()
-    while count:
+    ends = walks.filter(~F.col("ring") & stops("last")).select("node", F.col("last").alias("s"), F.size("path").alias("d0"), stops("node").alias("own"))
+    near = ends.filter("own").select(F.col("node").alias("s"), F.col("s").alias("t"), F.col("d0").alias("d"))
+    reach = work.put(near.groupBy("s", "t").agg(F.min("d").alias("d")))
+    sums = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum("d")).first())
+    size = sums(reach)
+    while size[0]:
         ab = reach.select("s", F.col("t").alias("m"), F.col("d").alias("d1"))
         bc = reach.select(F.col("s").alias("m"), "t", F.col("d").alias("d2"))
-        longer = skew_join(ab, bc, "m", _hot(ab, "m", count), "inner", "s").select("s", "t", (F.col("d1") + F.col("d2")).alias("d"))
+        longer = skew_join(ab, bc, "m", _hot(ab, "m", size[0]), "inner", "s").select("s", "t", (F.col("d1") + F.col("d2")).alias("d"))
         grown = work.put(reach.unionByName(longer).groupBy("s", "t").agg(F.min("d").alias("d")))
-        now = grown.count()
-        # a shorter way may still come up after the last new pair only in graphs with several parents
-        if now == count and grown.agg(F.sum("d")).first()[0] == reach.agg(F.sum("d")).first()[0]:
+        # a shorter way may still come up after the last new pair, but only in graphs with several parents
+        now = sums(grown)
+        work.drop(reach)
+        reach = grown
+        if now == size:
             break
-        reach, count = grown, now
+        size = now
 
-    # expansion: a node's ancestors are those passed, those reached from its next splitters, and what lies between these
-    to = ends.select("node", F.col("at").alias("s"), F.col("d").alias("d0"))
-    total = max(to.count(), 1)
-    far = skew_join(to, reach.select("s", "t", "d"), "s", _hot(to, "s", total), "inner", "node").select("node", F.col("t").alias("s"), (F.col("d0") + F.col("d")).alias("d0"))
+    # expansion: a node's ancestors are those passed, and those passed from every splitter that it reaches
+    to = ends.select("node", "s", "d0")
+    far = skew_join(to, reach, "s", _hot(to, "s", max(to.count(), 1)), "inner", "node").select("node", F.col("t").alias("s"), (F.col("d0") + F.col("d")).alias("d0"))
     heads = work.put(to.unionByName(far).groupBy("node", "s").agg(F.min("d0").alias("d0")))
-    between = passed.filter(is_splitter(F.col("node"))).select(F.col("node").alias("s"), "at", "d")
-    tails = skew_join(heads, between, "s", _hot(heads, "s", max(heads.count(), 1)), "inner", "node").select("node", "at", (F.col("d0") + F.col("d")).alias("d"))
-    pairs = passed.unionByName(tails).groupBy("node", "at").agg(F.min("d").alias("d"))
+    between = walks.filter(stops("node")).select(F.col("node").alias("s"), "path")
+    tails = skew_join(heads, between, "s", _hot(heads, "s", max(heads.count(), 1)), "inner", "node")
+    passed = walks.select("node", F.lit(0).alias("d0"), "path").unionByName(tails.select("node", "d0", "path"))
+    pairs = passed.select("node", "d0", F.posexplode("path").alias("i", "at")).groupBy("node", "at").agg(F.min(F.col("d0") + F.col("i") + 1).alias("d"))
     return pairs.select(F.col("node").alias("child"), F.col("at").alias("ancestor"), F.col("d").alias("depth"))
 
 
 def hierarchies(hierarchy: DataFrame) -> DataFrame:
-    """(node, root, depth, path, descendants, kind) for every node of the direct links.
-
-    ``depth`` is the number of links to the farthest ancestor, ``path`` the way
-    there (node first, '→' between), ``root`` its last element.  ``kind`` is
-    'tree', 'ring' for a node that reaches itself or 'to_ring' for one that
-    reaches such a node; a ring has no root, so ``root`` is then the first name
-    of the ring in code point order and ``path`` ends at the last node before
-    the start (ring) or before a node would come twice.  With several parents
-    the ancestors are listed by least depth, then name.
+    """(node, root, depth, path, descendants, kind): one row for every node and root that it leads to.
+
+    ``path`` is a shortest way from the node to the root (node first, '→'
+    between; of equally short ones the first in code point order, node by
+    node) and ``depth`` its number of links; a root has itself, with depth 0.
+    ``kind`` is 'tree', 'ring' for a node that reaches itself or 'to_ring' for
+    a node whose way leads to a ring.  A ring has no root: ``root`` is then its
+    first name in code point order.  A node with a single way up and
+    one root has all of that way as its path, once round the ring where it
+    leads to one; where ways part, the path is a shortest one to ``root``, of
+    the node that names a ring just its name.  ``descendants`` counts the nodes below, the node itself
+    left out.
     """
     spark = hierarchy.sparkSession
     work = Work(spark, "paths")
     pairs = work.put(closure(hierarchy))
-    rings = pairs.filter("child = ancestor").select(F.col("child").alias("ring"))
-    tagged = pairs.join(rings, F.col("ancestor") == F.col("ring"), "left")
-    # one row per node: the ancestors of one node in order; bounded by the depth of the hierarchy, which the path itself needs
-    per = tagged.groupBy("child").agg(
-        F.array_sort(F.collect_list(F.when(F.col("child") != F.col("ancestor"), F.struct("depth", "ancestor")))).alias("up"),
-        F.min("ring").alias("ring"),
-        F.max(F.col("child") == F.col("ancestor")).alias("on_ring"),
-    )
-    below = pairs.filter("child <> ancestor").groupBy("ancestor").agg(F.count(F.lit(1)).alias("descendants"))
-    roots = pairs.select(F.col("ancestor").alias("child")).distinct().join(per.select("child"), "child", "left_anti")
-    per = per.unionByName(roots.select("child", F.array().cast(per.schema["up"].dataType).alias("up"), F.lit(None).cast("string").alias("ring"), F.lit(False).alias("on_ring")))
-    out = per.join(below, per.child == below.ancestor, "left")
-    names = F.transform("up", lambda x: x["ancestor"])
-    return out.select(
-        per.child.alias("node"),
-        F.coalesce(F.col("ring"), F.when(F.size("up") > 0, F.element_at(names, -1)), per.child).alias("root"),
-        F.coalesce(F.array_max(F.transform("up", lambda x: x["depth"])), F.lit(0)).alias("depth"),
-        F.array_join(F.concat(F.array(per.child), names), "→").alias("path"),
-        F.coalesce("descendants", F.lit(0)).cast("bigint").alias("descendants"),
-        F.when(F.col("on_ring"), "ring").when(F.col("ring").isNotNull(), "to_ring").otherwise("tree").alias("kind"),
-    )
+    others = pairs.filter("child <> ancestor")
+    on_ring = pairs.filter("child = ancestor").select(F.col("child").alias("x"))
+    # a ring's nodes reach each other; its name is the first of them
+    x, y = pairs.alias("x"), pairs.alias("y")
+    mutual = x.join(on_ring, F.col("x.child") == F.col("x")).join(y, (F.col("x.child") == F.col("y.ancestor")) & (F.col("x.ancestor") == F.col("y.child")))
+    rings = work.put(mutual.groupBy(F.col("x.child").alias("member")).agg(F.min(F.col("x.ancestor")).alias("ring")))
+    nodes = pairs.select(F.explode(F.array("child", "ancestor")).alias("node")).distinct()
+    roots = nodes.join(pairs.select(F.col("child").alias("node")), "node", "left_anti")
+
+    # the ancestors of one node in order; bounded by the depth of the hierarchy, which the path itself needs
+    ups = others.groupBy(F.col("child").alias("node")).agg(F.array_sort(F.collect_list(F.struct("depth", "ancestor"))).alias("up"), F.max("depth").alias("high"))
+    ups = nodes.join(ups, "node", "left").select("node", F.coalesce(F.transform("up", lambda u: u["ancestor"]), F.array().cast("array<string>")).alias("names"), F.coalesce("high", F.lit(0)).alias("high"))
+    ups = work.put(ups.withColumn("single", F.size("names") == F.col("high")))  # one ancestor at each distance: there is one way up
+
+    tops = union_all([
+        roots.select("node", F.col("node").alias("root"), F.lit("tree").alias("kind")),
+        pairs.join(roots.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select(F.col("child").alias("node"), F.col("ancestor").alias("root"), F.lit("tree").alias("kind")),
+        rings.select(F.col("member").alias("node"), F.col("ring").alias("root"), F.lit("ring").alias("kind")),
+        others.join(rings, others.ancestor == rings.member).select(F.col("child").alias("node"), F.col("ring").alias("root"), F.lit("to_ring").alias("kind")).distinct().join(rings.select(F.col("member").alias("node"), F.col("ring").alias("root")), ["node", "root"], "left_anti"),
+    ])
+    one = tops.groupBy("node").agg((F.count(F.lit(1)) == 1).alias("one"))
+    tops = work.put(tops.join(ups, "node").join(one, "node").withColumn("single", F.col("single") & F.col("one")))
+    way = lambda node, names: F.array_join(F.concat(F.array(node), names), "→")
+    single = tops.filter("single").select("node", "root", F.col("high").alias("depth"), way(F.col("node"), F.col("names")).alias("path"), "kind")
+    many = tops.filter("not single").select("node", "root", "kind")
+    found = single if many.isEmpty() else single.unionByName(_shortest(work, links(hierarchy), pairs, many, ups))
+    below = others.groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("descendants"))
+    return found.join(below, "node", "left").select("node", "root", "depth", "path", F.coalesce("descendants", F.lit(0)).cast("bigint").alias("descendants"), "kind")
+
+
+def _shortest(work: Work, up: DataFrame, pairs: DataFrame, many: DataFrame, ups: DataFrame) -> DataFrame:
+    """(node, root, depth, path, kind) of nodes where ways part: the next hop of each pair is the first parent that is one
+    link nearer, and the hops' stretches are joined end to end until they stand at the root."""
+    far = pairs.filter("child <> ancestor").select(F.col("child").alias("node"), F.col("ancestor").alias("root"), "depth")
+    wanted = many.join(far, ["node", "root"], "left").select("node", "root", "kind", F.coalesce("depth", F.lit(0)).alias("depth"))
+    # everything that stands between a wanted node and its root
+    inner = far.join(many.select("root").distinct(), "root", "left_semi")
+    near = inner.select(F.col("node").alias("parent"), "root", F.col("depth").alias("left")).unionByName(many.select(F.col("root").alias("parent"), "root", F.lit(0).alias("left")).distinct())
+    hop = inner.join(up.select(F.col("child").alias("node"), "parent"), "node").join(near, ["parent", "root"]).filter(F.col("left") == F.col("depth") - 1).groupBy("node", "root").agg(F.min("parent").alias("at"))
+    steps = work.put(hop.select("node", "root", F.array("at").alias("way"), "at"))
+    while not steps.filter("at <> root").isEmpty():
+        onward = steps.select(F.col("node").alias("at"), "root", F.col("way").alias("more"), F.col("at").alias("then"))
+        j = steps.join(onward, ["at", "root"], "left")
+        grown = work.put(j.select("node", "root", F.when(F.col("more").isNotNull(), F.concat("way", "more")).otherwise(F.col("way")).alias("way"), F.coalesce("then", "at").alias("at")))
+        work.drop(steps)
+        steps = grown
+    out = wanted.join(steps.select("node", "root", "way"), ["node", "root"], "left")
+    names = F.coalesce("way", F.array().cast("array<string>"))
+    return out.select("node", "root", "depth", F.array_join(F.concat(F.array("node"), names), "→").alias("path"), "kind")

@@ -81,6 +81,40 @@ def test_hierarchies(spark):
     assert (got["x"]["kind"], got["w"]["kind"], got["w"]["root"]) == ("ring", "to_ring", "x")
 
 
+def test_a_path_of_real_links_for_every_root(spark):
+    pairs = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "e"), ("z", "a"), ("d", "top"), ("e", "top"), ("k", "l"), ("l", "k"), ("k", "top"), ("m", "k"), ("m", "n")]
+    got = {(r["node"], r["root"]): (r["depth"], r["path"], r["kind"]) for r in trees.hierarchies(frame(spark, pairs)).collect()}
+    assert got["a", "top"] == (3, "a→b→d→top", "tree") and got["z", "top"] == (4, "z→a→b→d→top", "tree")
+    two = trees.hierarchies(frame(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "e")])).collect()
+    assert {(r["node"], r["root"], r["path"]) for r in two} == {("a", "d", "a→b→d"), ("a", "e", "a→c→e"), ("b", "d", "b→d"), ("c", "e", "c→e"), ("d", "d", "d"), ("e", "e", "e")}
+    assert got["m", "n"] == (1, "m→n", "tree") and got["m", "top"] == (2, "m→k→top", "tree") and got["m", "k"] == (1, "m→k", "to_ring")
+    assert got["k", "k"] == (0, "k", "ring") and got["l", "k"] == (1, "l→k", "ring") and got["l", "top"] == (2, "l→k→top", "tree")
+    link = set(pairs)
+    for _, path, _ in got.values():
+        way = path.split("→")
+        assert all(x in link for x in zip(way, way[1:]))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_paths_of_random_graphs(spark, seed):
+    r = random.Random(seed)
+    pairs = sorted({(f"t{a}", f"t{b}") for a, b in ((r.randrange(40), r.randrange(40)) for _ in range(45)) if a != b})
+    depth = {(c, a): d for c, a, d in model(pairs)}
+    children = {c for c, _ in pairs}
+    rows = trees.hierarchies(frame(spark, pairs)).collect()
+    seen = {(x["node"], x["root"]) for x in rows}
+    assert len(seen) == len(rows)
+    tops = {a for c, a in depth if a not in children}
+    assert {(c, a) for c, a in depth if a in tops} | {(t, t) for t in tops} == {(x["node"], x["root"]) for x in rows if x["kind"] == "tree"}
+    for x in rows:
+        way = x["path"].split("→")
+        assert way[0] == x["node"] and all(s in pairs for s in zip(way, way[1:])) and len(way) == x["depth"] + 1
+        if x["kind"] == "tree":
+            assert way[-1] == x["root"] and x["depth"] == depth.get((x["node"], x["root"]), 0)
+        else:
+            assert (x["root"], x["root"]) in depth
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([("a", "b", 1, None, 7, "q", "w")], SCHEMA + ", node long, at string, _salt string")
     assert collected(trees.closure(df)) == [("a", "b", 1)]
