@@ -30,22 +30,45 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a private one only where the session names none."""
+    """The folder that all executors share.
+
+    A session on one machine that names none gets a private folder, removed
+    when its JVM ends.  On a cluster there is no folder to fall back on: tables
+    would end up on the disks of single machines, so that is an error.
+    """
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="rivulet-")
-        sc.setCheckpointDir(where)
+        if not on_one_machine(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(Path(tempfile.mkdtemp(prefix="rivulet-")).as_uri())
         where = sc.getCheckpointDir()
+        _delete_at_end(spark, where.rpartition("/")[0])
     return where.rstrip("/")
 
 
+def on_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def _path(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete_at_end(spark: SparkSession, where: str) -> None:
+    """Have the JVM delete a folder when it ends."""
+    path, fs = _path(spark, where)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+
+
 class Work:
     """A folder of intermediate tables below the shared folder.
 
     ``put`` writes a table and reads it back; ``drop`` deletes a table that no
-    later plan reads.  What is still there when the session ends is removed
-    with the shared folder.
+    later plan reads.  Results are read from the tables when they are used, so
+    the folders stay until ``close`` (of a session) or the end of its JVM.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -55,6 +78,9 @@ class Work:
         self.count = 0
 
     def put(self, df: DataFrame) -> DataFrame:
+        if not self.count:
+            _delete_at_end(self.spark, self.root)
+            _FOLDERS.setdefault(self.spark.sparkContext.applicationId, []).append(self.root)
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
@@ -66,8 +92,18 @@ class Work:
         for t in tables:
             path = getattr(t, "_rivulet_path", None)
             if path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                p, fs = _path(self.spark, path)
+                fs.delete(p, True)
+
+
+_FOLDERS: dict[str, list[str]] = {}
+
+
+def close(spark: SparkSession) -> None:
+    """Delete all intermediate tables of a session; results that were not written out can no longer be read."""
+    for root in _FOLDERS.pop(spark.sparkContext.applicationId, []):
+        p, fs = _path(spark, root)
+        fs.delete(p, True)
 
 
 def hot_keys(counted: DataFrame, key: str, n: str, total: int) -> list:
