@@ -75,9 +75,10 @@ def closure(hierarchy: DataFrame) -> DataFrame:
     spark = hierarchy.sparkSession
     work = Work(spark, "trees")
     up = work.put(links(hierarchy))
-    several = work.put(up.groupBy("child").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("child"))
-    several = None if several.isEmpty() else several
-    walks = _walks(work, up, several, up.count())
+    parents = up.groupBy("child").agg(F.count(F.lit(1)).alias("n"))
+    total, most = parents.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    several = work.put(parents.filter("n > 1").select("child")) if most > 1 else None
+    walks = _walks(work, up, several, total)
 
     def stops(c: str) -> Column:
         return is_splitter(F.col(c)) | (F.lit(False) if several is None else F.coalesce(F.col(f"{c}_several"), F.lit(False)))
@@ -108,7 +109,7 @@ def closure(hierarchy: DataFrame) -> DataFrame:
 
     # expansion: a node's ancestors are those passed, and those passed from every splitter that it reaches
     to = ends.select("node", "s", "d0")
-    far = skew_join(to, reach, "s", _hot(to, "s", max(to.count(), 1)), "inner", "node").select("node", F.col("t").alias("s"), (F.col("d0") + F.col("d")).alias("d0"))
+    far = skew_join(to, reach, "s", _hot(to, "s", total), "inner", "node").select("node", F.col("t").alias("s"), (F.col("d0") + F.col("d")).alias("d0"))
     heads = work.put(to.unionByName(far).groupBy("node", "s").agg(F.min("d0").alias("d0")))
     between = walks.filter(stops("node")).select(F.col("node").alias("s"), "path")
     tails = skew_join(heads, between, "s", _hot(heads, "s", max(heads.count(), 1)), "inner", "node")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: A key counts as hot when it holds more than one part in so many of all rows; there can be no more hot keys than that.
 HOT_PARTS = 512
 #: A key with fewer rows than that is never hot.
-HOT_LEAST = 10_000
+HOT_LEAST = 100_000
 #: A hot key's rows are spread over so many salts.
 SALTS = 32
 
