@@ -13,7 +13,7 @@ from rivulet.functions.hashing import quad_hash
 from rivulet.functions.parsing import pipe_triples, question_terms, sections, verdict
 from rivulet.functions.text import insert_norm, is_atomic, lookup_norm, scope_norm
 from rivulet.operators import aggregates, bridges, derived, domains, fulltext, gates, graph, journal, lookups
-from rivulet.operators.orphans import knowledge_base_orphans, orphans_by_month
+from rivulet.operators.orphans import knowledge_base_orphans, orphans_by_month, star_orphans
 from rivulet.operators.trees import closure, hierarchies
 from rivulet.plans import pulse, query_engine, store
 from rivulet.sources import readers, star
@@ -56,6 +56,12 @@ def p5_by_month(spark, d):
     return orphans_by_month(knowledge_base_orphans(spark, d)).select("table_name", "ref_month", "reason", "kind", F.col("n").cast("bigint").alias("n"))
 
 
+def p5_cascade(spark, d):
+    """Orphans of the star schema, per table, month and level of the cascade."""
+    found = star_orphans(spark, d)
+    return found.groupBy("table_name", "via", "ref_month", "reason", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
 def normalize_terms(spark, d):
     return load(spark, d, "entries").select("id", insert_norm("subject").alias("inserted"), scope_norm("subject").alias("scoped"), lookup_norm("subject").alias("looked_up"))
 
@@ -85,6 +91,20 @@ def search_multi(spark, d):
     return lookups.search_multi(_kb(spark, d), ["tizepebo", "frozen spring"]).select("id", "subject", "object")
 
 
+def all_true(spark, d):
+    return lookups.all_entries(_kb(spark, d), "T").select("id", *QUAD)
+
+
+def next_generation(spark, d):
+    kb = _kb(spark, d)
+    return kb.agg((F.coalesce(F.max("generation"), F.lit(0)) + 1).alias("generation"))
+
+
+def concept_lookup(spark, d):
+    """The definitions of the subject with most facts, in all contexts."""
+    return lookups.concept(upsert_concepts(spark, d), "groundwater_basin")
+
+
 def about(spark, d):
     return lookups.about(_kb(spark, d), "groundwater basin", "chemistry").select("id", "context", "predicate", "object")
 
@@ -129,6 +149,14 @@ def kb_report(spark, d):
     return aggregates.report(_kb(spark, d))
 
 
+def kb_report_parts(spark, d):
+    kb = _stored(spark, d)
+    lookup = derived.rows(spark, derived.predicate_lookup(), "original string, canonical string")
+    hierarchy = Work(spark, "report").put(derived.build_hierarchy(kb))
+    tables = {"hierarchy": hierarchy, "centrality": aggregates.centrality(kb, hierarchy), "synonyms": derived.build_synonyms(kb), "domains": derived.domain_clusters(kb), "predicates": lookup}
+    return aggregates.report_parts(kb, tables)
+
+
 def pulse_merge(spark, d):
     return pulse.merge(_stored(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
 
@@ -228,6 +256,12 @@ def rule_suggest(spark, d):
     return gates.suggest_rules(gates.pair_stats(o))
 
 
+def rule_learned(spark, d):
+    """The gate's verdicts after learning from the outcomes of ``rule_suggest``."""
+    r = gates.apply_rules(gates.Rules(), Work(spark, "learned").put(rule_suggest(spark, d)), unblock=True)
+    return _gate_pairs(spark, d).select("link", "inherited", r.verdict(F.col("link"), F.col("inherited")).alias("verdict"))
+
+
 def predicate_normalize(spark, d):
     return derived.normalize_predicates(_kb(spark, d)).select("id", "subject", "predicate", "object")
 
@@ -278,6 +312,10 @@ def path_bounded(spark, d):
     return graph.find_path(_stored(spark, d), "tizepebo", "kekegete")
 
 
+def path_outgoing(spark, d):
+    return graph.find_path(_stored(spark, d), "tizepebo", "futadala", outgoing_only=True)
+
+
 def classify_domains(spark, d):
     terms = _kb(spark, d).select(F.explode(F.array("subject", "object")).alias("term"))
     return domains.classify(terms).select("term", F.array_join("domains", ",").alias("domains"), domains.context_of(F.col("domains")).alias("context"))
@@ -288,6 +326,17 @@ def compat_score(spark, d):
     return f.select("id", domains.compatibility(F.col("s_domains"), F.col("o_domains")).alias("score"))
 
 
+def compatible_pairs(spark, d):
+    """Of every fact whether its two terms are compatible, and whether they may be called analogous."""
+    f = domains.with_domains(_stored(spark, d))
+    s, o = F.col("s_domains"), F.col("o_domains")
+    return f.select("id", domains.compatible(s, o).alias("compatible"), domains.analogy_gate(s, o).alias("analogous"))
+
+
+def clean_facts(spark, d):
+    return domains.clean(_stored(spark, d)).select("id", *QUAD)
+
+
 def domain_matrix(spark, d):
     return domains.dictionary(spark)
 
@@ -318,12 +367,12 @@ def domain_analysis(spark, d):
 def bridge_add_dedup(spark, d):
     """Bridges with odd ids added to those with even ids."""
     b = load(spark, d, "bridges")
-    return bridges.add_bridges(b.filter("id % 2 = 0"), b.filter("id % 2 = 1"))
+    return bridges.add_bridges(b.filter("id % 2 = 0"), b.filter("id % 2 = 1")).drop("examples")
 
 
 def bridge_add_undirected(spark, d):
     b = load(spark, d, "bridges")
-    return bridges.add_bridges(b.filter("id % 2 = 0"), b.filter("id % 2 = 1"), undirected=True)
+    return bridges.add_bridges(b.filter("id % 2 = 0"), b.filter("id % 2 = 1"), undirected=True).drop("examples")
 
 
 def bridge_find(spark, d):
@@ -354,8 +403,27 @@ def bridge_discover_stated(spark, d):
     return bridges.bridge_predicates(_kb(spark, d))
 
 
+def bridge_stated_by(spark, d):
+    """Stated bridges by predicates of this store's own."""
+    return bridges.bridge_predicates(_kb(spark, d), oracle.STATED_BY)
+
+
+def bridge_shared_members(spark, d):
+    return bridges.mechanism_members(_stored(spark, d))
+
+
 def bridge_discover_structural(spark, d):
-    return bridges.structural_patterns(_stored(spark, d), words=["spring", "channel", "sluice", "lagoon", "marsh"])
+    return bridges.structural_patterns(_stored(spark, d))
+
+
+def bridge_structural_words(spark, d):
+    """Structural patterns by words of this store's own."""
+    return bridges.structural_patterns(_stored(spark, d), words=oracle.STRUCTURAL_WORDS)
+
+
+def bridge_structural_members(spark, d):
+    m = bridges.structural_members(_stored(spark, d), words=oracle.STRUCTURAL_WORDS)
+    return m.select("subject", F.array_join("domains", ",").alias("domains"), F.array_join("words", ",").alias("words"))
 
 
 def bridge_potential(spark, d):
@@ -369,7 +437,7 @@ def bridge_relevant(spark, d):
 
 def bridge_pairs(spark, d):
     kb = _stored(spark, d)
-    found = pulse.cross_domain(kb, _standing(spark, d), pulse.Settings())
+    found = pulse.cross_domain(kb, _standing(spark, d), pulse.Settings(cap=oracle.PAIRS))
     return bridges.cross_pattern_candidates(found)
 
 
@@ -402,8 +470,7 @@ def _texts(spark, d):
 
 
 def question_terms_q(spark, d):
-    q = _texts(spark, d).select("doc_id", F.posexplode(question_terms(F.col("text"))).alias("pos", "term"))
-    return q.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+    return _texts(spark, d).select("doc_id", F.posexplode(question_terms(F.col("text"))).alias("pos", "term"))
 
 
 def reply_triples(spark, d):
@@ -416,7 +483,7 @@ def reply_verdicts(spark, d):
 
 
 def reply_sections(spark, d):
-    return _texts(spark, d).filter("text is not null").select("doc_id", sections(F.col("text")).alias("s")).select("doc_id", F.length("s.facts").alias("n_facts"), F.length("s.confused").alias("n_confused"), F.length("s.reasoning").alias("n_reasoning"))
+    return _texts(spark, d).filter("text is not null").select("doc_id", sections(F.col("text")).alias("s")).select("doc_id", "s.facts", "s.confused", "s.reasoning")
 
 
 def chunk_text(spark, d):
@@ -431,6 +498,52 @@ def wiki_sections(spark, d):
     return readers.section_chunks(_texts(spark, d), most=None)
 
 
+def _written(spark, df):
+    """A table of texts (part, value) as files, one row each, below the shared folder."""
+    path = Work(spark, "files").path()
+    df.repartition("part").write.partitionBy("part").text(path)
+    return path
+
+
+def seed_read(spark, d):
+    """The entries written as seed files of 5,000 each and read back."""
+    e = load(spark, d, "entries").select((F.col("id") / 5000).cast("bigint").alias("part"), F.struct("subject", "predicate", "object", "context", "truth_value", "source", "generation", "evidence_for", "evidence_against").alias("e"))
+    docs = e.groupBy("part").agg(F.to_json(F.struct(F.lit("water").alias("topic"), F.collect_list("e").alias("entries"))).alias("value"))  # at most 5,000 entries
+    path = _written(spark, docs)
+    return readers.read_seed(spark, f"{path}/part=*").select(*QUAD, "truth_value", "source", "generation")
+
+
+def conceptnet_read(spark, d):
+    """The entries written as an edge dump and read back; the weight of an edge is its generation."""
+    p, mark = F.lower("predicate"), F.lit("/c/en/")
+    names = derived.rows(spark, sorted((v, k) for k, v in V.CONCEPTNET_RELATIONS.items()), "name string, relation string")
+    e = load(spark, d, "entries").join(names, p == F.col("name"), "left")
+    meta = F.to_json(F.struct(F.col("generation").cast("double").alias("weight")))
+    line = F.concat_ws("\t", F.lit("/a/x"), F.coalesce("relation", F.lit("/r/Other")), F.concat(mark, F.coalesce(insert_norm("subject"), F.lit("")), F.lit("/n")), F.concat(mark, F.coalesce(insert_norm("object"), F.lit(""))), meta)
+    path = Work(spark, "files").path()
+    e.select(line.alias("value")).write.text(path, compression="gzip")
+    return readers.read_conceptnet(spark, path, max_edges=None).select(*QUAD)
+
+
+def wikidata_read(spark, d):
+    """The entries written as an entity dump, one claim an entity, and read back."""
+    names = derived.rows(spark, sorted((v, k) for k, v in V.WIKIDATA_PROPERTIES.items()), "name string, property string")
+    e = load(spark, d, "entries").join(names, F.lower("predicate") == F.col("name"), "left")
+    snak = F.struct(F.struct(F.struct(F.lit("string").alias("type"), F.col("object").alias("value")).alias("datavalue")).alias("mainsnak"))
+    entity = F.struct(F.concat(F.lit("Q"), "id").alias("id"), F.create_map(F.lit("en"), F.struct(F.col("subject").alias("value"))).alias("labels"), F.create_map(F.coalesce("property", F.lit("P0")), F.array(snak)).alias("claims"))
+    path = Work(spark, "files").path()
+    e.select(F.concat(F.to_json(entity), F.lit(",")).alias("value")).write.text(path, compression="bzip2")
+    return readers.read_wikidata(spark, path, max_entities=None).select(*QUAD)
+
+
+def textbook_read(spark, d):
+    """The documents written as books of 50 texts and read back in chunks; how often each chunk comes out."""
+    t = _texts(spark, d).filter("text is not null").select((F.col("doc_id") / 50).cast("bigint").alias("part"), F.struct("doc_id", "text").alias("t"))
+    books = t.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["text"]), "\n\n").alias("value"))  # at most 50 texts
+    path = _written(spark, books)
+    return readers.read_textbook(spark, f"{path}/part=*").groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queue_order(spark, d):
     """Events as tasks: kind, payload and value as priority."""
     e = load(spark, d, "events")
@@ -459,7 +572,9 @@ def fnv1a(spark, d):
 
 
 _QUERIES = [
-    p3_found, p3_depths, p3_hierarchies, p5_found, p5_by_month,
+    p3_found, p3_depths, p3_hierarchies, p5_found, p5_by_month, p5_cascade, all_true, next_generation, concept_lookup, kb_report_parts,
+    rule_learned, path_outgoing, compatible_pairs, clean_facts, bridge_stated_by, bridge_shared_members, bridge_structural_words, bridge_structural_members,
+    seed_read, conceptnet_read, wikidata_read, textbook_read,
     normalize_terms, append_dedup, star_triples, find_exact, search_like, search_multi, about, reverse, unresolved, known_subjects,
     ambiguous_subjects, subject_display, raw_lookup, stats_source, stats_grade_pivot, stats_dashboard, kb_report,
     pulse_merge, pulse_merge_all, pulse_transitive, transitive_blocked, pulse_cross_domain, pulse_analogy, profile_pairs, profile_classes, pulse_run,

@@ -37,6 +37,14 @@ def report(store: DataFrame) -> DataFrame:
     )
 
 
+def report_parts(store: DataFrame, derived: dict[str, DataFrame], top: int = 10) -> DataFrame:
+    """(part, key, n): the largest sources, and how many rows each derived table has."""
+    out = stats_by_source(store).orderBy(F.desc("n"), "source").limit(top).select(F.lit("source").alias("part"), F.col("source").alias("key"), "n")
+    for name, table in derived.items():
+        out = out.unionByName(table.agg(F.count(F.lit(1)).alias("n")).select(F.lit("table").alias("part"), F.lit(name).alias("key"), "n"))
+    return out
+
+
 def centrality(store: DataFrame, closure: DataFrame) -> DataFrame:
     """(subject, out_degree, in_degree, hierarchy_children, score) of every atomic term of a true fact.
 

@@ -6,30 +6,49 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet import vocabulary as V
-from rivulet.functions.text import is_atomic, lookup_norm
+from rivulet.functions.text import TERM_CHARS, is_atomic, lookup_norm
 from rivulet.operators.derived import rows
-from rivulet.operators.domains import classify
-from rivulet.tables import union_all
+from rivulet.operators.domains import classify, labelled
+from rivulet.tables import Work, hot_of, skew_join, union_all
 
 TYPE_KEY = ["term_a", "term_b", "bridge_type"]
 
 
+#: Columns of a bridge beside its key, and what stands for a missing value.
+_MORE = {"domain_a": "''", "domain_b": "''", "reason": "''", "strength": "0.5D", "bidirectional": "true", "teaching_note": "''", "discovered_by": "'manual'", "examples": "cast(array() as array<string>)"}
+
+
 def add_bridges(bridges: DataFrame, new: DataFrame, types: list[str] = V.BRIDGE_TYPES, undirected: bool = False) -> DataFrame:
     """Rows of ``new`` that are accepted: known type, and (a, b, type) neither stored nor earlier in ``new`` (by id).
 
     Terms are compared by the lookup rule.  The key is directed;
-    ``undirected`` also refuses reversed duplicates.
+    ``undirected`` also refuses reversed duplicates.  Accepted rows have all
+    columns of a bridge; those that ``new`` lacks, and nulls, get the default
+    (strength 0.5, bidirectional, found by hand, no examples, else empty).
     """
 
-    def keyed(df: DataFrame) -> DataFrame:
+    def keyed(df: DataFrame, more: bool) -> DataFrame:
         a, b = lookup_norm("term_a"), lookup_norm("term_b")
         x, y = (F.least(a, b), F.greatest(a, b)) if undirected else (a, b)
-        return df.select("id", a.alias("term_a"), b.alias("term_b"), "bridge_type", F.coalesce("strength", F.lit(0.5)).alias("strength"), x.alias("_x"), y.alias("_y"))
+        rest = [F.coalesce(c, F.expr(d)).alias(c) if c in df.columns else F.expr(d).alias(c) for c, d in _MORE.items()] if more else []
+        return df.select("id", a.alias("term_a"), b.alias("term_b"), "bridge_type", *rest, x.alias("_x"), y.alias("_y"))
+
+    ok = keyed(new, True).filter(F.col("bridge_type").isin(types) & F.col("term_a").isNotNull() & F.col("term_b").isNotNull())
+    rest = [c for c in ok.columns if c not in ("_x", "_y", "bridge_type")]
+    first = ok.groupBy("_x", "_y", "bridge_type").agg(F.min_by(F.struct(*rest), "id").alias("b"))
+    fresh = first.join(keyed(bridges, False).select("_x", "_y", "bridge_type"), ["_x", "_y", "bridge_type"], "left_anti")
+    return fresh.select("b.id", "b.term_a", "b.term_b", "bridge_type", *[f"b.{c}" for c in _MORE])
+
+
+def new_examples(added: DataFrame, start: int = 0) -> DataFrame:
+    """(bridge_id, example, no) of the examples that came with added bridges, in their order."""
+    return added.select(F.col("id").alias("bridge_id"), F.posexplode("examples").alias("no", "example")).select("bridge_id", "example", (F.col("no") + start).alias("no"))
+
 
-    ok = keyed(new).filter(F.col("bridge_type").isin(types) & F.col("term_a").isNotNull() & F.col("term_b").isNotNull())
-    first = ok.groupBy("_x", "_y", "bridge_type").agg(F.min_by(F.struct("id", "term_a", "term_b", "strength"), "id").alias("b"))
-    fresh = first.join(keyed(bridges).select("_x", "_y", "bridge_type"), ["_x", "_y", "bridge_type"], "left_anti")
-    return fresh.select("b.id", "b.term_a", "b.term_b", "bridge_type", "b.strength")
+def read_bridges(spark: SparkSession, path: str) -> DataFrame:
+    """Bridges of JSON files, a list of objects each (one file may span lines); numbered in file order."""
+    schema = "term_a string, term_b string, domain_a string, domain_b string, bridge_type string, reason string, strength double, bidirectional boolean, teaching_note string, discovered_by string, examples array<string>"
+    return spark.read.schema(schema).json(path, multiLine=True).withColumn("id", F.monotonically_increasing_id())
 
 
 def find_bridges(bridges: DataFrame, term: str) -> DataFrame:
@@ -57,8 +76,8 @@ def examples_of(bridges: DataFrame, examples: DataFrame) -> DataFrame:
 def facts_with_bridges(store: DataFrame, bridges: DataFrame) -> DataFrame:
     """(id, bridge_id): facts whose subject or object is a side of a bridge."""
     sides = bridges.select(F.col("id").alias("bridge_id"), F.explode(F.array(lookup_norm("term_a"), lookup_norm("term_b"))).alias("term"))
-    ends = store.select("id", F.explode(F.array("subject", "object")).alias("term"))
-    return ends.join(sides, "term").select("id", "bridge_id").distinct()
+    ends = store.select("id", F.explode(F.array("subject", "object")).alias("term")).join(sides.select("term").distinct(), "term", "left_semi")
+    return skew_join(ends, sides, "term", hot_of(ends, "term"), "inner", "id").select("id", "bridge_id").distinct()
 
 
 def _confidence(p: Column, o: Column) -> Column:
@@ -66,47 +85,79 @@ def _confidence(p: Column, o: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.lit(0.4) + bonus), 2)
 
 
-def shared_mechanisms(store: DataFrame, domains: V.Domains | None = None) -> DataFrame:
-    """(term_a, domain_a, term_b, domain_b, predicate, object, bridge_type, confidence): subjects of different domain
-    labels that share a predicate (not a generic one) and an object; each unordered pair once per property."""
+def mechanism_members(store: DataFrame, domains: V.Domains | None = None) -> DataFrame:
+    """(predicate, object, domain, subject): atomic subjects of true facts by property and by each of their domain labels,
+    generic predicates left out; only properties that several labels share.  This is the membership of
+    ``shared_mechanisms``."""
     t = store.filter((F.col("truth_value") == "T") & is_atomic("subject") & ~F.col("predicate").isin(V.NOISE_PREDICATES)).select("subject", "predicate", "object").distinct()
-    labels = classify(t.select(F.col("subject").alias("term")), domains).select(F.col("term").alias("subject"), F.explode("domains").alias("domain"))
-    d = t.join(labels, "subject")
-    # only properties shared across labels are expanded to pairs
+    t = Work(store.sparkSession, "mechanisms").put(t)
+    labels = classify(t.select(F.col("subject").alias("term")), domains).filter(F.size("domains") > 0)
+    d = labelled(t, "subject", labels, "domains").select("predicate", "object", F.explode("domains").alias("domain"), "subject")
     many = d.groupBy("predicate", "object").agg(F.min("domain").alias("lo"), F.max("domain").alias("hi")).filter("lo < hi").select("predicate", "object")
-    d = d.join(many, ["predicate", "object"], "left_semi")
-    a, b = d.alias("a"), d.alias("b")
-    same = (F.col("a.predicate") == F.col("b.predicate")) & (F.col("a.object") == F.col("b.object"))
-    j = a.join(b, same & (F.col("a.domain") < F.col("b.domain")) & (F.col("a.subject") != F.col("b.subject")))
-    kind = F.when(F.col("a.object").isin(V.STRUCTURAL_WORDS), "structural").otherwise("emergent")
+    return d.join(many, ["predicate", "object"], "left_semi")
+
+
+def shared_mechanisms(store: DataFrame, domains: V.Domains | None = None) -> DataFrame:
+    """(predicate, object, domain_a, domain_b, term_a, term_b, n_pairs, bridge_type, confidence): which two domains share a
+    property, how many pairs of different subjects that makes, and the first of these pairs.
+
+    Pairs are counted and never listed: the subjects are in ``mechanism_members``.
+    """
+    key = ["predicate", "object"]
+    d = Work(store.sparkSession, "mechanisms").put(mechanism_members(store, domains))
+    first = d.groupBy(*key, "domain").agg(F.count(F.lit(1)).alias("n"), F.min("subject").alias("m1"))
+    second = d.join(first, [*key, "domain"]).filter("subject > m1").groupBy(*key, "domain").agg(F.min("subject").alias("m2"))
+    c = first.join(second, [*key, "domain"], "left")
+    a, b = c.alias("a"), c.alias("b")  # one row a domain: as many pairs as there are pairs of labels
+    j = a.join(b, (F.col("a.predicate") == F.col("b.predicate")) & (F.col("a.object") == F.col("b.object")) & (F.col("a.domain") < F.col("b.domain")))
+    j = j.select("a.predicate", "a.object", F.col("a.domain").alias("domain_a"), F.col("b.domain").alias("domain_b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), F.col("a.m1").alias("a1"), F.col("a.m2").alias("a2"), F.col("b.m1").alias("b1"), F.col("b.m2").alias("b2"))
+    own = d.groupBy(*key, "subject").agg(F.collect_set("domain").alias("ds")).filter(F.size("ds") > 1)  # the labels of one subject
+    both = own.select(*key, F.explode("ds").alias("domain_a"), "ds").select(*key, "domain_a", F.explode("ds").alias("domain_b")).filter("domain_a < domain_b").groupBy(*key, "domain_a", "domain_b").agg(F.count(F.lit(1)).alias("nab"))
+    j = j.join(both, [*key, "domain_a", "domain_b"], "left").withColumn("n_pairs", F.col("na") * F.col("nb") - F.coalesce("nab", F.lit(0))).filter("n_pairs > 0")
+    same = F.col("a1") == F.col("b1")
+    kind = F.when(F.col("object").isin(V.STRUCTURAL_WORDS), "structural").otherwise("emergent")
     return j.select(
-        F.col("a.subject").alias("term_a"), F.col("a.domain").alias("domain_a"), F.col("b.subject").alias("term_b"), F.col("b.domain").alias("domain_b"),
-        F.col("a.predicate").alias("predicate"), F.col("a.object").alias("object"), kind.alias("bridge_type"), _confidence(F.col("a.predicate"), F.col("a.object")).alias("confidence"),
+        *key, "domain_a", "domain_b", F.when(same & F.col("b2").isNull(), F.col("a2")).otherwise(F.col("a1")).alias("term_a"), F.when(same & F.col("b2").isNotNull(), F.col("b2")).otherwise(F.col("b1")).alias("term_b"),
+        "n_pairs", kind.alias("bridge_type"), _confidence(F.col("predicate"), F.col("object")).alias("confidence"),
     )
 
 
-def bridge_predicates(store: DataFrame) -> DataFrame:
+def bridge_predicates(store: DataFrame, predicates: list[str] = V.BRIDGE_PREDICATES) -> DataFrame:
     """(term_a, term_b, predicate, bridge_type, confidence): facts that state a bridge themselves."""
-    t = store.filter((F.col("truth_value") == "T") & F.col("predicate").isin(V.BRIDGE_PREDICATES))
+    t = store.filter((F.col("truth_value") == "T") & F.col("predicate").isin(predicates))
     return t.select(F.col("subject").alias("term_a"), F.col("object").alias("term_b"), "predicate", F.lit("inspirational").alias("bridge_type"), F.lit(0.7).alias("confidence")).distinct()
 
 
-def structural_patterns(store: DataFrame, domains: V.Domains | None = None, words: list[str] = V.STRUCTURAL_WORDS) -> DataFrame:
-    """(term_a, term_b, n_shared, confidence): subjects of known, different domain sets whose objects hold the same
-    structural words; confidence min(0.3 + 0.15 n, 0.9)."""
+def structural_members(store: DataFrame, domains: V.Domains | None = None, words: list[str] = V.STRUCTURAL_WORDS) -> DataFrame:
+    """(subject, domains, words): atomic subjects of known domains with the structural words that their objects hold."""
     held = F.filter(F.array(*[F.when(F.contains("object", F.lit(w)), F.lit(w)) for w in words]), lambda x: x.isNotNull())
-    t = store.filter((F.col("truth_value") == "T") & is_atomic("subject")).select("subject", F.explode(held).alias("word")).distinct()
+    t = store.filter((F.col("truth_value") == "T") & is_atomic("subject")).select("subject", F.explode(held).alias("word")).groupBy("subject").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    t = Work(store.sparkSession, "structural").put(t)
     labels = classify(t.select(F.col("subject").alias("term")), domains).filter(F.size("domains") > 0).select(F.col("term").alias("subject"), "domains")
-    d = t.join(labels, "subject")
-    a, b = d.alias("a"), d.alias("b")
-    j = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.subject") < F.col("b.subject")) & (F.col("a.domains") != F.col("b.domains")))
-    n = j.groupBy(F.col("a.subject").alias("term_a"), F.col("b.subject").alias("term_b")).agg(F.count(F.lit(1)).alias("n_shared"))
-    return n.withColumn("confidence", F.round(F.least(F.lit(0.9), 0.3 + 0.15 * F.col("n_shared")), 2))
+    return t.join(labels, "subject").select("subject", "domains", "words")
+
+
+def structural_patterns(store: DataFrame, domains: V.Domains | None = None, words: list[str] = V.STRUCTURAL_WORDS) -> DataFrame:
+    """(term_a, term_b, n_shared, n_pairs, confidence): subjects of different domain sets whose objects hold the same
+    structural words; confidence min(0.3 + 0.15 n, 0.9).
+
+    Subjects with equal domains and words are one class, named by its first
+    subject; pairs are those of classes, with the number of subject pairs that
+    they stand for.  The members are in ``structural_members``.
+    """
+    c = structural_members(store, domains, words).groupBy("domains", "words").agg(F.count(F.lit(1)).alias("n"), F.min("subject").alias("first"))
+    c = Work(store.sparkSession, "structural").put(c)
+    w = c.select("domains", "words", "n", "first", F.explode("words").alias("word"))
+    a, b = w.alias("a"), w.alias("b")
+    j = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.first") < F.col("b.first")) & (F.col("a.domains") != F.col("b.domains")))
+    j = j.groupBy(F.col("a.first").alias("term_a"), F.col("b.first").alias("term_b"), (F.col("a.n") * F.col("b.n")).alias("n_pairs")).agg(F.count(F.lit(1)).alias("n_shared"))
+    return j.select("term_a", "term_b", "n_shared", "n_pairs", F.round(F.least(F.lit(0.9), 0.3 + 0.15 * F.col("n_shared")), 2).alias("confidence"))
 
 
 def potential_bridges(store: DataFrame, domains: V.Domains | None = None) -> DataFrame:
     """(term_a, term_b, strategy, bridge_type, confidence): one row per unordered pair; shared mechanisms come before
-    stated bridges, these before structural patterns, each by confidence."""
+    stated bridges, these before structural patterns, each by confidence.  The pairs of the first and the last stand for
+    their classes."""
     pick = lambda df, n, kind: df.select("term_a", "term_b", F.lit(n).alias("strategy"), kind.alias("bridge_type"), "confidence")
     every = union_all([
         pick(shared_mechanisms(store, domains), 1, F.col("bridge_type")),
@@ -117,16 +168,29 @@ def potential_bridges(store: DataFrame, domains: V.Domains | None = None) -> Dat
     return best.select(F.col("x").alias("term_a"), F.col("y").alias("term_b"), "b.*")
 
 
+def _substrings(c: str, sizes: Column) -> Column:
+    """All substrings of a value with the given sizes, each once."""
+    n = F.length(c)
+    per = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(c), i, k))
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda k: k <= n), per)))
+
+
 def relevant_bridges(bridges: DataFrame, terms: DataFrame) -> DataFrame:
-    """Bridges with a side equal to a term of the knowledge base, however short, or sharing one of its '_'-joined words
-    of more than three characters."""
-    # a whole term is marked by a blank, which no word of one has
-    whole = lambda c: F.concat(F.lit(" "), F.col(c))
-    parts = lambda c: F.array_append(F.filter(F.array_append(F.split(c, "_"), F.col(c)), lambda w: F.length(w) > 3), whole(c))
-    words = terms.filter("term is not null").select(F.explode(parts("term")).alias("word")).distinct()
-    sides = bridges.select("id", F.explode(F.array(lookup_norm("term_a"), lookup_norm("term_b"))).alias("side")).filter("side is not null")
-    sides = sides.select("id", F.explode(parts("side")).alias("word"))
-    return bridges.join(sides.join(words, "word", "left_semi").select("id").distinct(), "id", "left_semi")
+    """Bridges with a side that equals a term of the knowledge base, holds one, or stands in one.
+
+    ``terms`` has the column ``term``, in insert normalisation.  Null and empty sides and terms match
+    nothing.  Substrings are joined by equality, so the work grows with the
+    distinct terms and never with terms times bridges.
+    """
+    known = terms.filter(F.length("term") > 0).select("term").distinct()
+    sides = bridges.select("id", F.explode(F.array(lookup_norm("term_a"), lookup_norm("term_b"))).alias("side")).filter(F.length("side") > 0)
+    distinct = sides.select("side").distinct()
+    holding = distinct.select("side", F.explode(_substrings("side", F.sequence(F.lit(1), F.least(F.length("side"), F.lit(TERM_CHARS))))).alias("term")).join(known, "term", "left_semi").select("side")
+    # only substrings as long as some side can be one
+    sizes = sorted(r["n"] for r in distinct.select(F.length("side").alias("n")).filter(F.col("n") <= TERM_CHARS).distinct().collect())  # at most TERM_CHARS rows
+    inside = known.select(F.explode(_substrings("term", F.array(*[F.lit(n) for n in sizes]).cast("array<int>"))).alias("side")).join(distinct, "side", "left_semi")
+    hit = sides.join(holding.unionByName(inside).distinct(), "side", "left_semi").select("id").distinct()
+    return bridges.join(hit, "id", "left_semi")
 
 
 def cross_pattern_candidates(store: DataFrame, domains: V.Domains | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from rivulet import vocabulary as V
 from rivulet.functions.text import is_atomic
 from rivulet.operators.derived import rows
+from rivulet.plans.store import first_of
+from rivulet.tables import Work, hot_of, skew_join
 
 
 def classify(terms: DataFrame, domains: V.Domains | None = None, learned: DataFrame | None = None) -> DataFrame:
@@ -55,14 +57,21 @@ def compatible(a: Column, b: Column, domains: V.Domains | None = None) -> Column
     return (F.size(a) == 0) | (F.size(b) == 0) | (compatibility(a, b, domains) >= 0.7)
 
 
-def with_domains(facts: DataFrame, domains: V.Domains | None = None) -> DataFrame:
-    """``facts`` with ``s_domains`` and ``o_domains``; distinct terms are classified once."""
+def labelled(facts: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
+    """``facts`` with the labels (term, domains) of one of its columns; unknown terms have none.
+
+    One term may hold a large share of the facts: its rows are spread.
+    """
+    known = labels.select(F.col("term").alias(column), F.col("domains").alias(name))
+    joined = skew_join(facts, known, column, hot_of(facts, column), "left")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+
+
+def with_domains(facts: DataFrame, domains: V.Domains | None = None, learned: DataFrame | None = None) -> DataFrame:
+    """``facts`` with ``s_domains`` and ``o_domains``; distinct terms are classified once, with the labels ``learned``."""
     terms = facts.select(F.explode(F.array("subject", "object")).alias("term"))
-    labels = classify(terms, domains).filter(F.size("domains") > 0)  # unknown terms need no join partner
-    s = labels.select(F.col("term").alias("subject"), F.col("domains").alias("s_domains"))
-    o = labels.select(F.col("term").alias("object"), F.col("domains").alias("o_domains"))
-    none = F.array().cast("array<string>")
-    return facts.join(s, "subject", "left").join(o, "object", "left").withColumns({"s_domains": F.coalesce("s_domains", none), "o_domains": F.coalesce("o_domains", none)})
+    labels = Work(facts.sparkSession, "labels").put(classify(terms, domains, learned).filter(F.size("domains") > 0))  # unknown terms need no join partner
+    return labelled(labelled(facts, "subject", labels, "s_domains"), "object", labels, "o_domains")
 
 
 def nonsense(facts: DataFrame, domains: V.Domains | None = None) -> DataFrame:
@@ -131,8 +140,17 @@ def cross_gate(a: Column, b: Column, o: Column, domains: V.Domains | None = None
     return (s[0] > 0) & (s[1] > 0) & (s[2] > 0) & ((s[0] + s[1] + s[2]) / 3 >= 0.3 - 1e-12)
 
 
-def gate(facts: DataFrame, source: str, profile: DataFrame, domains: V.Domains | None = None) -> tuple[DataFrame, DataFrame]:
-    """Accepted and rejected facts of one source; rejected ones carry ``reason``."""
+def gate(facts: DataFrame, source: str | None, profile: DataFrame, domains: V.Domains | None = None, skip: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Accepted and rejected facts of one source; rejected ones carry ``reason``.
+
+    Every fact passes the nonsense filter; 'transitive' ones the type gate,
+    'analogy' ones the analogy gate between subject and object, 'cross_domain'
+    ones with a subject of two members the cross-domain gate of both with the
+    object.  ``skip`` lets everything pass (for seed data).
+    """
+    if skip:
+        passed = facts.withColumn("reason", F.lit("ok"))
+        return passed, passed.filter("false")
     f = nonsense(facts, domains)
     if source == "transitive":
         f = type_gate(f.drop("s_domains", "o_domains"), profile, domains)
@@ -141,9 +159,26 @@ def gate(facts: DataFrame, source: str, profile: DataFrame, domains: V.Domains |
         f = f.withColumns({"truth_value": F.when(weak, "M").otherwise(F.col("truth_value")), "needs_verification": weak | F.col("needs_verification")})
     elif source == "analogy":
         f = f.withColumn("reason", F.when((F.col("reason") == "ok") & ~analogy_gate(F.col("s_domains"), F.col("o_domains"), domains), "analogy gate").otherwise(F.col("reason")))
+    elif source == "cross_domain":
+        pair = F.split("subject", ",")
+        f = f.withColumns({"_a": F.when(F.size(pair) == 2, F.get(pair, F.lit(0))), "_b": F.when(F.size(pair) == 2, F.get(pair, F.lit(1)))})
+        labels = classify(f.select(F.explode(F.array("_a", "_b")).alias("term")), domains).filter(F.size("domains") > 0)
+        for c in ("_a", "_b"):
+            f = labelled(f, c, labels, f"{c}_domains")
+        wrong = F.col("_a").isNotNull() & ~cross_gate(F.col("_a_domains"), F.col("_b_domains"), F.col("o_domains"), domains)
+        f = f.withColumn("reason", F.when((F.col("reason") == "ok") & wrong, "cross gate").otherwise(F.col("reason"))).drop("_a", "_b", "_a_domains", "_b_domains")
     return f.filter("reason = 'ok'"), f.filter("reason <> 'ok'")
 
 
+def scoped_insert(store: DataFrame, facts: DataFrame, source: str | None, profile: DataFrame, domains: V.Domains | None = None, skip: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): facts (with id) after ``gate`` whose triple, whatever its context, neither the store nor an
+    earlier fact has; ``rejected`` has those that the gate refused, with ``reason``."""
+    passed, rejected = gate(facts, source, profile, domains, skip)
+    triple = ["subject", "predicate", "object"]
+    first = first_of(passed.select(*facts.columns), triple)
+    return first.join(store.select(*triple), triple, "left_anti").select(*facts.columns), rejected
+
+
 def blocked_by_reason(rejected: DataFrame) -> DataFrame:
     return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 

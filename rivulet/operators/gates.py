@@ -79,19 +79,16 @@ def suggest_rules(stats: DataFrame, min_samples: int = 5, threshold: float = 0.7
     return stats.withColumn("suggestion", s)
 
 
-def apply_rules(rules: Rules, suggestions: DataFrame, unblock: bool = False, limit: int = 10_000) -> Rules:
+def apply_rules(rules: Rules, suggestions: DataFrame, unblock: bool = False) -> Rules:
     """Learned rules as a new ``Rules``.  A block adds the inherited predicate to the intrinsic ones, and an unknown
     link to the opaque ones; an allow adds it to the relational ones.  As an intrinsic predicate blocks before a
-    relational one allows, an allow alone lifts no block; ``unblock`` adds the pair to the overrides."""
-    rows = suggestions.filter("suggestion <> 'uncertain'").orderBy("link", "inherited").limit(limit).collect()  # pairs of predicates
+    relational one allows, an allow alone lifts no block; ``unblock`` adds the pair to the overrides.  All suggestions
+    count: what comes to the driver are names of predicates, a vocabulary."""
     opaque, intrinsic, relational, allowed = set(rules.opaque), set(rules.intrinsic), set(rules.relational), set(rules.allowed)
-    for r in rows:
-        if r["suggestion"] == "block":
-            intrinsic.add(r["inherited"])
-            if r["link"] not in opaque and r["link"] not in rules.semi:
-                opaque.add(r["link"])
-        else:
-            relational.add(r["inherited"])
-            if unblock:
-                allowed.add((r["link"], r["inherited"]))
+    names = lambda kind, c: {r[0] for r in suggestions.filter(F.col("suggestion") == kind).select(c).distinct().collect()}
+    intrinsic |= names("block", "inherited")
+    opaque |= names("block", "link") - set(rules.semi)
+    relational |= names("allow", "inherited")
+    if unblock:
+        allowed |= {(r["link"], r["inherited"]) for r in suggestions.filter("suggestion = 'allow'").select("link", "inherited").distinct().collect()}
     return rules.with_(opaque=opaque, intrinsic=intrinsic, relational=relational, allowed=allowed)

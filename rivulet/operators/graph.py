@@ -47,18 +47,23 @@ def graph_size(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("kind"), "n"))
 
 
-def find_path(store: DataFrame, start: str, end: str, max_depth: int = 5, context: str | None = None) -> DataFrame:
+def find_path(store: DataFrame, start: str, end: str, max_depth: int = 5, context: str | None = None, outgoing_only: bool = False) -> DataFrame:
     """(hops, path): the shortest undirected path between two terms, '--p-->' between its nodes, or no row.
 
     ``max_depth`` counts nodes and edge labels, so the path has at most
     floor((max_depth - 1) / 2) + 1 hops.  Of equally short paths the one with
     the lowest fact ids, hop by hop, is taken.  Arrows ignore the direction of
     the fact.  A term reaches itself only over a fact that leads back.
+    ``outgoing_only`` follows facts from subject to object only, between atomic
+    terms.
     """
     work = Work(store.sparkSession, "path")
     a, b = _key(start), _key(end)
     edges = _edges(store, context)
-    both = edges.select("id", "predicate", F.explode(F.array(F.struct(F.col("subject").alias("at"), F.col("object").alias("to")), F.struct(F.col("object").alias("at"), F.col("subject").alias("to")))).alias("e")).select("id", "predicate", "e.at", "e.to")
+    ends = [F.struct(F.col("subject").alias("at"), F.col("object").alias("to")), F.struct(F.col("object").alias("at"), F.col("subject").alias("to"))]
+    if outgoing_only:
+        edges, ends = edges.filter(is_atomic("subject") & is_atomic("object")), ends[:1]
+    both = edges.select("id", "predicate", F.explode(F.array(*ends)).alias("e")).select("id", "predicate", "e.at", "e.to")
     front = store.sparkSession.range(1).select(F.lit(a).alias("at"), F.array(F.lit(a)).alias("path"), F.array().cast("array<bigint>").alias("ids"))
     visited = front.select("at")
     done = None

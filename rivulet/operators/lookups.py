@@ -20,6 +20,12 @@ def find(store: DataFrame, **values) -> DataFrame:
     return store.filter(reduce(lambda a, b: a & b, [F.col(k) == v for k, v in values.items()], F.lit(True)))
 
 
+def concept(concepts: DataFrame, subject: str, context: str | None = None) -> DataFrame:
+    """(context, definition) of a subject, in one context or in all."""
+    found = concepts.filter(F.col("subject") == subject)
+    return (found if context is None else found.filter(F.col("context") == context)).select("context", "definition")
+
+
 def all_entries(store: DataFrame, truth_value: str | None = None) -> DataFrame:
     return store if truth_value is None else store.filter(F.col("truth_value") == truth_value)
 

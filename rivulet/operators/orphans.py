@@ -127,6 +127,28 @@ def knowledge_base_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans(spark, tables, references)
 
 
+def star_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orphans`` down the star schema after the region ASIA was removed and the customers and suppliers with a negative
+    balance were deleted: nations lose their region, and what hangs from them inherits it."""
+    region, nation, customer, supplier, orders, lineitem = (load(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier", "orders", "lineitem"))
+    line = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # line numbers are not unique
+    closed = lambda c: F.when(F.col(c) < 0, F.to_timestamp(F.lit("2024-01-01")))
+    tables = [
+        Table("region", region.filter("r_name <> 'ASIA'"), F.col("r_regionkey"), F.col("r_regionkey")),
+        Table("nation", nation, F.col("n_nationkey"), F.col("n_nationkey")),
+        Table("customer", customer, F.col("c_custkey"), F.col("c_custkey"), None, closed("c_acctbal")),
+        Table("supplier", supplier, F.col("s_suppkey"), F.col("s_suppkey"), None, closed("s_acctbal")),
+        Table("orders", orders, F.col("o_orderkey"), F.col("o_orderkey"), F.col("o_orderdate")),
+        Table("lineitem", lineitem, F.concat_ws("-", *line), F.concat_ws("-", *line), F.col("l_shipdate")),
+    ]
+    gone = ["missing", "deleted"]
+    references = [
+        Reference("nation", "region", F.col("n_regionkey"), gone), Reference("customer", "nation", F.col("c_nationkey"), gone), Reference("supplier", "nation", F.col("s_nationkey"), gone),
+        Reference("orders", "customer", F.col("o_custkey"), gone), Reference("lineitem", "orders", F.col("l_orderkey"), gone), Reference("lineitem", "supplier", F.col("l_suppkey"), gone),
+    ]
+    return orphans(spark, tables, references)
+
+
 def orphans_by_month(found: DataFrame) -> DataFrame:
     """(table_name, via, ref_month, reason, kind, n): counts per table and month, direct against inherited."""
     kind = F.when(F.col("level") == 1, "direct").otherwise("inherited")

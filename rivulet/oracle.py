@@ -151,30 +151,48 @@ def _near(term: str, context: str | None, both: bool, atomic: bool) -> str:
 
 def _bridge_add(undirected: bool) -> str:
     key = "least(a, b) AS x, greatest(a, b) AS y" if undirected else "a AS x, b AS y"
-    return f"""WITH k AS (SELECT id, replace(lower(term_a), ' ', '_') AS a, replace(lower(term_b), ' ', '_') AS b, bridge_type, coalesce(strength, 0.5) AS strength FROM bridges),
+    return f"""WITH k AS (SELECT *, replace(lower(term_a), ' ', '_') AS a, replace(lower(term_b), ' ', '_') AS b FROM bridges),
 q AS (SELECT *, {key} FROM k),
 w AS (SELECT * FROM q WHERE id % 2 = 1 AND bridge_type IN {_in(V.BRIDGE_TYPES)} AND a IS NOT NULL AND b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY x, y, bridge_type ORDER BY id) = 1)
-SELECT id, a AS term_a, b AS term_b, bridge_type, strength FROM w ANTI JOIN (SELECT x, y, bridge_type FROM q WHERE id % 2 = 0) USING (x, y, bridge_type)"""
+SELECT id, a AS term_a, b AS term_b, bridge_type, coalesce(domain_a, '') AS domain_a, coalesce(domain_b, '') AS domain_b, coalesce(reason, '') AS reason, coalesce(strength, 0.5) AS strength,
+coalesce(bidirectional, true) AS bidirectional, coalesce(teaching_note, '') AS teaching_note, coalesce(discovered_by, 'manual') AS discovered_by
+FROM w ANTI JOIN (SELECT x, y, bridge_type FROM q WHERE id % 2 = 0) USING (x, y, bridge_type)"""
 
 
 _SHARED = f"""{KB.rstrip()},
 {_DOMAINS},
 t AS (SELECT DISTINCT subject, predicate, object FROM kb WHERE truth_value = 'T' AND {S} AND predicate NOT IN {_in(V.NOISE_PREDICATES)}),
-d AS (SELECT subject, predicate, object, unnest(domains) AS domain FROM t JOIN dom ON subject = term),
-sm AS (SELECT a.subject AS term_a, a.domain AS domain_a, b.subject AS term_b, b.domain AS domain_b, predicate, object,
+dl AS (SELECT subject, predicate, object, unnest(domains) AS domain FROM t JOIN dom ON subject = term),
+d AS (SELECT * FROM dl SEMI JOIN (SELECT predicate, object FROM dl GROUP BY ALL HAVING count(DISTINCT domain) > 1) USING (predicate, object)),
+pp AS (SELECT predicate, object, a.domain AS domain_a, b.domain AS domain_b, a.subject AS sa, b.subject AS sb FROM d a JOIN d b USING (predicate, object) WHERE a.domain < b.domain AND a.subject <> b.subject),
+sm AS (SELECT predicate, object, domain_a, domain_b, min(sa) AS term_a, arg_min(sb, sa || chr(1) || sb) AS term_b, count(*) AS n_pairs,
         CASE WHEN object IN {_in(V.STRUCTURAL_WORDS)} THEN 'structural' ELSE 'emergent' END AS bridge_type,
         round(least(1.0, 0.4 + CASE WHEN predicate IN {_in(V.BRIDGE_PREDICATES)} THEN 0.3 ELSE 0 END + CASE WHEN object IN {_in(V.STRUCTURAL_WORDS)} THEN 0.2 ELSE 0 END + CASE WHEN length(object) > 5 THEN 0.1 ELSE 0 END), 2)::DOUBLE AS confidence
-       FROM d a JOIN d b USING (predicate, object) WHERE a.domain < b.domain AND a.subject <> b.subject)
+       FROM pp GROUP BY predicate, object, domain_a, domain_b)
 """
 
-_STRUCT_WORDS = ["spring", "channel", "sluice", "lagoon", "marsh"]
+#: Parameters of queries on this store's own words: predicates that state a bridge, structural words, pairs looked at.
+STATED_BY = ["similar_to", "symbolizes", "named_after"]
+STRUCTURAL_WORDS = ["spring", "channel", "sluice", "lagoon", "marsh"]
+PAIRS = 1000
 
 
 def _structural(words) -> str:
     return f"""wd(w) AS (VALUES {_values([(w,) for w in words])}),
-sw AS (SELECT DISTINCT subject, w, domains FROM kb JOIN wd ON contains(object, w) JOIN dom ON subject = term WHERE truth_value = 'T' AND {S} AND len(domains) > 0),
-sp AS (SELECT a.subject AS term_a, b.subject AS term_b, count(*) AS n_shared FROM sw a JOIN sw b ON a.w = b.w AND a.subject < b.subject AND a.domains <> b.domains GROUP BY ALL),
-st AS (SELECT *, round(least(0.9, 0.3 + 0.15 * n_shared), 2)::DOUBLE AS confidence FROM sp)"""
+sw AS (SELECT subject, domains, list_sort(list(DISTINCT w)) AS ws FROM kb JOIN wd ON contains(object, w) JOIN dom ON subject = term WHERE truth_value = 'T' AND {S} AND len(domains) > 0 GROUP BY subject, domains),
+sc AS (SELECT domains, ws, count(*) AS n, min(subject) AS first FROM sw GROUP BY ALL),
+st AS (SELECT a.first AS term_a, b.first AS term_b, len(list_intersect(a.ws, b.ws)) AS n_shared, a.n * b.n AS n_pairs, round(least(0.9, 0.3 + 0.15 * len(list_intersect(a.ws, b.ws))), 2)::DOUBLE AS confidence
+       FROM sc a JOIN sc b ON a.first < b.first AND a.domains <> b.domains AND len(list_intersect(a.ws, b.ws)) > 0)"""
+
+
+def _chunks(source: str, key: str, text: str, size: int, overlap: int) -> str:
+    """ch(key..., chunks): paragraphs packed into chunks, one paragraph a step."""
+    trim = "trim({0}, ' ' || chr(10) || chr(9) || chr(13))".format
+    return f"""pr AS (SELECT {key}, list_filter(list_transform(string_split_regex(coalesce({text}, ''), '\\n\\s*\\n'), lambda p: {trim("p")}), lambda p: p <> '') AS ps FROM {source}),
+sg AS (SELECT {key}, ps, 0 AS i, '' AS cur, []::VARCHAR[] AS done FROM pr
+ UNION ALL SELECT {key}, ps, i + 1, CASE WHEN brim THEN kept ELSE cur END || ps[i + 1] || chr(10) || chr(10), CASE WHEN brim THEN list_append(done, {trim("cur")}) ELSE done END
+ FROM (SELECT *, length(cur) + length(ps[i + 1]) > {size} AND length(cur) > 0 AS brim, CASE WHEN length(cur) > {overlap} THEN right(cur, {overlap}) ELSE '' END AS kept FROM sg WHERE i < len(ps))),
+ch AS (SELECT {key}, CASE WHEN {trim("cur")} <> '' THEN list_append(done, {trim("cur")}) ELSE done END AS chunks FROM sg WHERE i = len(ps))"""
 
 
 _TOKENS = f"""{KB.rstrip()},
@@ -210,6 +228,46 @@ def _star() -> str:
     ])
 
 
+_CONTEXT = "CASE WHEN len(domains) = 0 THEN 'general' WHEN len(list_filter(domains, lambda x: x <> 'everyday')) = 0 THEN 'everyday' ELSE list_filter(domains, lambda x: x <> 'everyday')[1] END"
+
+
+def _paths(start: str, end: str, outgoing: bool) -> str:
+    """The shortest path of up to three hops, hop by hop; of equal ones the least fact ids."""
+    atoms = f" AND {S} AND {O}" if outgoing else ""
+    back = "" if outgoing else " UNION ALL SELECT id, predicate, object, subject FROM e"
+
+    def hop(n: int, before: str, path: str, ids: str) -> str:
+        seen = " UNION ALL ".join([f"SELECT '{start}' AS here", *[f"SELECT here FROM f{k}" for k in range(1, n)]])
+        return f"""h{n} AS (SELECT nxt AS here, {path} AS path, {ids} AS ids FROM {before} QUALIFY row_number() OVER (PARTITION BY nxt ORDER BY {ids}, {path}) = 1),
+f{n} AS (SELECT * FROM h{n} WHERE {ATOM.format("here")} AND here NOT IN ({seen}))"""
+
+    step = "['--' || predicate || '-->', nxt]"
+    hops = [hop(1, f"(SELECT * FROM b WHERE here = '{start}')", f"['{start}'] || {step}", "[id]")]
+    hops += [hop(n, f"(SELECT b.*, path AS p, ids AS q FROM b JOIN f{n - 1} USING (here))", f"p || {step}", "list_append(q, id)") for n in (2, 3)]
+    ends = " UNION ALL ".join(f"SELECT {n} AS hops, array_to_string(path, ' ') AS path FROM h{n} WHERE here = '{end}'" for n in (1, 2, 3))
+    return f"""{KB.rstrip()},
+e AS (SELECT id, subject, predicate, object FROM kb WHERE truth_value = 'T'{atoms}),
+b AS (SELECT id, predicate, subject AS here, object AS nxt FROM e{back}),
+{", ".join(hops)}, r AS ({ends})
+SELECT hops::INTEGER AS hops, path FROM r WHERE hops = (SELECT min(hops) FROM r)"""
+
+
+def _answer(terms: list[str]) -> str:
+    like = " OR ".join(f"subject ILIKE '%{t}%' OR object ILIKE '%{t}%'" for t in terms)
+    side = " OR ".join(f"replace(lower({c}), ' ', '_') = '{t}'" for t in terms for c in ("term_a", "term_b"))
+    return f"""{KB.rstrip()},
+hit AS (SELECT * FROM kb WHERE {like}),
+lead AS (SELECT subject AS x FROM hit WHERE {S} ORDER BY truth_value, generation, id LIMIT 10),
+near AS (SELECT * FROM kb WHERE truth_value = 'T' AND (subject IN (SELECT x FROM lead) OR object IN (SELECT x FROM lead)) AND id NOT IN (SELECT id FROM hit)),
+br AS (SELECT * FROM bridges WHERE deleted_at IS NULL AND ({side})),
+top AS (SELECT * FROM br ORDER BY strength DESC NULLS LAST, id LIMIT 5),
+far AS (SELECT DISTINCT replace(lower(t), ' ', '_') AS t FROM (SELECT unnest([term_a, term_b]) AS t FROM top) WHERE t IS NOT NULL AND t <> '' AND t NOT IN {_in(terms)}),
+beyond AS (SELECT kb.* FROM kb JOIN far ON subject = t WHERE truth_value = 'T' AND {O}),
+pa AS ({_paths(terms[0], terms[1], False)})
+SELECT 'hit' AS section, subject, context, predicate, object FROM hit UNION SELECT 'near', subject, context, predicate, object FROM near UNION SELECT 'bridge', term_a, coalesce(domain_a, ''), bridge_type, term_b FROM br
+UNION SELECT 'beyond', subject, context, predicate, object FROM beyond UNION SELECT 'path', '{terms[0]}', '', path, '{terms[1]}' FROM pa"""
+
+
 def queries() -> dict[str, str]:
     like = lambda t: f"(subject ILIKE '%{t}%' OR object ILIKE '%{t}%')"
     scoped = r"left(trim(regexp_replace(regexp_replace(lower(subject), '[^a-z0-9_\s\p{Z}\x{1c}-\x{1f}-]', '', 'g'), '[\s\p{Z}\x{1c}-\x{1f}-]+', '_', 'g'), '_'), 100)"
@@ -264,7 +322,7 @@ SELECT subject, context, predicate, object, 'T' AS truth_value, 'sim=' || cast(r
 v AS ({verify.format(_in(V.SAFE_PRODUCTION))}), u AS (SELECT id FROM v WHERE truth_value = 'T' AND verified)
 SELECT kb.id, CASE WHEN u.id IS NOT NULL THEN 'T' ELSE truth_value END AS truth_value, verified OR u.id IS NOT NULL AS verified, needs_verification AND u.id IS NULL AS needs_verification,
 len(evidence_for) + CASE WHEN u.id IS NOT NULL THEN 1 ELSE 0 END AS n_for, len(evidence_against) AS n_against FROM kb LEFT JOIN u ON kb.id = u.id""",
-        "upsert_concepts": "SELECT subject, context, left(text, 40) AS definition, source FROM documents WHERE subject IS NOT NULL AND context IS NOT NULL AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subject, context ORDER BY doc_id DESC) = 1",
+        "upsert_concepts": "SELECT subject, context, text AS definition, source FROM documents WHERE subject IS NOT NULL AND context IS NOT NULL AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subject, context ORDER BY doc_id DESC) = 1",
         "gate_verdicts": KB.rstrip() + f", g(link) AS (VALUES {_values([(x,) for x in GATE_LINKS])}), p AS (SELECT DISTINCT predicate AS inherited FROM kb) SELECT link, inherited, {_verdict('link', 'inherited')} AS verdict FROM g, p",
         "chain_confidence": KB.rstrip() + f""", g(link) AS (VALUES {_values([(x,) for x in GATE_LINKS])}), p AS (SELECT DISTINCT predicate AS inherited FROM kb)
 SELECT link, inherited, (CASE WHEN {_verdict('link', 'inherited')} LIKE 'block%' THEN 0.0 WHEN link IN {_in(V.TRANSPARENT_LINKS)} THEN 0.9 WHEN link IN {_in(V.SEMI_TRANSPARENT_LINKS)} THEN 0.6
@@ -291,7 +349,7 @@ UNION ALL SELECT 'lost_child', count(*) FROM (SELECT DISTINCT {norm_sql("child")
         "neighbors_out": _near("tizepebo", None, False, True) + "SELECT e.*, depth FROM e JOIN al USING (id)",
         "graph_size": _near("futadala", None, True, True) + "SELECT 'edges' AS kind, count(*) AS n FROM al UNION ALL SELECT 'nodes', count(DISTINCT x) FROM (SELECT unnest([subject, object]) AS x FROM e JOIN al USING (id))",
         "classify_domains": KB.rstrip() + f""",
-{_DOMAINS} SELECT term, array_to_string(domains, ',') AS domains, CASE WHEN len(domains) = 0 THEN 'general' WHEN len(list_filter(domains, lambda x: x <> 'everyday')) = 0 THEN 'everyday' ELSE list_filter(domains, lambda x: x <> 'everyday')[1] END AS context FROM dom""",
+{_DOMAINS} SELECT term, array_to_string(domains, ',') AS domains, {_CONTEXT} AS context FROM dom""",
         "compat_score": _DKB + "SELECT id, score::DOUBLE AS score FROM sc",
         "domain_matrix": f"WITH mx(a, b, score) AS (VALUES {_values([(a, b, float(s)) for a, b, s in _DOM.matrix()])}) SELECT a, b, score::DOUBLE AS score FROM mx",
         "nonsense_filter": _DKB.rstrip() + f",\n{_NONSENSE} SELECT id, reason FROM ns",
@@ -310,14 +368,20 @@ UNION ALL SELECT 'suspicious', '', count(*) FROM f JOIN sc ON f.id = sc.id WHERE
         "bridge_facts": KB + "SELECT DISTINCT kb.id, b.id AS bridge_id FROM kb JOIN bridges b ON b.deleted_at IS NULL AND (replace(lower(term_a), ' ', '_') IN (subject, object) OR replace(lower(term_b), ' ', '_') IN (subject, object))",
         "bridge_discover_shared": _SHARED + "SELECT * FROM sm",
         "bridge_discover_stated": KB + f"SELECT DISTINCT subject AS term_a, object AS term_b, predicate, 'inspirational' AS bridge_type, 0.7::DOUBLE AS confidence FROM kb WHERE truth_value = 'T' AND predicate IN {_in(V.BRIDGE_PREDICATES)}",
-        "bridge_discover_structural": KB.rstrip() + f",\n{_DOMAINS},\n{_structural(_STRUCT_WORDS)} SELECT term_a, term_b, n_shared, confidence FROM st",
+        "bridge_discover_structural": KB.rstrip() + f",\n{_DOMAINS},\n{_structural(V.STRUCTURAL_WORDS)} SELECT * FROM st",
+        "bridge_structural_words": KB.rstrip() + f",\n{_DOMAINS},\n{_structural(STRUCTURAL_WORDS)} SELECT * FROM st",
+        "bridge_structural_members": KB.rstrip() + f",\n{_DOMAINS},\n{_structural(STRUCTURAL_WORDS)} SELECT subject, array_to_string(domains, ',') AS domains, array_to_string(ws, ',') AS words FROM sw",
+        "bridge_shared_members": _SHARED + "SELECT predicate, object, domain, subject FROM d",
+        "bridge_stated_by": KB + f"SELECT DISTINCT subject AS term_a, object AS term_b, predicate, 'inspirational' AS bridge_type, 0.7::DOUBLE AS confidence FROM kb WHERE truth_value = 'T' AND predicate IN {_in(STATED_BY)}",
         "bridge_potential": _SHARED.rstrip() + f""",
 {_structural(V.STRUCTURAL_WORDS)},
 al AS (SELECT term_a, term_b, 1 AS strategy, bridge_type, confidence FROM sm UNION ALL SELECT subject, object, 2, 'inspirational', 0.7::DOUBLE FROM kb WHERE truth_value = 'T' AND predicate IN {_in(V.BRIDGE_PREDICATES)} UNION ALL SELECT term_a, term_b, 3, 'structural', confidence FROM st),
 {best} SELECT * FROM bs""",
-        "bridge_relevant": KB + f"""SELECT DISTINCT id FROM (SELECT id, unnest(list_append(string_split(s, '_'), s)) AS w FROM (SELECT id, unnest([replace(lower(term_a), ' ', '_'), replace(lower(term_b), ' ', '_')]) AS s FROM bridges))
-WHERE w IN (SELECT unnest(list_append(string_split(subject, '_'), subject)) FROM kb WHERE {S}) AND length(w) > 3""",
-        "bridge_pairs": _CROSS.rstrip() + f""",
+        "bridge_relevant": KB.rstrip() + f""", w AS (SELECT DISTINCT t FROM (SELECT unnest([subject, object]) AS t FROM kb) WHERE {ATOM.format("t")}),
+s AS (SELECT id, unnest([replace(lower(term_a), ' ', '_'), replace(lower(term_b), ' ', '_')]) AS side FROM bridges),
+h AS (SELECT DISTINCT side FROM (SELECT DISTINCT side FROM s WHERE side <> '') JOIN w ON contains(t, side) OR contains(side, t))
+SELECT DISTINCT id FROM s JOIN h USING (side)""",
+        "bridge_pairs": _CROSS.rstrip().replace("LIMIT 50", f"LIMIT {PAIRS}") + f""",
 {_DOMAINS.replace("terms AS (SELECT DISTINCT unnest([subject, object]) AS term FROM kb)", "terms AS (SELECT DISTINCT unnest(string_split(subject, ',')) AS term FROM r)")},
 q AS (SELECT DISTINCT subject, string_split(subject, ',')[1] AS term_a, string_split(subject, ',')[2] AS term_b FROM r)
 SELECT subject, term_a, term_b FROM q JOIN dom x ON term_a = x.term JOIN dom y ON term_b = y.term WHERE len(x.domains) > 0 AND len(y.domains) > 0 AND x.domains <> y.domains""",
@@ -334,9 +398,25 @@ u AS (SELECT c, coalesce(list(p ORDER BY d, p) FILTER (c <> p), []) AS up, coale
 b AS (SELECT p, count(*) AS k FROM dp WHERE c <> p GROUP BY p)
 SELECT c AS node, coalesce(ring, up[-1], c) AS root, depth, array_to_string(list_prepend(c, up), '→') AS path, coalesce(k, 0) AS descendants,
 CASE WHEN on_ring THEN 'ring' WHEN ring IS NOT NULL THEN 'to_ring' ELSE 'tree' END AS kind FROM u LEFT JOIN b ON u.c = b.p""",
-        "question_terms": rf"""WITH q AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+')) AS w FROM documents),
-t AS (SELECT doc_id, replace(replace(lower(w), '?', ''), '''s', '') AS term FROM q WHERE length(w) > 2 AND replace(lower(w), '?', '') NOT IN {_in(V.STOP_WORDS)})
-SELECT doc_id, count(*) AS n_terms, min(term) AS first_term, max(term) AS last_term FROM t GROUP BY doc_id""",
+        "question_terms": rf"""WITH q AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda w: length(w) > 2 AND replace(lower(w), '?', '') NOT IN {_in(V.STOP_WORDS)}) AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM q)
+SELECT doc_id, (i - 1)::INTEGER AS pos, replace(replace(lower(ws[i]), '?', ''), '''s', '') AS term FROM i""",
+        "reply_sections": r"""WITH s AS (SELECT doc_id, string_split_regex(text, '(?i)(?:^|\n)[ *#]*(?:REASONING|FACTS|CONFUSED)\s*:[ *]*') AS parts,
+ list_transform(regexp_extract_all(text, '(?i)(?:^|\n)[ *#]*(REASONING|FACTS|CONFUSED)\s*:[ *]*', 1), lambda x: upper(x)) AS names FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, coalesce(trim(parts[list_position(names, 'FACTS') + 1], ' ' || chr(10) || chr(9)), '') AS facts, coalesce(trim(parts[list_position(names, 'CONFUSED') + 1], ' ' || chr(10) || chr(9)), '') AS confused,
+coalesce(trim(parts[list_position(names, 'REASONING') + 1], ' ' || chr(10) || chr(9)), '') AS reasoning FROM s""",
+        "chunk_text": f"WITH RECURSIVE {_chunks('documents', 'doc_id', 'text', 600, 80)} SELECT doc_id AS id, unnest(range(len(chunks)))::INTEGER AS chunk_no, unnest(chunks) AS chunk FROM ch",
+        "wiki_extracts": rf"""WITH RECURSIVE x AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)(<doc\s[^>]*>.*?</doc>)', 1) AS ds FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, regexp_extract(dd, 'title="([^"]*)"', 1) AS title, trim(regexp_extract(dd, '(?s)<doc\s[^>]*>(.*?)</doc>', 1), ' ' || chr(10) || chr(9)) AS body FROM (SELECT doc_id, unnest(ds) AS dd FROM x)
+      UNION ALL SELECT doc_id, '', trim(text, ' ' || chr(10) || chr(9)) FROM x WHERE len(ds) = 0),
+b AS (SELECT *, row_number() OVER () AS rn FROM a WHERE length(body) >= 100),
+{_chunks('b', 'doc_id, title, rn', 'body', 1500, 200)} SELECT doc_id AS id, title, unnest(range(len(chunks)))::INTEGER AS chunk_no, unnest(chunks) AS chunk FROM ch""",
+        "wiki_sections": rf"""WITH RECURSIVE x AS (SELECT doc_id, string_split_regex(text, '\n={{2,}}\s*\n|\n{{3,}}') AS ss FROM documents WHERE text IS NOT NULL),
+y AS (SELECT doc_id, unnest(range(len(ss)))::INTEGER AS section, trim(unnest(ss), ' ' || chr(10) || chr(9) || chr(13)) AS body FROM x),
+b AS (SELECT * FROM y WHERE length(body) >= 100),
+{_chunks('b', 'doc_id, section', 'body', 1500, 200)} SELECT doc_id AS id, section, unnest(range(len(chunks)))::INTEGER AS chunk_no, unnest(chunks) AS chunk FROM ch""",
+        "textbook_read": f"""WITH RECURSIVE b AS (SELECT doc_id // 50 AS part, string_agg(text, chr(10) || chr(10) ORDER BY doc_id, text) AS body FROM documents WHERE text IS NOT NULL GROUP BY doc_id // 50),
+{_chunks('b', 'part', 'body', 1500, 200)} SELECT chunk, count(*) AS n FROM (SELECT unnest(chunks) AS chunk FROM ch) WHERE length(chunk) >= 50 GROUP BY chunk""",
         "reply_verdicts": r"""WITH d AS (SELECT doc_id, upper(regexp_extract(text, '(?i)VERDICT\s*:[\s*_`]*([TFM])', 1)) AS v, trim(regexp_extract(text, '(?i)REASON\s*:[ *_`]*([^\n]*)', 1)) AS reason FROM documents WHERE text LIKE '%VERDICT%')
 SELECT doc_id, CASE WHEN v = '' THEN 'M' ELSE v END AS verdict, reason FROM d""",
         "reply_triples": f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
@@ -354,6 +434,50 @@ SELECT subject, context, predicate, object, CASE WHEN link IN {_in([*V.TRANSPARE
 FROM c ORDER BY a_id, b_context, b_id, subject, context, predicate, object LIMIT 50""",
         "pulse_cross_variant": _CROSS.replace("count(*) <= 0.5 * (SELECT n FROM tot)", "count(*) <= 8").replace(f"predicate NOT IN {_in(V.CROSS_SKIP)}", "predicate <> 'profile_size'") + "SELECT subject, context, predicate, object, 'T' AS truth_value, CASE WHEN ok THEN 'bridge-validated' ELSE 'shared' END AS evidence FROM r",
         "profile_pairs_variant": _PROFILES + "SELECT context, array_to_string(p1, ',') AS p1, array_to_string(p2, ',') AS p2, round(sim, 6) AS sim FROM sm WHERE sim >= 0.3 AND len(p1) >= 3 AND len(p2) >= 3 AND len(list_intersect(p1, p2)) >= 2",
+        "all_true": KB + "SELECT id, subject, context, predicate, object FROM kb WHERE truth_value = 'T'",
+        "next_generation": KB + "SELECT (coalesce(max(generation), 0) + 1)::INTEGER AS generation FROM kb",
+        "concept_lookup": "SELECT context, text AS definition FROM documents WHERE subject = 'groundwater_basin' AND context IS NOT NULL AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY context ORDER BY doc_id DESC) = 1",
+        "kb_report_parts": _TAX + f""", src AS (SELECT source AS key, count(*) AS n FROM kb GROUP BY source ORDER BY n DESC, source LIMIT 10),
+st AS (SELECT * FROM kb WHERE truth_value = 'T' AND {S} AND {O}), m(term, synonym) AS (VALUES {_MANUAL}),
+sy AS (SELECT object, subject FROM st WHERE predicate IN ('is_a', 'subclass_of') UNION SELECT subject, object FROM st WHERE predicate IN ('has_part', 'has_component', 'contains') UNION SELECT term, synonym FROM m),
+ct AS (SELECT DISTINCT x FROM (SELECT unnest([subject, object]) AS x FROM kb WHERE truth_value = 'T') WHERE {ATOM.format("x")}),
+kw(domain, k) AS (VALUES {_values(_CLUSTER_PAIRS)}), tt AS (SELECT * FROM kb WHERE truth_value = 'T'),
+dc AS (SELECT id, context FROM tt WHERE context NOT IN ('', 'general', 'cross_domain')
+ UNION ALL SELECT DISTINCT id, domain FROM (SELECT * FROM tt WHERE context IN ('', 'general', 'cross_domain')) JOIN kw ON contains('_' || subject || '_', '_' || k || '_') OR contains('_' || object || '_', '_' || k || '_'))
+SELECT 'source' AS part, key, n FROM src UNION ALL SELECT 'table', 'hierarchy', count(*) FROM h UNION ALL SELECT 'table', 'centrality', count(*) FROM ct UNION ALL SELECT 'table', 'synonyms', count(*) FROM sy
+UNION ALL SELECT 'table', 'domains', count(*) FROM dc UNION ALL SELECT 'table', 'predicates', {len(_LOOKUP)}""",
+        "compatible_pairs": _DKB + "SELECT id, len(sd) = 0 OR len(od) = 0 OR score >= 0.7 AS compatible, score > 0 AS analogous FROM f JOIN sc USING (id)",
+        "clean_facts": _DKB.rstrip() + f",\n{_NONSENSE} SELECT id, subject, context, predicate, object FROM f JOIN ns USING (id) WHERE reason = 'ok'",
+        "rule_learned": KB.rstrip() + f""", s AS (SELECT context AS l, predicate AS i, CASE WHEN count(*) >= 5 AND count(*) FILTER (truth_value = 'F') / count(*)::DOUBLE >= 0.75 THEN 'block' WHEN count(*) >= 5 AND count(*) FILTER (truth_value = 'T') / count(*)::DOUBLE >= 0.75 THEN 'allow' END AS what
+ FROM kb WHERE truth_value IN ('T', 'F') GROUP BY context, predicate),
+bi AS (SELECT DISTINCT i FROM s WHERE what = 'block'), bl AS (SELECT DISTINCT l FROM s WHERE what = 'block'), ai AS (SELECT DISTINCT i FROM s WHERE what = 'allow'), ap AS (SELECT l || '|' || i AS pair FROM s WHERE what = 'allow'),
+g(link) AS (VALUES {_values([(x,) for x in GATE_LINKS])}), p AS (SELECT DISTINCT predicate AS inherited FROM kb),
+v AS (SELECT link, inherited, link IN {_in([*V.OPAQUE_LINKS, *V.SEMI_TRANSPARENT_LINKS])} OR link IN (SELECT l FROM bl) AS closed, inherited IN {_in(V.INTRINSIC)} OR inherited IN (SELECT i FROM bi) AS intrinsic, inherited IN {_in(V.RELATIONAL)} OR inherited IN (SELECT i FROM ai) AS relational FROM g, p)
+SELECT link, inherited, CASE WHEN link || '|' || inherited IN (SELECT pair FROM ap) THEN 'allow:override' WHEN link IN {_in(V.TRANSPARENT_LINKS)} THEN 'allow:transparent' WHEN link IN {_in(V.SEMI_TRANSPARENT_LINKS)} AND inherited IN {_in(V.IDENTITY)} THEN 'allow:identity'
+ WHEN closed AND intrinsic THEN 'block:intrinsic' WHEN closed AND relational THEN 'allow:relational' WHEN link = 'profile_size' OR inherited = 'profile_size' THEN 'block:profile_size' WHEN closed THEN 'allow:unverified' ELSE 'allow:default' END AS verdict FROM v""",
+        "path_bounded": _paths("tizepebo", "kekegete", False),
+        "path_outgoing": _paths("tizepebo", "futadala", True),
+        "question_answer": _answer(["tizepebo", "relate", "futadala"]),
+        "p5_cascade": """WITH n1 AS (SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name <> 'ASIA')),
+c2 AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n1)), s2 AS (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM n1)),
+o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS m, CASE WHEN c_acctbal < 0 THEN 1 WHEN o_custkey IN (SELECT c_custkey FROM c2) THEN 3 END AS level FROM orders JOIN customer ON o_custkey = c_custkey),
+l AS (SELECT strftime(l_shipdate, '%Y-%m') AS m, s_acctbal < 0 AS gone, l_suppkey IN (SELECT s_suppkey FROM s2) AS far, level FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN o ON l_orderkey = o_orderkey),
+a AS (SELECT 'nation' AS table_name, 'region' AS via, 'unknown' AS ref_month, 'missing' AS reason, 1 AS level FROM n1
+ UNION ALL SELECT 'customer', 'nation', 'unknown', 'inherited', 2 FROM c2 UNION ALL SELECT 'supplier', 'nation', 'unknown', 'inherited', 2 FROM s2
+ UNION ALL SELECT 'orders', 'customer', m, CASE WHEN level = 1 THEN 'deleted' ELSE 'inherited' END, level FROM o WHERE level IS NOT NULL
+ UNION ALL SELECT 'lineitem', 'supplier', m, 'deleted', 1 FROM l WHERE gone
+ UNION ALL SELECT 'lineitem', 'orders', m, 'inherited', 2 FROM l WHERE NOT gone AND level = 1
+ UNION ALL SELECT 'lineitem', 'supplier', m, 'inherited', 3 FROM l WHERE NOT gone AND level IS DISTINCT FROM 1 AND far
+ UNION ALL SELECT 'lineitem', 'orders', m, 'inherited', 4 FROM l WHERE NOT gone AND level IS NOT DISTINCT FROM 3 AND NOT far)
+SELECT table_name, via, ref_month, reason, level, count(*) AS n FROM a GROUP BY ALL""",
+        "seed_read": f"""SELECT * FROM (SELECT {norm_sql("subject")} AS subject, coalesce(context, 'general') AS context, {norm_sql("predicate")} AS predicate, {norm_sql("object")} AS object, coalesce(truth_value, 'T') AS truth_value, coalesce(source, 'seed') AS source, coalesce(generation, 0) AS generation FROM entries)
+WHERE subject <> '' AND predicate <> '' AND object <> ''""",
+        "conceptnet_read": f"""WITH nm(name, relation) AS (VALUES {_values(sorted((v, k) for k, v in V.CONCEPTNET_RELATIONS.items()))}),
+kb AS (SELECT {norm_sql(norm_sql("subject"))} AS subject, name AS predicate, {norm_sql(norm_sql("object"))} AS object FROM entries JOIN nm ON lower(predicate) = name WHERE generation >= 1 AND {norm_sql("subject")} <> '' AND {norm_sql("object")} <> ''),
+{_DOMAINS} SELECT subject, {_CONTEXT} AS context, predicate, object FROM kb JOIN dom ON subject = term""",
+        "wikidata_read": f"""WITH nm(name, property) AS (VALUES {_values(sorted((v, k) for k, v in V.WIKIDATA_PROPERTIES.items()))}),
+kb AS (SELECT {norm_sql("subject")} AS subject, name AS predicate, {norm_sql("object")} AS object FROM entries JOIN nm ON lower(predicate) = name WHERE {norm_sql("subject")} <> '' AND {norm_sql("object")} <> ''),
+{_DOMAINS} SELECT subject, {_CONTEXT} AS context, predicate, object FROM kb JOIN dom ON subject = term""",
         "queue_order": _TASKS,
         "queue_next": f"SELECT * FROM ({_TASKS}) ORDER BY priority DESC, id LIMIT 20",
     }

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.parsing import pipe_triples, sections, verdict
@@ -30,8 +30,8 @@ PROMPTS = {
     "facts": "List what you know about the topic, one 'subject | predicate | object | T' a line.\n{0}",
     "question": "Answer in three parts headed REASONING:, FACTS: and CONFUSED:, facts one 'subject | predicate | object' a line.\n{0}",
     "decompose": "Turn the text into lines 'subject | predicate | object'.\n{0}",
-    "terms": "Name the subjects and keywords of the question, separated by commas.\n{0}",
-    "answer": "Answer the question from the facts below only.\n{0}",
+    "terms": "Give a JSON object with the fields 'subjects' and 'keywords' (lists of terms) for the question.\n{0}",
+    "answer": "Answer the question from the facts below only, with their numbers in brackets.\n{0}",
 }
 
 
@@ -66,6 +66,24 @@ def outcomes(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def extract_facts(texts: DataFrame, id_col: str, text_col: str, kind: str = "decompose", model: LanguageModel | None = None) -> DataFrame:
     """(id, line_no, subject, predicate, object, truth_value) from the model's replies for topics, questions or texts."""
-    r = replies(texts, id_col, text_col, kind, model)
+    return facts_of(replies(texts, id_col, text_col, kind, model))
+
+
+def facts_of(replies: DataFrame) -> DataFrame:
+    """(id, line_no, subject, predicate, object, truth_value) of replies (id, reply): the part headed FACTS, or all of it."""
     body = F.when(F.contains("reply", F.lit("FACTS:")), sections(F.col("reply"))["facts"]).otherwise(F.col("reply"))
-    return pipe_triples(r.withColumn("reply", body), "id", "reply")
+    return pipe_triples(replies.withColumn("reply", body), "id", "reply")
+
+
+def confusions_of(replies: DataFrame) -> DataFrame:
+    """(id, subject, confused_with, reason) of the lines 'a | b | reason' in the part headed CONFUSED."""
+    lines = replies.select("id", F.posexplode(F.split(sections(F.col("reply"))["confused"], "\n")).alias("no", "line"))
+    parts = lines.select("id", "no", F.transform(F.split(F.ltrim("line", F.lit("-•* ")), r"\|"), lambda x: F.trim(x)).alias("p")).filter((F.size("p") >= 2) & (F.length(F.get("p", F.lit(0))) > 0) & (F.length(F.get("p", F.lit(1))) > 0))
+    return parts.select((F.col("id") * 1_000 + F.col("no")).alias("id"), F.get("p", F.lit(0)).alias("subject"), F.get("p", F.lit(1)).alias("confused_with"), F.coalesce(F.get("p", F.lit(2)), F.lit("")).alias("reason"))
+
+
+def question_parse(c: Column) -> Column:
+    """struct(subjects, keywords) of a reply to PROMPTS['terms']: a JSON object, with or without a code fence; null where
+    it is none."""
+    body = F.trim(F.regexp_replace(c, "```(?:json?)?", ""), F.lit(" \n\t\r"))
+    return F.from_json(body, "subjects array<string>, keywords array<string>")

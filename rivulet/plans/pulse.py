@@ -17,8 +17,8 @@ from pyspark.sql import Window as W
 from rivulet import vocabulary as V
 from rivulet.functions.text import TERM_CHARS, is_atomic
 from rivulet.operators.gates import Rules
-from rivulet.plans.store import QUAD, next_generation, number, verify_offline
-from rivulet.tables import Work, union_all
+from rivulet.plans.store import QUAD, number, verify_offline
+from rivulet.tables import Work, hot_of, skew_join, union_all
 
 CAP = 50
 #: The first block of ordered input that a capped rule expands, and how much the next ones grow.
@@ -88,10 +88,11 @@ def profile_sizes(store: DataFrame, least: int = 3) -> DataFrame:
 
 def chains(left: DataFrame, right: DataFrame, s: Settings) -> DataFrame:
     """All chains of two facts whose contexts agree, with the gate's verdict."""
-    a = left.select(*[F.col(c).alias(f"a_{c}") for c in ["id", *QUAD]])
-    b = right.select(*[F.col(c).alias(f"b_{c}") for c in ["id", *QUAD]])
+    a = left.select(*[F.col(c).alias(f"a_{c}") for c in ["id", *QUAD]], F.col("object").alias("mid"))
+    b = right.select(*[F.col(c).alias(f"b_{c}") for c in ["id", *QUAD]], F.col("subject").alias("mid"))
     agree = F.lit(True) if s.ignore_context else (F.col("a_context") == F.col("b_context")) | (F.col("a_context") == "general") | (F.col("b_context") == "general")
-    j = a.join(b, (F.col("a_object") == F.col("b_subject")) & agree & (F.col("a_subject") != F.col("b_object")))
+    # a subject may hold a large share of the facts: its rows are spread, the few chains that lead to it are repeated
+    j = skew_join(b, a, "mid", hot_of(b, "mid"), "inner", "b_id").filter(agree & (F.col("a_subject") != F.col("b_object"))).drop("mid")
     return j.withColumn("verdict", s.rules.verdict(F.col("a_predicate"), F.col("b_predicate")))
 
 
@@ -269,42 +270,96 @@ def analogy(store: DataFrame, s: Settings) -> DataFrame:
     return out.select(*QUAD, F.lit("T").alias("truth_value"), F.lit(False).alias("needs_verification"), F.lit("idea:analogy").alias("source"), "evidence", F.lit(0).cast("bigint").alias("rank"))
 
 
-def _insert(store: DataFrame, found: DataFrame, generation: int) -> DataFrame:
-    top = store.agg(F.max("id")).first()[0] or 0
-    rows = number(found, ["rank", *QUAD], top + 1)
-    none = F.array().cast("array<string>")
+def _rows(found: DataFrame, columns: list[str], generation: int, top: int, cap: int | None) -> DataFrame:
+    """Found facts as rows of the store, numbered from ``top`` + 1 in the order in which they fired."""
+    order = ["rank", *QUAD]
+    if cap is None:
+        rows = number(found, order, top + 1)
+    else:  # at most ``cap`` rows
+        rows = found.withColumn("id", (F.row_number().over(W.orderBy(*order)) + top).cast("bigint"))
     values = {
-        "quantifier": F.lit("universal"), "evidence_for": F.array("evidence"), "evidence_against": none, "generation": F.lit(generation),
+        "quantifier": F.lit("universal"), "evidence_for": F.array("evidence"), "evidence_against": F.array().cast("array<string>"), "generation": F.lit(generation),
         "grade_level": F.lit(0), "verified": F.lit(False),
     }
-    return store.unionByName(rows.withColumns(values).select(*store.columns))
+    return rows.withColumns(values).select(*columns)
+
+
+def _insert(store: DataFrame, found: DataFrame, generation: int) -> DataFrame:
+    top = store.agg(F.max("id")).first()[0] or 0
+    return store.unionByName(_rows(found, store.columns, generation, top, None))
+
+
+#: Small tables that a growing store may consist of before it is written as one.
+MOST_PARTS = 48
+#: Changed facts that are left out of older parts by id before the store is written as one.
+MOST_CHANGED = 1_000
+
+
+class Growing:
+    """A store that grows by few facts at a time: a large table that is never rewritten for them, small tables of new and
+    changed facts, and the ids that these replace."""
+
+    def __init__(self, store: DataFrame):
+        self.work = Work(store.sparkSession, "growing")
+        self.parts: list[tuple[DataFrame, list[int]]] = [(store, [])]
+        most = store.agg(F.max("id"), F.max("generation")).first()
+        self.top, self.generation = most[0] or 0, most[1] or 0
+        self.columns = store.columns
+
+    def view(self) -> DataFrame:
+        """All facts as they stand."""
+        if len(self.parts) > MOST_PARTS or sum(len(gone) for _, gone in self.parts) > MOST_CHANGED:
+            self.parts = [(self.work.put(self._union()), [])]
+        return self._union()
+
+    def _union(self) -> DataFrame:
+        return union_all([part.filter(~F.col("id").isin(gone)) if gone else part for part, gone in self.parts])
+
+    def add(self, found: DataFrame, generation: int, cap: int | None) -> int:
+        """New facts of a rule; how many."""
+        rows = self.work.put(_rows(found, self.columns, generation, self.top, cap))
+        n = rows.count()
+        if n:
+            self.parts.append((rows, []))
+            self.top += n
+            self.generation = generation
+        return n
+
+    def change(self, rows: DataFrame) -> None:
+        """Few facts (whole rows) that replace those of the same ids."""
+        rows = self.work.put(rows.select(*self.columns))
+        ids = [r["id"] for r in rows.select("id").collect()]  # a batch of verdicts
+        if ids:
+            self.parts = [(part, gone + ids) for part, gone in self.parts] + [(rows, [])]
+
+
+def _pulse(store: Growing, bridges: DataFrame, s: Settings) -> int:
+    generation, new = store.generation + 1, 0
+    for rule in (merge, transitive, lambda st, x: cross_domain(st, bridges, x).drop("s1", "s2"), analogy):
+        new += store.add(rule(store.view(), s), generation, s.cap)
+    return new
 
 
 def pulse(store: DataFrame, bridges: DataFrame, s: Settings | None = None) -> tuple[DataFrame, int]:
     """One pulse: the four rules in order, later ones see the true facts of earlier ones.  (store, new facts)."""
-    s = s or Settings()
-    work = Work(store.sparkSession, "pulse")
-    generation = next_generation(store)
-    before = store.count()
-    for rule in (merge, transitive, lambda st, x: cross_domain(st, bridges, x).drop("s1", "s2"), analogy):
-        store = work.put(_insert(store, rule(store, s), generation))
-    return store, store.count() - before
+    growing = Growing(store)
+    new = _pulse(growing, bridges, s or Settings())
+    return growing.view(), new
 
 
 def run(store: DataFrame, bridges: DataFrame, cycles: int = 5, batch_size: int = 10, s: Settings | None = None, safe: list[str] = V.SAFE_PRODUCTION) -> DataFrame:
     """Pulses and offline verification until a pulse finds nothing and nothing is left open, or ``cycles`` are over."""
-    work = Work(store.sparkSession, "run")
+    growing = Growing(store)
     for _ in range(cycles):
-        store, new = pulse(store, bridges, s)
-        judged = verify_offline(store, batch_size, safe).select("id", F.col("truth_value").alias("_t"), F.col("verified").alias("_v"))
-        j = store.join(judged, "id", "left")
-        hit = F.col("_t").isNotNull()
-        add = F.when(hit & F.col("_v") & (F.col("truth_value") != F.col("_t")), F.array_append("evidence_for", F.lit("auto: safe chain"))).otherwise(F.col("evidence_for"))
-        j = j.withColumns({"evidence_for": add, "truth_value": F.coalesce("_t", "truth_value"), "verified": F.coalesce("_v", "verified"), "needs_verification": F.col("needs_verification") & ~hit})
-        store = work.put(j.select(*store.columns))
-        if new == 0 and not store.filter("truth_value = 'M'").count():
+        new = _pulse(growing, bridges, s or Settings())
+        facts = growing.view()
+        judged = verify_offline(facts, batch_size, safe).select("id", F.col("truth_value").alias("_t"), F.col("verified").alias("_v"))
+        j = facts.join(judged, "id")
+        add = F.when(F.col("_v") & (F.col("truth_value") != F.col("_t")), F.array_append("evidence_for", F.lit("auto: safe chain"))).otherwise(F.col("evidence_for"))
+        growing.change(j.withColumns({"evidence_for": add, "truth_value": F.col("_t"), "verified": F.col("_v"), "needs_verification": F.lit(False)}))
+        if new == 0 and growing.view().filter("truth_value = 'M'").isEmpty():
             break
-    return store
+    return growing.view()
 
 
-__all__ = ["CAP", "Settings", "analogy", "blocked_chains", "chains", "cross_domain", "emergent_bridges", "merge", "profiles", "pulse", "run", "similar_profiles", "transitive", "union_all"]
+__all__ = ["CAP", "Growing", "Settings", "analogy", "blocked_chains", "chains", "cross_domain", "emergent_bridges", "merge", "profiles", "pulse", "run", "similar_profiles", "transitive", "union_all"]

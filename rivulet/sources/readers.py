@@ -135,9 +135,10 @@ def extract_chunks(texts: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return a.select("id", "title", F.posexplode(F.slice(chunks, 1, most) if most is not None else chunks).alias("chunk_no", "chunk"))
 
 
-def section_chunks(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = 3) -> DataFrame:
-    """(id, section, chunk_no, chunk) of a file cut at '==' rules or three and more line ends; ``most`` chunks a section
-    (the reader's own limit; None lifts it)."""
+def section_chunks(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = 3, least: int = 100) -> DataFrame:
+    """(id, section, chunk_no, chunk) of a file cut at '==' rules or three and more line ends: sections of ``least``
+    characters or more, blanks aside; ``most`` chunks a section (the reader's own limits; None and 0 lift them)."""
     s = texts.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), r"\n={2,}\s*\n|\n{3,}")).alias("section", "body"))
+    s = s.withColumn("body", F.trim("body", F.lit(" \n\t\r"))).filter(F.length("body") >= least)
     chunks = chunk_text(F.col("body"))
     return s.select("id", "section", F.posexplode(F.slice(chunks, 1, most) if most is not None else chunks).alias("chunk_no", "chunk"))

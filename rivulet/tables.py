@@ -77,12 +77,16 @@ class Work:
         self.root = f"{shared_dir(spark)}/rivulet-{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def path(self) -> str:
+        """A place for the next table or set of files."""
         if not self.count:
             _delete_at_end(self.spark, self.root)
             _FOLDERS.setdefault(self.spark.sparkContext.applicationId, []).append(self.root)
         self.count += 1
-        path = f"{self.root}/{self.count}"
+        return f"{self.root}/{self.count}"
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = self.path()
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._rivulet_path = path
@@ -114,6 +118,12 @@ def hot_keys(counted: DataFrame, key: str, n: str, total: int) -> list:
     return [r[0] for r in counted.filter(F.col(n) > least).select(key).collect()]
 
 
+def hot_of(df: DataFrame, key: str) -> list:
+    """The keys of ``df`` that are hot, at most HOT_PARTS of them: the most frequent ones of more than HOT_LEAST rows."""
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > HOT_LEAST) & F.col(key).isNotNull())
+    return [r[0] for r in counted.orderBy(F.desc("n")).limit(HOT_PARTS).collect()]
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner", spread: str | None = None) -> DataFrame:
     """Equi-join on ``key`` where left rows of a few keys may be a large share.
 

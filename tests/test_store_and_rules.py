@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,9 +201,9 @@ def test_relevant_bridges_by_objects_and_short_terms(spark, tmp_path):
     quads = [("ice", "g", "p", "sea"), ("water", "g", "p", "salt_marsh")]
     rows = [(i, *q, None, "T", None, None, None, 0, 0, False, False) for i, q in enumerate(quads, 1)]
     spark.createDataFrame(rows, ENTRY).write.parquet(f"{tmp_path}/entries.parquet")
-    b = [(1, "ICE", "x"), (2, "x", "sea"), (3, "marsh", None), (4, "ice_age", "y"), (5, "hot water", "y"), (6, "z", None)]
+    b = [(1, "ICE", "q"), (2, "q", "sea"), (3, "marsh", None), (4, "ice_age", "y"), (5, "hot waterfall", "y"), (6, "z", None), (7, "alt", ""), (8, "", None), (9, "y" * 300 + "ice", None), (10, "seaa", "z"), (11, "mars_h", "z")]
     spark.createDataFrame(b, "id long, term_a string, term_b string").write.parquet(f"{tmp_path}/bridges.parquet")
-    assert sorted(r["id"] for r in catalog.bridge_relevant(spark, str(tmp_path)).collect()) == [1, 2, 3, 5]
+    assert sorted(r["id"] for r in catalog.bridge_relevant(spark, str(tmp_path)).collect()) == [1, 2, 3, 4, 5, 7, 9, 10]
 
 
 def test_bridges(spark):
@@ -223,7 +225,7 @@ class Echo:
     """A model for tests: knows one fact and judges everything false."""
 
     def ask(self, prompt):
-        return "VERDICT: F\nREASON: no" if prompt.startswith("Is this") else "FACTS:\n- rain | causes | flood\nCONFUSED:\nnone"
+        return "VERDICT: F\nREASON: no" if prompt.startswith("Is this") else "FACTS:\n- rain | causes | flood\nCONFUSED:\n- tide | wave | both move\nnone"
 
 
 def test_curriculum_and_model(spark):
@@ -232,12 +234,15 @@ def test_curriculum_and_model(spark):
     s = kb(spark, [("dog", "biology", "is_a", "mammal"), ("mammal", "biology", "is_a", "animal")])
     none = spark.createDataFrame([], "id long, term_a string, term_b string")
     grades = [curriculum.Grade(1, "first", ["rain"], ["why?"])]
-    done, report = curriculum.run(s, none, grades, pulses=1, after=1, model=Echo())
+    done, report, confusions = curriculum.run(s, none, grades, pulses=1, after=1, model=Echo())
     got = {(r["subject"], r["object"]): r["truth_value"] for r in done.collect()}
     assert got["rain", "flood"] == "T" and got["dog", "animal"] == "F" and report.first()["grade"] == 1
+    rain = done.filter("subject = 'rain'").first()
+    assert (rain["source"], rain["evidence_for"], rain["grade_level"]) == ("curriculum:grade_1", ["curriculum: first, topic: rain"], 1)
+    assert [tuple(r)[1:] for r in confusions.collect()] == [("tide", "wave", "both move", 1)]
     v = language_model.verify(done.filter("source = 'idea:transitive'"), Echo())
     assert [(r["link"], r["inherited"], r["approved"]) for r in language_model.outcomes(done, v).collect()] == [("is_a", "is_a", False)]
-    offline, _ = curriculum.run(s, none, grades, pulses=1, after=0)
+    offline, _, _ = curriculum.run(s, none, grades, pulses=1, after=0)
     assert {(r["subject"], r["object"]): r["truth_value"] for r in offline.collect()}["dog", "animal"] == "T"
     assert language_model.verify(s).count() == 0
 
@@ -251,6 +256,81 @@ def test_journal(spark):
     assert [tuple(r) for r in journal.ingest_summary(ing).collect()] == [("json", 2, 3, 1)]
 
 
+def test_bridge_columns_and_examples(spark):
+    schema = "id long, term_a string, term_b string, bridge_type string, strength double"
+    old = spark.createDataFrame([], schema)
+    new = spark.createDataFrame([(1, "a", "b", "scale", 0.7, "physics", "why", False, ["one", "two"])], schema + ", domain_a string, reason string, bidirectional boolean, examples array<string>")
+    r = bridges.add_bridges(old, new).first()
+    assert (r["domain_a"], r["domain_b"], r["reason"], r["strength"], r["bidirectional"], r["teaching_note"], r["discovered_by"]) == ("physics", "", "why", 0.7, False, "", "manual")
+    assert collected(bridges.new_examples(bridges.add_bridges(old, new))) == [(1, "one", 0), (1, "two", 1)]
+
+
+def test_read_bridges(spark, tmp_path):
+    (tmp_path / "b.json").write_text('[{"term_a": "wave", "term_b": "rumour", "bridge_type": "metaphorical", "reason": "spreads"}, {"term_a": "x", "term_b": "y", "bridge_type": "odd"}]')
+    read = bridges.read_bridges(spark, str(tmp_path))
+    none = read.filter("false")
+    assert [(r["term_a"], r["reason"], r["strength"]) for r in bridges.add_bridges(none, read).collect()] == [("wave", "spreads", 0.5)]
+
+
+def test_mechanisms_as_classes(spark):
+    """Pairs are counted, not listed: the number of pairs and the first pair of each two domains against all pairs."""
+    r = random.Random(3)
+    names = ["energy_a", "wave_b", "acid_c", "cell_d", "pump_e", "delta_pump", "wave_acid", "spring_f", "x"]
+    quads = [(f"{r.choice(names)}_{r.randrange(4)}", "g", r.choice(["drives", "moves"]), r.choice(["flow", "channel_long"])) for _ in range(80)]
+    s = kb(spark, list(dict.fromkeys(quads)))
+    members = [tuple(x) for x in bridges.mechanism_members(s).select("predicate", "object", "domain", "subject").collect()]
+    pairs: dict = {}
+    for p, o, d1, s1 in members:
+        for q, v, d2, s2 in members:
+            if (p, o) == (q, v) and d1 < d2 and s1 != s2:
+                pairs.setdefault((p, o, d1, d2), []).append((s1, s2))
+    got = {(x["predicate"], x["object"], x["domain_a"], x["domain_b"]): (x["term_a"], x["term_b"], x["n_pairs"]) for x in bridges.shared_mechanisms(s).collect()}
+    assert got == {k: (*min(v), len(v)) for k, v in pairs.items()} and got
+    words = ["flow", "channel", "long"]
+    subjects = {x["subject"]: (tuple(x["domains"]), set(x["words"])) for x in bridges.structural_members(s, words=words).collect()}
+    total = sum(1 for a in subjects for b in subjects if a < b and subjects[a][0] != subjects[b][0] and subjects[a][1] & subjects[b][1])
+    assert sum(x["n_pairs"] for x in bridges.structural_patterns(s, words=words).collect()) == total > 0
+
+
+def test_scoped_insert(spark):
+    s = kb(spark, [("tide", "g", "moves", "sand")])
+    schema = "id long, subject string, context string, predicate string, object string, truth_value string, needs_verification boolean"
+    rows = [(1, "nebula,terrace", "g", "both_has", "metaphor", "T", False), (2, "energy,wave", "g", "both_has", "gravity", "T", False), (3, "tide", "other", "moves", "sand", "T", False), (4, "a", "g", "is", "b", "T", False), (5, "energy,wave", "h", "both_has", "gravity", "T", False), (6, "u,v,w", "g", "both_p", "metaphor", "T", False)]
+    facts = spark.createDataFrame(rows, schema)
+    profile = domains.predicate_profile(s)
+    ok, bad = domains.scoped_insert(s, facts, "cross_domain", profile)
+    assert sorted(r["id"] for r in ok.collect()) == [2, 6] and {r["id"]: r["reason"] for r in bad.collect()} == {1: "cross gate", 4: "term too short"}
+    ok, bad = domains.scoped_insert(s, facts, "cross_domain", profile, skip=True)
+    assert sorted(r["id"] for r in ok.collect()) == [1, 2, 4, 6] and bad.count() == 0
+    ok, bad = domains.scoped_insert(s, facts, None, profile)
+    assert sorted(r["id"] for r in ok.collect()) == [1, 2, 6]
+    learned = spark.createDataFrame([("tide", "astronomy")], "term string, domain string")
+    assert domains.with_domains(s, learned=learned).first()["s_domains"] == ["astronomy"]
+
+
+def test_paths_along_facts_only(spark):
+    s = kb(spark, [("a", "general", "p", "b"), ("c", "general", "q", "b"), ("b", "general", "p", "d")])
+    assert [r["path"] for r in graph.find_path(s, "a", "d", outgoing_only=True).collect()] == ["a --p--> b --p--> d"]
+    assert graph.find_path(s, "a", "c", outgoing_only=True).count() == 0 and graph.find_path(s, "a", "c").count() == 1
+
+
+def test_learned_rules_are_all_applied(spark):
+    rows = [("is_a", f"p{i}", "block") for i in range(300)] + [("odd", "q", "block"), ("uses", "r", "allow"), ("x", "y", "uncertain")]
+    r = gates.apply_rules(gates.Rules(), spark.createDataFrame(rows, "link string, inherited string, suggestion string"), unblock=True)
+    assert {f"p{i}" for i in range(300)} <= set(r.intrinsic) and "odd" in r.opaque and "r" in r.relational and r.allowed == [("uses", "r")] and "y" not in r.intrinsic
+
+
+def test_a_growing_store_equals_one_that_is_rewritten(spark, monkeypatch):
+    quads = [(f"s{i % 7}", "general", p, f"s{(i * 3 + 1) % 7}") for i in range(12) for p in ("is_a", "uses", "has_part")] + [("m1", "g", "has_part", "x"), ("m2", "g", "has_part", "x")]
+    s = kb(spark, list(dict.fromkeys(quads)))
+    b = spark.createDataFrame([], "term_a string, term_b string")
+    columns = ["id", "subject", "context", "predicate", "object", "truth_value", "verified", "needs_verification", "generation", "source"]
+    got = collected(pulse.run(s, b, cycles=3, batch_size=4).select(*columns))
+    monkeypatch.setattr(pulse, "MOST_PARTS", 1)  # a rewrite before every rule
+    assert got == collected(pulse.run(s, b, cycles=3, batch_size=4).select(*columns))
+    assert len({r[0] for r in got}) == len(got) and len({r[1:5] for r in got}) == len(got) and len(got) > s.count()
+
+
 def test_seed_bridges(spark):
     seeds = bridges.seed_bridges(spark)
     assert seeds.count() == 10 and seeds.filter(~F.col("bridge_type").isin(V.BRIDGE_TYPES)).count() == 0
