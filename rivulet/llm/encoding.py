@@ -16,6 +16,7 @@ encodings, and the pairs across are too when a token is shared at each end.
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 from collections.abc import Iterator
 
@@ -64,8 +65,7 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.whole = tiktoken.Encoding("rivulet", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        # one pre-token for any bytes: only for windows inside a run
-        self.run = tiktoken.Encoding("rivulet-run", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+        self.ranks = ranks
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.bytes_of[i] = b
@@ -79,6 +79,33 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return self.whole.encode_ordinary(text)
 
+    def encode_run(self, raw: bytes) -> list[int]:
+        """Ids of bytes taken as one pre-token: the pair of lowest rank is merged first, the leftmost of equal ones."""
+        ranks, n = self.ranks, len(raw)
+        end = list(range(1, n + 1))  # by its first byte, where a part ends; 0 for what was merged into another
+        before = list(range(-1, n - 1))
+        heap = [(ranks[raw[i : i + 2]], i, i + 2) for i in range(n - 1) if raw[i : i + 2] in ranks]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
+                continue  # one of the two has been merged since
+            end[i], end[j] = stop, 0
+            if stop < n:
+                before[stop] = i
+                pair = raw[i : end[stop]]
+                if pair in ranks:
+                    heapq.heappush(heap, (ranks[pair], i, end[stop]))
+            left = before[i]
+            if left >= 0 and raw[left:stop] in ranks:
+                heapq.heappush(heap, (ranks[raw[left:stop]], left, stop))
+        ids, i = [], 0
+        while i < n:
+            ids.append(ranks[raw[i : end[i]]])
+            i = end[i]
+        return ids
+
 
 def split_point(text: str, at: int) -> tuple[int, bool]:
     """The certain cut nearest to ``at`` within REACH, else ``at`` itself inside a run: (place, certain)."""
@@ -137,7 +164,7 @@ def join(encoder: Encoder, left: Piece, right: Piece, certain: bool) -> Piece:
             raw_r = b"".join(encoder.bytes_of[i] for i in head)
             if len(raw_l) >= bytes_l - 1 or len(raw_r) >= bytes_r - 1:
                 break  # the window would leave the run: encode it with the rules of the pre-tokeniser, below
-            window = encoder.run._encode_single_piece(raw_l + raw_r)
+            window = encoder.encode_run(raw_l + raw_r)
             if window[0] == tail[0] and window[-1] == head[-1]:
                 return Piece(text, left.ids[: len(left.ids) - k_l] + window + right.ids[k_r:])
             k *= 2

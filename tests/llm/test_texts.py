@@ -19,6 +19,16 @@ def encoder():
     return Encoder.of(tokenizer_path())
 
 
+def test_runs_of_bytes(encoder):
+    r = random.Random(12)
+    for _ in range(300):
+        text = "".join(r.choice(["a", "ab", "ing", "the", "water", "é", "水", "zq"]) for _ in range(r.randrange(1, 40)))
+        if len(list(encoder.whole.encode_ordinary(text))) and re.fullmatch(r"[a-zé]+", text):
+            assert encoder.encode_run(text.encode()) == encoder.encode(text)
+    assert encoder.encode_run(b"") == [] and encoder.encode_run(b"\xff\xfe") == [encoder.ranks[b"\xff"], encoder.ranks[b"\xfe"]]
+    assert encoder.encode_run(b"a" * 5000) == encoder.encode("a" * 5000)
+
+
 @pytest.mark.parametrize("leaf", [3, 7, 20])
 @pytest.mark.parametrize("reach", [1, 20, 2048])
 def test_tree_concatenation_is_exact(encoder, monkeypatch, leaf, reach):
