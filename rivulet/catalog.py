@@ -177,6 +177,10 @@ def pulse_cross_domain(spark, d):
     return pulse.cross_domain(_stored(spark, d), _standing(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
 
 
+def cross_groups(spark, d):
+    return pulse.shared_properties(_stored(spark, d), pulse.Settings())
+
+
 def pulse_analogy(spark, d):
     return pulse.analogy(_stored(spark, d), pulse.Settings()).select(*QUAD, "truth_value", "evidence")
 
@@ -573,7 +577,7 @@ def fnv1a(spark, d):
 
 _QUERIES = [
     p3_found, p3_depths, p3_hierarchies, p5_found, p5_by_month, p5_cascade, all_true, next_generation, concept_lookup, kb_report_parts,
-    rule_learned, path_outgoing, compatible_pairs, clean_facts, bridge_stated_by, bridge_shared_members, bridge_structural_words, bridge_structural_members,
+    cross_groups, rule_learned, path_outgoing, compatible_pairs, clean_facts, bridge_stated_by, bridge_shared_members, bridge_structural_words, bridge_structural_members,
     seed_read, conceptnet_read, wikidata_read, textbook_read,
     normalize_terms, append_dedup, star_triples, find_exact, search_like, search_multi, about, reverse, unresolved, known_subjects,
     ambiguous_subjects, subject_display, raw_lookup, stats_source, stats_grade_pivot, stats_dashboard, kb_report,

@@ -312,6 +312,7 @@ SELECT subject, context, predicate, object, 'M' AS truth_value, 'transitive[' ||
 FROM c ORDER BY a_id, b_context, b_id, subject, context, predicate, object LIMIT 50""",
         "transitive_blocked": _CHAINS + "SELECT link, predicate AS inherited, verdict, count(*) AS n FROM ch WHERE verdict LIKE 'block%' GROUP BY ALL",
         "pulse_cross_domain": _CROSS + "SELECT subject, context, predicate, object, 'T' AS truth_value, CASE WHEN ok THEN 'bridge-validated' ELSE 'shared' END AS evidence FROM r",
+        "cross_groups": _CROSS + "SELECT predicate, object, n, first, n - 1 AS n_links FROM g",
         "pulse_analogy": _PROFILES + """, both_ AS (SELECT context, p1, p2, sim FROM sm WHERE sim >= 0.6 UNION ALL SELECT context, p2, p1, sim FROM sm WHERE sim >= 0.6 UNION ALL SELECT context, profile, profile, 1.0 FROM cl),
 pq AS (SELECT a.subject, a.context, 'structurally_similar_to' AS predicate, b.subject AS object, sim FROM pr a JOIN both_ ON a.context = both_.context AND a.profile = p1 JOIN pr b ON b.context = both_.context AND b.profile = p2 WHERE a.subject < b.subject)
 SELECT subject, context, predicate, object, 'T' AS truth_value, 'sim=' || cast(round_even(sim * 100, 0) AS INTEGER) || '%' AS evidence FROM pq ANTI JOIN kb USING (subject, context, predicate, object) ORDER BY subject, context, object LIMIT 50""",

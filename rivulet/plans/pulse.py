@@ -146,6 +146,21 @@ def blocked_chains(store: DataFrame, s: Settings) -> DataFrame:
     return every.join(back, ["link", "inherited"], "left").select("link", "inherited", "verdict", (F.col("n") - F.coalesce("m", F.lit(0))).cast("bigint").alias("n")).filter("n > 0")
 
 
+def _sharing(store: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Facts whose property may be shared, and the groups (predicate, object, n, first) of several that are not too general."""
+    everyone = _true(store).filter(is_atomic("subject"))
+    total = everyone.select("subject", "context").distinct().count()
+    t = everyone.filter(is_atomic("object") & ~F.col("predicate").isin(list(s.cross_skip)))
+    most = s.share * total if s.group_max is None else s.group_max
+    return t, t.groupBy("predicate", "object").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter((F.col("n") > 1) & (F.col("n") <= most))
+
+
+def shared_properties(store: DataFrame, s: Settings) -> DataFrame:
+    """(predicate, object, n, first, n_links): all groups of subjects that share a property, with the number of links of
+    each member; the members are the facts themselves."""
+    return _sharing(store, s)[1].withColumn("n_links", F.col("n") - 1)
+
+
 def cross_domain(store: DataFrame, bridges: DataFrame, s: Settings) -> DataFrame:
     """Pairs of subjects that share a predicate and an object, as a compound subject with 'both_' predicate.
 
@@ -153,18 +168,16 @@ def cross_domain(store: DataFrame, bridges: DataFrame, s: Settings) -> DataFrame
     pair linked by a bridge, or by an earlier pair of the same pulse, is
     'bridge-validated'; else the evidence is 'shared' and a bridge emerges.
     """
+    if s.cap is None:
+        raise ValueError("cross_domain needs a cap: the pairs of a group are not listed; use shared_properties")
     work = Work(store.sparkSession, "cross")
-    everyone = _true(store).filter(is_atomic("subject"))
-    total = everyone.select("subject", "context").distinct().count()
-    t = everyone.filter(is_atomic("object") & ~F.col("predicate").isin(list(s.cross_skip)))
+    t, groups = _sharing(store, s)
     key = ["predicate", "object"]
-    groups = work.put(t.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter((F.col("n") > 1) & (F.col("n") <= (s.share * total if s.group_max is None else s.group_max))))
+    groups = work.put(groups)
     n_groups = groups.count()
 
-    def pairs(some: DataFrame, members: int | None) -> DataFrame:
-        m = t.join(some, key)
-        if members is not None:
-            m = m.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy("subject", "context"))).filter(F.col("r") <= members)
+    def pairs(some: DataFrame, members: int) -> DataFrame:
+        m = t.join(some, key).withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy("subject", "context"))).filter(F.col("r") <= members)
         a = m.select(*key, "first", F.col("subject").alias("s1"), F.col("context").alias("c1"))
         b = m.select(*key, F.col("subject").alias("s2"), F.col("context").alias("c2"))
         j = a.join(b, key).filter((F.col("s1") < F.col("s2")) | ((F.col("s1") == F.col("s2")) & (F.col("c1") < F.col("c2"))))
@@ -173,29 +186,26 @@ def cross_domain(store: DataFrame, bridges: DataFrame, s: Settings) -> DataFrame
         return j.select(subject.alias("subject"), ctx.alias("context"), F.concat(F.lit("both_"), "predicate").alias("predicate"), "object", "first", "s1", "c1", "s2", "c2")
 
     order = [F.col("first"), F.col("s1"), F.col("c1"), F.col("s2"), F.col("c2")]
-    if s.cap is None:
-        out = _new(pairs(groups, None), store, order, None)
-    else:
-        take, members = BLOCK // 4, s.cap + 1
-        largest = groups.agg(F.max("n")).first()[0] or 0
-
-        def whole(out: DataFrame) -> bool:
-            """No pair of a member beyond the held ones comes before one of ``out``: the first such pair is that of the
-            first member of the first group that is not held in full."""
-            cut = groups.filter(F.col("n") > members).orderBy("first", *key).limit(1)
-            lead = t.join(cut, key).groupBy("first").agg(F.min(F.struct("subject", "context")).alias("m")).first()
-            if lead is None:
-                return True
-            same = (F.col("s1") == lead["m"]["subject"]) & (F.col("c1") == lead["m"]["context"])
-            return out.filter((F.col("first") > lead["first"]) | ((F.col("first") == lead["first"]) & ~same)).isEmpty()
+    take, members = BLOCK // 4, s.cap + 1
+    largest = groups.agg(F.max("n")).first()[0] or 0
+
+    def whole(out: DataFrame) -> bool:
+        """No pair of a member beyond the held ones comes before one of ``out``: the first such pair is that of the
+        first member of the first group that is not held in full."""
+        cut = groups.filter(F.col("n") > members).orderBy("first", *key).limit(1)
+        lead = t.join(cut, key).groupBy("first").agg(F.min(F.struct("subject", "context")).alias("m")).first()
+        if lead is None:
+            return True
+        same = (F.col("s1") == lead["m"]["subject"]) & (F.col("c1") == lead["m"]["context"])
+        return out.filter((F.col("first") > lead["first"]) | ((F.col("first") == lead["first"]) & ~same)).isEmpty()
 
-        while True:
-            # in order of a group's pairs, its first cap + 1 members fill the cap unless pairs are known already
-            out = work.put(_new(pairs(groups.orderBy("first", *key).limit(take), members), store, order, s.cap))
-            full = out.count() >= s.cap
-            if members >= largest and (full or take >= n_groups) or full and whole(out):
-                break
-            take, members = take if full else take * GROWTH, members * GROWTH
+    while True:
+        # in order of a group's pairs, its first cap + 1 members fill the cap unless pairs are known already
+        out = work.put(_new(pairs(groups.orderBy("first", *key).limit(take), members), store, order, s.cap))
+        full = out.count() >= s.cap
+        if members >= largest and (full or take >= n_groups) or full and whole(out):
+            break
+        take, members = take if full else take * GROWTH, members * GROWTH
     linked = bridges.filter("term_a is not null and term_b is not null").select(F.least("term_a", "term_b").alias("x"), F.greatest("term_a", "term_b").alias("y")).distinct().withColumn("known", F.lit(True))
     out = out.withColumns({"x": F.least("s1", "s2"), "y": F.greatest("s1", "s2")}).join(linked, ["x", "y"], "left")
     nth = F.row_number().over(W.partitionBy("x", "y").orderBy(*order, "subject", "context", "predicate", "object"))
@@ -362,4 +372,4 @@ def run(store: DataFrame, bridges: DataFrame, cycles: int = 5, batch_size: int =
     return growing.view()
 
 
-__all__ = ["CAP", "Growing", "Settings", "analogy", "blocked_chains", "chains", "cross_domain", "emergent_bridges", "merge", "profiles", "pulse", "run", "similar_profiles", "transitive", "union_all"]
+__all__ = ["CAP", "Growing", "Settings", "analogy", "blocked_chains", "chains", "cross_domain", "emergent_bridges", "merge", "profiles", "pulse", "run", "shared_properties", "similar_profiles", "transitive", "union_all"]

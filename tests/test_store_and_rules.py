@@ -164,9 +164,13 @@ def test_later_pulses_of_a_large_group(spark):
     quads = [("a", "g", "p", "x"), ("b", "g", "p", "x")] + [(f"m{i:03}", "g", "has_part", "basin") for i in range(200)] + [("c", "g", "q", "y"), ("d", "g", "q", "y")]
     s = kb(spark, quads)
     none = spark.createDataFrame([], "term_a string, term_b string")
+    with pytest.raises(ValueError, match="cap"):
+        pulse.cross_domain(s, none, pulse.Settings(cap=None))
+    groups = {(r["predicate"], r["object"]): (r["n"], r["n_links"]) for r in pulse.shared_properties(s, pulse.Settings(group_max=1000)).collect()}
+    assert groups == {("p", "x"): (2, 1), ("has_part", "basin"): (200, 199), ("q", "y"): (2, 1)}
     for _ in range(3):
         capped = pulse.cross_domain(s, none, pulse.Settings(group_max=1000))
-        every = pulse.cross_domain(s, none, pulse.Settings(group_max=1000, cap=None))
+        every = pulse.cross_domain(s, none, pulse.Settings(group_max=1000, cap=1_000_000))
         first = sorted((r["rank"], r["s1"], r["s2"], r["subject"]) for r in every.collect())[:50]
         assert sorted((r["rank"], r["s1"], r["s2"], r["subject"]) for r in capped.collect()) == first
         s = Work(spark, "test").put(pulse._insert(s, capped.drop("s1", "s2"), 1))
