@@ -80,8 +80,8 @@ def leaks_model(docs, items):
     return out
 
 
-@pytest.mark.parametrize("sent", [500_000, 5])
-def test_leaks(spark, sent):
+@pytest.mark.parametrize(("sent", "bits"), [(500_000, 64), (5, leakage.BITS), (5, 64)])
+def test_leaks(spark, sent, bits):
     r = random.Random(3)
     vocab = [f"w{i}" for i in range(30)]
     text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
@@ -95,11 +95,41 @@ def test_leaks(spark, sent):
     docs += [(100, docs[-1][1]), (None, docs[-1][1])]
     d = spark.createDataFrame([(*x, 1, "k") for x in docs], "doc_id long, text string, item_id int, hash string")
     i = spark.createDataFrame(items, "item_id long, text string, lang string")
-    got = [tuple(x) for x in leaked_items(d, i, sent=sent).collect()]
+    got = [tuple(x) for x in leaked_items(d, i, sent=sent, bits=bits).collect()]
     assert len(got) == len(set(got)) and set(got) == leaks_model(docs, items)
     assert {(101, 1), (103, 3), (200, 7), (203, 11), (206, 4)} <= set(got) and (201, 7) not in set(got)
 
 
+def test_every_passage_holds_a_minimum():
+    """Whatever the size of an item, each of its pieces holds one of its minima; larger partitions take more functions."""
+    r = np.random.default_rng(5)
+    used = {}
+    for n in (8, 9, 20, 40, 100, 300, 1000):
+        for repeats in (False, True):
+            shingles = leakage._mix(r.integers(1, 40 if repeats else 1 << 60, n).astype(np.uint64))
+            windows = np.arange(n - 7)
+            minima, functions = leakage.sketch(shingles, windows, 8)
+            there = np.isin(shingles, minima)
+            assert all(there[w : w + 8].any() for w in windows)
+            used[n, repeats] = functions
+    assert used[8, False] <= used[40, False] <= used[300, False] < used[1000, False]
+    assert leakage.size_partition(8) == 3 and leakage.size_partition(63) == 5 and leakage.size_partition(5000) == 10
+
+
+def test_long_items_are_several(spark, monkeypatch):
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(4000)]
+    long = " ".join(words)
+    docs = []
+    for k in range(60):
+        at = r.randrange(0, 3988)
+        docs.append((k, "x " + " ".join(words[at : at + 12]) + " y"))
+    docs.append((99, "x " + " ".join(words[100:111]) + " y"))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(1, long, "en")], "item_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in leaked_items(d, i).collect()) == list(range(60))
+
+
 def test_leaks_empty(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     i = spark.createDataFrame([], "item_id long, text string, lang string")
