@@ -325,6 +325,14 @@ def classify_domains(spark, d):
     return domains.classify(terms).select("term", F.array_join("domains", ",").alias("domains"), domains.context_of(F.col("domains")).alias("context"))
 
 
+def classify_learned(spark, d):
+    """Domains of all terms with those learned from the clustered facts."""
+    kb = _stored(spark, d)
+    learned = Work(spark, "learned").put(domains.learned_labels(kb, derived.domain_clusters(kb)))
+    found = domains.classify(kb.select(F.explode(F.array("subject", "object")).alias("term")), learned=learned)
+    return found.select("term", F.array_join("domains", ",").alias("domains"))
+
+
 def compat_score(spark, d):
     f = domains.with_domains(_stored(spark, d))
     return f.select("id", domains.compatibility(F.col("s_domains"), F.col("o_domains")).alias("score"))
@@ -577,7 +585,7 @@ def fnv1a(spark, d):
 
 _QUERIES = [
     p3_found, p3_depths, p3_hierarchies, p5_found, p5_by_month, p5_cascade, all_true, next_generation, concept_lookup, kb_report_parts,
-    cross_groups, rule_learned, path_outgoing, compatible_pairs, clean_facts, bridge_stated_by, bridge_shared_members, bridge_structural_words, bridge_structural_members,
+    cross_groups, classify_learned, rule_learned, path_outgoing, compatible_pairs, clean_facts, bridge_stated_by, bridge_shared_members, bridge_structural_words, bridge_structural_members,
     seed_read, conceptnet_read, wikidata_read, textbook_read,
     normalize_terms, append_dedup, star_triples, find_exact, search_like, search_multi, about, reverse, unresolved, known_subjects,
     ambiguous_subjects, subject_display, raw_lookup, stats_source, stats_grade_pivot, stats_dashboard, kb_report,

@@ -34,6 +34,12 @@ def classify(terms: DataFrame, domains: V.Domains | None = None, learned: DataFr
     return t.select("term").join(labels, "term", "left").select("term", F.coalesce("domains", F.array().cast("array<string>")).alias("domains"))
 
 
+def learned_labels(store: DataFrame, entry_domains: DataFrame) -> DataFrame:
+    """(term, domain): the labels that atomic subjects have from the domains of their facts (entry_id, domain)."""
+    own = store.filter(is_atomic("subject")).select(F.col("id").alias("entry_id"), F.col("subject").alias("term"))
+    return own.join(entry_domains.select("entry_id", "domain"), "entry_id").select("term", "domain").distinct()
+
+
 def context_of(domains: Column) -> Column:
     """'general' without domains; the first label, 'everyday' only when it is alone."""
     rest = F.array_remove(domains, "everyday")

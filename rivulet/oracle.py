@@ -351,6 +351,12 @@ UNION ALL SELECT 'lost_child', count(*) FROM (SELECT DISTINCT {norm_sql("child")
         "graph_size": _near("futadala", None, True, True) + "SELECT 'edges' AS kind, count(*) AS n FROM al UNION ALL SELECT 'nodes', count(DISTINCT x) FROM (SELECT unnest([subject, object]) AS x FROM e JOIN al USING (id))",
         "classify_domains": KB.rstrip() + f""",
 {_DOMAINS} SELECT term, array_to_string(domains, ',') AS domains, {_CONTEXT} AS context FROM dom""",
+        "classify_learned": KB.rstrip() + f""",
+{_DOMAINS}, ck(domain, k) AS (VALUES {_values(_CLUSTER_PAIRS)}), tt AS (SELECT * FROM kb WHERE truth_value = 'T'),
+ed AS (SELECT id, context AS domain FROM tt WHERE context NOT IN ('', 'general', 'cross_domain')
+ UNION SELECT id, domain FROM (SELECT * FROM tt WHERE context IN ('', 'general', 'cross_domain')) JOIN ck ON contains('_' || subject || '_', '_' || k || '_') OR contains('_' || object || '_', '_' || k || '_')),
+ll AS (SELECT subject AS term, list(DISTINCT domain) AS ds FROM kb JOIN ed USING (id) WHERE {S} GROUP BY subject)
+SELECT term, array_to_string(list_sort(list_distinct(domains || coalesce(ds, []))), ',') AS domains FROM dom LEFT JOIN ll USING (term)""",
         "compat_score": _DKB + "SELECT id, score::DOUBLE AS score FROM sc",
         "domain_matrix": f"WITH mx(a, b, score) AS (VALUES {_values([(a, b, float(s)) for a, b, s in _DOM.matrix()])}) SELECT a, b, score::DOUBLE AS score FROM mx",
         "nonsense_filter": _DKB.rstrip() + f",\n{_NONSENSE} SELECT id, reason FROM ns",

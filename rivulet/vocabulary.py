@@ -181,7 +181,7 @@ COMPATIBLE = {
     "materials": ["chemistry", "physics", "engineering"],
 }
 
-# This library's own default keywords: a few per domain; pass ``Domains.from_json`` for a full dictionary.
+# This library's own default keywords, a few under each of the domain labels, which are fixed values; pass ``Domains.from_json`` for a full dictionary.
 _KEYWORDS = {
     "mathematics": ["equation", "theorem", "matrix", "probability", "number", "vector"],
     "physics": ["energy", "gravity", "velocity", "acceleration", "wave", "pressure"],
@@ -207,7 +207,7 @@ _KEYWORDS = {
     "materials": ["ceramic", "alloy", "polymer", "porous", "granular"],
 }
 
-# Own default baseline terms: everyday words that a dictionary of technical keywords misses.
+# Own default baseline terms under the fixed domain labels: everyday words that a dictionary of technical keywords misses.
 _BASELINE = {
     "everyday": ["orange", "cake", "bread", "chair", "table", "car", "house", "fruit"],
     "biology": ["dog", "cat", "fish", "bird", "bone", "tree", "heart", "mamba"],
