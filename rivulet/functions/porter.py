@@ -28,13 +28,14 @@ def _double(stem: str) -> bool:
     return len(stem) >= 2 and stem[-1] == stem[-2] and _pattern(stem)[-1] == "c"
 
 
-_STEP2 = [
+# The suffix rules of steps 2 to 4.
+STEP2 = [
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"),
     ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"),
     ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
 ]
-_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
 def _replace(word: str, rules: list[tuple[str, str]]) -> str:
@@ -71,8 +72,8 @@ def stem(word: str) -> str:
         word = cut
     if word.endswith("y") and "v" in _pattern(word[:-1]):
         word = word[:-1] + "i"
-    word = _replace(_replace(word, _STEP2), _STEP3)
-    fit = [s for s in _STEP4 if word.endswith(s)]
+    word = _replace(_replace(word, STEP2), STEP3)
+    fit = [s for s in STEP4 if word.endswith(s)]
     if fit:
         suffix = max(fit, key=len)
         rest = word[: -len(suffix)]

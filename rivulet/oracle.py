@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rivulet import vocabulary as V
+from rivulet.functions import porter
 from rivulet.sql import norm_sql
 
 GATE_LINKS = [*V.TRANSPARENT_LINKS, *V.OPAQUE_LINKS, *V.SEMI_TRANSPARENT_LINKS, "profile_size", "other"]
@@ -268,6 +269,46 @@ SELECT 'hit' AS section, subject, context, predicate, object FROM hit UNION SELE
 UNION SELECT 'beyond', subject, context, predicate, object FROM beyond UNION SELECT 'path', '{terms[0]}', '', path, '{terms[1]}' FROM pa"""
 
 
+def _stems(tokens: str) -> str:
+    """st(token, stem) of the words in the table ``tokens`` (token): Porter's steps, one a table."""
+    pattern = "regexp_replace(regexp_replace(regexp_replace({0}, '[aeiou]', 'V', 'g'), '[^Vy]', 'C', 'g'), '^y', 'C')"
+    for _ in range(3):  # y is a vowel after a consonant only
+        pattern = f"replace(replace({pattern}, 'Cy', 'CV'), 'Vy', 'VC')"
+    measure = lambda p: f"((length({p}) - length(replace({p}, 'VC', ''))) // 2)"
+    short = lambda w, p: f"(ends_with({p}, 'CVC') AND right({w}, 1) NOT IN ('w', 'x', 'y'))"
+    double = lambda w, p: f"(length({w}) > 1 AND right({w}, 1) = left(right({w}, 2), 1) AND ends_with({p}, 'C'))"
+    ends = lambda s: f"ends_with(w, '{s}')"
+    cut = lambda c, n: f"left({c}, length({c}) - {n})"
+    step = lambda name, before, w: f"{name} AS (SELECT *, {pattern.format('w')} AS p FROM (SELECT token, {w} AS w FROM {before}))"
+
+    def rules(pairs: list[tuple[str, str]], condition) -> str:
+        """The longest suffix that fits is the only one that may apply."""
+        by_size = sorted(pairs, key=lambda r: -len(r[0]))
+        return "CASE " + " ".join(f"WHEN {ends(s)} THEN CASE WHEN {condition(s)} THEN {cut('w', len(s))} || '{new}' ELSE w END" for s, new in by_size) + " ELSE w END"
+
+    positive = lambda s: f"{measure(cut('p', len(s)))} > 0"
+    fourth = lambda s: f"{measure(cut('p', len(s)))} > 1" + (f" AND right({cut('w', 3)}, 1) IN ('s', 't')" if s == "ion" else "")
+    rest, rest_p = cut("w", 1), cut("p", 1)
+    return ",\n".join([
+        f"w0 AS (SELECT token, token AS w FROM (SELECT DISTINCT token FROM {tokens}) WHERE length(token) > 2)",
+        step("w1", "w0", f"CASE WHEN {ends('sses')} OR {ends('ies')} THEN {cut('w', 2)} WHEN {ends('s')} AND NOT {ends('ss')} THEN {rest} ELSE w END"),
+        f"""w2 AS (SELECT token, CASE WHEN {ends('eed')} AND {measure(cut('p', 3))} > 0 THEN {rest} ELSE w END AS w,
+ CASE WHEN {ends('eed')} THEN NULL WHEN {ends('ed')} AND contains({cut('p', 2)}, 'V') THEN {cut('w', 2)} WHEN {ends('ing')} AND contains({cut('p', 3)}, 'V') THEN {cut('w', 3)} END AS c, left(p, length(c)) AS cp FROM w1)""",
+        step("w3", "w2", f"CASE WHEN c IS NULL THEN w WHEN regexp_matches(c, '(at|bl|iz)$') OR ({measure('cp')} = 1 AND {short('c', 'cp')}) THEN c || 'e' WHEN {double('c', 'cp')} AND right(c, 1) NOT IN ('l', 's', 'z') THEN {cut('c', 1)} ELSE c END"),
+        step("w4", "w3", f"CASE WHEN {ends('y')} AND contains({rest_p}, 'V') THEN {rest} || 'i' ELSE w END"),
+        step("w5", "w4", rules(porter.STEP2, positive)), step("w6", "w5", rules(porter.STEP3, positive)), step("w7", "w6", rules([(s, "") for s in porter.STEP4], fourth)),
+        step("w8", "w7", f"CASE WHEN {ends('e')} AND ({measure(rest_p)} > 1 OR ({measure(rest_p)} = 1 AND NOT {short(rest, rest_p)})) THEN {rest} ELSE w END"),
+        f"st AS (SELECT token, CASE WHEN {measure('p')} > 1 AND {double('w', 'p')} AND {ends('l')} THEN {rest} ELSE w END AS stem FROM w8 UNION ALL SELECT DISTINCT token, token FROM {tokens} WHERE length(token) <= 2)",
+    ])
+
+
+_WORDS = r"regexp_extract_all(translate(lower(replace({0}, '_', ' ')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{{L}}\p{{N}}]+')"
+_INDEX = f"""{KB.rstrip()},
+c AS (SELECT id, unnest(['subject', 'context', 'predicate', 'object', 'source']) AS col, unnest([subject, context, predicate, object, source]) AS v FROM kb WHERE truth_value = 'T'),
+w AS (SELECT id, col, {_WORDS.format("v")} AS ws FROM c),
+"""
+
+
 def queries() -> dict[str, str]:
     like = lambda t: f"(subject ILIKE '%{t}%' OR object ILIKE '%{t}%')"
     scoped = r"left(trim(regexp_replace(regexp_replace(lower(subject), '[^a-z0-9_\s\p{Z}\x{1c}-\x{1f}-]', '', 'g'), '[\s\p{Z}\x{1c}-\x{1f}-]+', '_', 'g'), '_'), 100)"
@@ -393,6 +434,18 @@ SELECT DISTINCT id FROM s JOIN h USING (side)""",
 q AS (SELECT DISTINCT subject, string_split(subject, ',')[1] AS term_a, string_split(subject, ',')[2] AS term_b FROM r)
 SELECT subject, term_a, term_b FROM q JOIN dom x ON term_a = x.term JOIN dom y ON term_b = y.term WHERE len(x.domains) > 0 AND len(y.domains) > 0 AND x.domains <> y.domains""",
         "fts_tokens": _TOKENS + "SELECT token, entry_id, col, pos FROM tk",
+        "fts_index": _INDEX + f"""tk AS (SELECT unnest(ws) AS token FROM w),
+{_stems("tk")} SELECT stem AS token, count(*) AS n FROM tk JOIN st USING (token) GROUP BY stem""",
+        "fts_search": _INDEX + f"""m(term, synonym) AS (VALUES {_MANUAL}), sa AS (SELECT * FROM kb WHERE truth_value = 'T' AND {S} AND {O}),
+sy AS (SELECT object AS term, subject AS synonym FROM sa WHERE predicate IN ('is_a', 'subclass_of') UNION SELECT subject, object FROM sa WHERE predicate IN ('has_part', 'has_component', 'contains') UNION SELECT term, synonym FROM m),
+ph AS (SELECT row_number() OVER () AS id, {_WORDS.format("x")} AS ws FROM (SELECT 'tidal_basin' AS x UNION SELECT 'slow' UNION SELECT synonym FROM sy WHERE term IN ('tidal_basin', 'slow'))),
+tk AS (SELECT unnest(ws) AS token FROM w UNION ALL SELECT unnest(ws) FROM ph),
+{_stems("tk")},
+pw AS (SELECT id, ws[i] AS token, i FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM ph)),
+pp AS (SELECT DISTINCT ' ' || string_agg(stem, ' ' ORDER BY i) || ' ' AS phrase FROM pw JOIN st USING (token) GROUP BY id),
+fw AS (SELECT id, col, ws[i] AS token, i FROM (SELECT id, col, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+fs AS (SELECT id, ' ' || string_agg(stem, ' ' ORDER BY i) || ' ' AS line FROM fw JOIN st USING (token) GROUP BY id, col)
+SELECT id, subject, object FROM kb SEMI JOIN (SELECT DISTINCT id FROM fs JOIN pp ON contains(line, phrase)) USING (id)""",
         "fts_phrase": KB + "SELECT id, subject, object FROM kb WHERE truth_value = 'T' AND (contains(' ' || regexp_replace(subject, '[_,-]+', ' ', 'g') || ' ', ' tidal basin ') OR contains(' ' || regexp_replace(object, '[_,-]+', ' ', 'g') || ' ', ' tidal basin '))",
         "log_recent": "SELECT event_id AS id, event_type, 0 AS grade_level, props AS message FROM events ORDER BY event_id DESC LIMIT 50",
         "confusions": KB.rstrip() + """, c AS (SELECT id, subject, object AS confused_with, predicate AS reason, grade_level AS grade, generation FROM kb WHERE truth_value = 'F')
