@@ -47,14 +47,15 @@ def _walks(work: Work, up: DataFrame, several: DataFrame | None, total: int) ->
     round a ring without splitters; their path has each node once.
     """
     rows = up.select(F.col("child").alias("node"), F.array("parent").alias("path"), F.col("parent").alias("last"), (~is_splitter(F.col("parent"))).alias("open"), F.lit(False).alias("ring"))
-    closed: list[DataFrame] = []
+    where, no = work.path(), 0  # one table of all rounds: a walk stands as it closed, or as the last round left it
     while True:
-        walking = rows.filter("open")
-        size = total if not closed else walking.count()
-        closed.append(rows.filter("not open"))
+        every = work.append(rows.withColumn("no", F.lit(no)), where)
+        walking = every.filter(F.col("open") & (F.col("no") == no)).drop("no")
+        size = walking.count()
         if not size:
-            return union_all(closed).drop("open")
-        onward = union_all([*closed, walking]).filter(~is_splitter(F.col("node")))
+            return every.filter("not open").drop("open", "no")
+        onward = every.filter((~F.col("open") | (F.col("no") == no)) & ~is_splitter(F.col("node"))).drop("no")
+        no += 1
         if several is not None:
             onward = onward.join(several.withColumnRenamed("child", "node"), "node", "left_anti")
         onward = onward.select(F.col("node").alias("last"), F.col("path").alias("more"), F.col("last").alias("then"), F.col("open").alias("still"), F.col("ring").alias("round"))
@@ -63,7 +64,7 @@ def _walks(work: Work, up: DataFrame, several: DataFrame | None, total: int) ->
         j = j.select("node", F.when(met, F.concat("path", "more")).otherwise(F.col("path")).alias("whole"), F.coalesce("then", "last").alias("last"), F.coalesce("still", F.lit(False)).alias("still"), F.coalesce("round", F.lit(False)).alias("round"))
         j = j.withColumn("path", F.array_distinct("whole"))
         ring = F.col("round") | (F.size("path") < F.size("whole"))
-        rows = work.put(j.select("node", "path", "last", (F.col("still") & ~ring).alias("open"), ring.alias("ring")))
+        rows = j.select("node", "path", "last", (F.col("still") & ~ring).alias("open"), ring.alias("ring"))
 
 
 def closure(hierarchy: DataFrame) -> DataFrame:

@@ -92,6 +92,11 @@ class Work:
         back._rivulet_path = path
         return back
 
+    def append(self, df: DataFrame, path: str) -> DataFrame:
+        """``df`` added to the table at ``path`` (from ``path()``); all of the table."""
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             path = getattr(t, "_rivulet_path", None)
