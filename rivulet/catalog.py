@@ -12,7 +12,7 @@ from rivulet import vocabulary as V
 from rivulet.functions.hashing import quad_hash
 from rivulet.functions.parsing import pipe_triples, question_terms, sections, verdict
 from rivulet.functions.text import insert_norm, is_atomic, lookup_norm, scope_norm
-from rivulet.operators import aggregates, bridges, derived, domains, fulltext, gates, graph, journal, lookups
+from rivulet.operators import aggregates, bridges, derived, displays, domains, fulltext, gates, graph, journal, lookups
 from rivulet.operators.orphans import knowledge_base_orphans, orphans_by_month, star_orphans
 from rivulet.operators.trees import closure, hierarchies
 from rivulet.plans import pulse, query_engine, store
@@ -260,6 +260,27 @@ def rule_suggest(spark, d):
     return gates.suggest_rules(gates.pair_stats(o))
 
 
+def learner_report(spark, d):
+    o = _kb(spark, d).filter("truth_value in ('T', 'F')").select(F.col("context").alias("link"), F.col("predicate").alias("inherited"), (F.col("truth_value") == "T").alias("approved"))
+    return displays.learner_report(gates.pair_stats(o))
+
+
+def show_unresolved(spark, d):
+    return displays.unresolved_shown(_kb(spark, d))
+
+
+def show_confusions(spark, d):
+    return displays.confusions_shown(confusions(spark, d))
+
+
+def show_bridges(spark, d):
+    return displays.bridges_shown(_standing(spark, d))
+
+
+def show_candidates(spark, d):
+    return displays.candidates_shown(_stored(spark, d))
+
+
 def rule_learned(spark, d):
     """The gate's verdicts after learning from the outcomes of ``rule_suggest``."""
     r = gates.apply_rules(gates.Rules(), Work(spark, "learned").put(rule_suggest(spark, d)), unblock=True)
@@ -585,7 +606,7 @@ def fnv1a(spark, d):
 
 _QUERIES = [
     p3_found, p3_depths, p3_hierarchies, p5_found, p5_by_month, p5_cascade, all_true, next_generation, concept_lookup, kb_report_parts,
-    cross_groups, classify_learned, rule_learned, path_outgoing, compatible_pairs, clean_facts, bridge_stated_by, bridge_shared_members, bridge_structural_words, bridge_structural_members,
+    learner_report, show_unresolved, show_confusions, show_bridges, show_candidates, cross_groups, classify_learned, rule_learned, path_outgoing, compatible_pairs, clean_facts, bridge_stated_by, bridge_shared_members, bridge_structural_words, bridge_structural_members,
     seed_read, conceptnet_read, wikidata_read, textbook_read,
     normalize_terms, append_dedup, star_triples, find_exact, search_like, search_multi, about, reverse, unresolved, known_subjects,
     ambiguous_subjects, subject_display, raw_lookup, stats_source, stats_grade_pivot, stats_dashboard, kb_report,

@@ -302,6 +302,16 @@ def _stems(tokens: str) -> str:
     ])
 
 
+_CONFUSED = KB.rstrip() + """, c AS (SELECT id, subject, object AS confused_with, predicate AS reason, grade_level AS grade, generation FROM kb WHERE truth_value = 'F')
+SELECT id, subject, confused_with, reason, grade FROM c ANTI JOIN (SELECT subject, confused_with FROM c WHERE generation = 0) USING (subject, confused_with) WHERE generation > 0
+QUALIFY row_number() OVER (PARTITION BY subject, confused_with ORDER BY id) = 1"""
+
+
+def _bar(share: str) -> str:
+    n = f"cast(least(10, greatest(0, floor({share} * 10 + 1e-9))) AS INTEGER)"
+    return f"repeat('█', {n}) || repeat('░', 10 - {n})"
+
+
 _WORDS = r"regexp_extract_all(translate(lower(replace({0}, '_', ' ')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{{L}}\p{{N}}]+')"
 _INDEX = f"""{KB.rstrip()},
 c AS (SELECT id, unnest(['subject', 'context', 'predicate', 'object', 'source']) AS col, unnest([subject, context, predicate, object, source]) AS v FROM kb WHERE truth_value = 'T'),
@@ -448,9 +458,20 @@ fs AS (SELECT id, ' ' || string_agg(stem, ' ' ORDER BY i) || ' ' AS line FROM fw
 SELECT id, subject, object FROM kb SEMI JOIN (SELECT DISTINCT id FROM fs JOIN pp ON contains(line, phrase)) USING (id)""",
         "fts_phrase": KB + "SELECT id, subject, object FROM kb WHERE truth_value = 'T' AND (contains(' ' || regexp_replace(subject, '[_,-]+', ' ', 'g') || ' ', ' tidal basin ') OR contains(' ' || regexp_replace(object, '[_,-]+', ' ', 'g') || ' ', ' tidal basin '))",
         "log_recent": "SELECT event_id AS id, event_type, 0 AS grade_level, props AS message FROM events ORDER BY event_id DESC LIMIT 50",
-        "confusions": KB.rstrip() + """, c AS (SELECT id, subject, object AS confused_with, predicate AS reason, grade_level AS grade, generation FROM kb WHERE truth_value = 'F')
-SELECT id, subject, confused_with, reason, grade FROM c ANTI JOIN (SELECT subject, confused_with FROM c WHERE generation = 0) USING (subject, confused_with) WHERE generation > 0
-QUALIFY row_number() OVER (PARTITION BY subject, confused_with ORDER BY id) = 1""",
+        "confusions": _CONFUSED,
+        "show_confusions": f"SELECT subject || ' ≠ ' || confused_with AS shown, coalesce(reason, '') AS reason FROM ({_CONFUSED})",
+        "show_unresolved": KB.rstrip() + """, u AS (SELECT * FROM kb WHERE truth_value = 'M' ORDER BY id LIMIT 30), a AS (SELECT subject FROM u WHERE context <> '' GROUP BY subject HAVING count(DISTINCT context) > 1)
+SELECT id, CASE WHEN subject IN (SELECT subject FROM a) THEN subject || ' (' || context || ')' ELSE subject END || ' → ' || predicate || '(' || object || ')' AS shown FROM u""",
+        "show_bridges": f"""SELECT id, coalesce(term_a, '?') || ' ↔ ' || coalesce(term_b, '?') AS shown, coalesce(nullif(bridge_type, ''), '?') AS bridge_type, coalesce(strength, 0.5) AS strength, {_bar("coalesce(strength, 0.5)")} AS bar,
+CASE WHEN coalesce(domain_a, '') = '' AND coalesce(domain_b, '') = '' THEN '' ELSE coalesce(nullif(domain_a, ''), '?') || ' ↔ ' || coalesce(nullif(domain_b, ''), '?') END AS domains, coalesce(nullif(reason, ''), 'no reason given') AS reason, coalesce(teaching_note, '') AS teaching_note
+FROM bridges WHERE deleted_at IS NULL""",
+        "show_candidates": _SHARED.rstrip() + f""",
+{_structural(V.STRUCTURAL_WORDS)},
+al AS (SELECT term_a, term_b, 1 AS strategy, bridge_type, confidence FROM sm UNION ALL SELECT subject, object, 2, 'inspirational', 0.7::DOUBLE FROM kb WHERE truth_value = 'T' AND predicate IN {_in(V.BRIDGE_PREDICATES)} UNION ALL SELECT term_a, term_b, 3, 'structural', confidence FROM st),
+{best} SELECT term_a || ' ↔ ' || term_b AS shown, confidence, {_bar("confidence")} AS bar, bridge_type AS suggested_type, CASE strategy WHEN 1 THEN 'shared property' WHEN 2 THEN 'stated by a fact' ELSE 'same structural words' END AS reason FROM bs""",
+        "learner_report": KB + """SELECT CASE WHEN n >= 5 AND f / n::DOUBLE >= 0.75 THEN 'block' WHEN n >= 5 AND t / n::DOUBLE >= 0.75 THEN 'allow' ELSE 'uncertain' END AS suggestion, link, inherited,
+round(CASE WHEN n >= 5 AND f / n::DOUBLE >= 0.75 THEN f ELSE t END / n::DOUBLE, 4) AS rate, n AS total
+FROM (SELECT context AS link, predicate AS inherited, count(*) FILTER (truth_value = 'T') AS t, count(*) FILTER (truth_value = 'F') AS f, count(*) AS n FROM kb WHERE truth_value IN ('T', 'F') GROUP BY context, predicate)""",
         "p3_hierarchies": _TREE + """r AS (SELECT c, p, 1 AS d FROM e UNION SELECT r.c, e.p, r.d + 1 FROM r JOIN e ON r.p = e.c WHERE r.d < 200),
 dp AS (SELECT c, p, min(d) AS d FROM r GROUP BY c, p), rg AS (SELECT c AS ring FROM dp WHERE c = p),
 u AS (SELECT c, coalesce(list(p ORDER BY d, p) FILTER (c <> p), []) AS up, coalesce(max(d) FILTER (c <> p), 0) AS depth, min(ring) AS ring, bool_or(c = p) AS on_ring FROM dp LEFT JOIN rg ON p = ring GROUP BY c

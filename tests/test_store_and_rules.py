@@ -339,3 +339,18 @@ def test_seed_bridges(spark):
     seeds = bridges.seed_bridges(spark)
     assert seeds.count() == 10 and seeds.filter(~F.col("bridge_type").isin(V.BRIDGE_TYPES)).count() == 0
     assert bridges.find_bridges(seeds, "Water Cycle").count() == 1
+
+
+def test_displays(spark):
+    from rivulet.operators import displays
+
+    b = spark.createDataFrame([(1, "a", "b", "", None, "scale", None, 0.72, ""), (2, None, "b", None, None, None, "why", None, "note"), (3, "c", "d", "x", "", "scale", "", 1.0, None)], "id long, term_a string, term_b string, domain_a string, domain_b string, bridge_type string, reason string, strength double, teaching_note string")
+    got = {r["id"]: tuple(r)[1:] for r in displays.bridges_shown(b).collect()}
+    assert got[1] == ("a ↔ b", "scale", 0.72, "█" * 7 + "░" * 3, "", "no reason given", "")
+    assert got[2] == ("? ↔ b", "?", 0.5, "█" * 5 + "░" * 5, "", "why", "note") and got[3][3:5] == ("█" * 10, "x ↔ ?")
+    s = kb(spark, [("m", "g", "p", "x"), ("m", "h", "p", "y"), ("n", "g", "p", "x")], "M")
+    assert [r["shown"] for r in displays.unresolved_shown(s).orderBy("id").collect()] == ["m (g) → p(x)", "m (h) → p(y)", "n → p(x)"]
+    stats = spark.createDataFrame([("l", "i", 1, 4, 5), ("l", "j", 4, 1, 5), ("l", "k", 1, 0, 1), ("l", "z", 0, 0, 0)], "link string, inherited string, approved long, rejected long, total long")
+    assert collected(displays.learner_report(stats)) == [("allow", "l", "j", 0.8, 5), ("block", "l", "i", 0.8, 5), ("uncertain", "l", "k", 1.0, 1)]
+    none = spark.createDataFrame([("a", "b", None)], "subject string, confused_with string, reason string")
+    assert collected(displays.confusions_shown(none)) == [("a ≠ b", "")] and displays.candidates_shown(s.filter("false")).count() == 0
