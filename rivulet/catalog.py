@@ -27,8 +27,14 @@ def _kb(spark: SparkSession, d: str) -> DataFrame:
     return store.facts(load(spark, d, "entries"))
 
 
-def _stored(spark: SparkSession, d: str) -> DataFrame:
-    """The store as a written table, for queries that read it several times."""
+def _stored(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """The store as a written table, for queries that read it several times; of its columns those that rules and lookups
+    read, and ``more``."""
+    return Work(spark, "store").put(_kb(spark, d).select("id", *QUAD, "truth_value", "source", "generation", *more))
+
+
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of the store as a written table."""
     return Work(spark, "store").put(_kb(spark, d))
 
 
@@ -142,7 +148,7 @@ def stats_grade_pivot(spark, d):
 
 
 def stats_dashboard(spark, d):
-    return aggregates.dashboard(_stored(spark, d))
+    return aggregates.dashboard(_stored(spark, d, "grade_level"))
 
 
 def kb_report(spark, d):
@@ -215,7 +221,7 @@ def profile_pairs_variant(spark, d):
 
 def pulse_run(spark, d):
     """Facts by generation and source after two pulses with verification."""
-    s = pulse.run(_stored(spark, d), _standing(spark, d), cycles=2)
+    s = pulse.run(_whole(spark, d), _standing(spark, d), cycles=2)
     return s.groupBy("source", "truth_value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -225,7 +231,7 @@ def verify_offline(spark, d):
 
 def update_truth(spark, d):
     """All facts after the offline verdicts were written back."""
-    kb = _stored(spark, d)
+    kb = _whole(spark, d)
     v = store.verify_offline(kb, 500, V.SAFE_PRODUCTION).filter("truth_value = 'T' and verified").select("id", F.col("truth_value").alias("truth"), F.lit("auto").alias("evidence"))
     out = store.update_truth(kb, v)
     return out.select("id", "truth_value", "verified", "needs_verification", F.size("evidence_for").alias("n_for"), F.size("evidence_against").alias("n_against"))
@@ -388,7 +394,7 @@ def type_gate(spark, d):
 
 
 def scope_blocked(spark, d):
-    kb = _stored(spark, d)
+    kb = _stored(spark, d, "needs_verification")
     _, rejected = domains.gate(kb, "transitive", domains.predicate_profile(kb))
     return domains.blocked_by_reason(rejected)
 
