@@ -225,7 +225,11 @@ def profiles(store: DataFrame, s: Settings) -> DataFrame:
     sets, not with the subjects.  A set has at most as many members as there
     are predicates.
     """
-    return _profiled(store, s).groupBy("context", "profile").agg(F.count(F.lit(1)).alias("n"), F.min("subject").alias("first_subject"))
+    return _classes(_profiled(store, s))
+
+
+def _classes(members: DataFrame) -> DataFrame:
+    return members.groupBy("context", "profile").agg(F.count(F.lit(1)).alias("n"), F.min("subject").alias("first_subject"))
 
 
 def _profiled(store: DataFrame, s: Settings) -> DataFrame:
@@ -234,20 +238,24 @@ def _profiled(store: DataFrame, s: Settings) -> DataFrame:
     return p if s.min_profile <= 1 else p.filter(F.size("profile") >= s.min_profile)
 
 
-def similar_profiles(store: DataFrame, s: Settings) -> DataFrame:
+def similar_profiles(store: DataFrame, s: Settings, members: DataFrame | None = None) -> DataFrame:
     """(context, p1, p2, sim): pairs of different profiles of one context with a similarity of ``similarity`` or more.
 
     Candidates share one of the first words of both sets in a fixed order (prefix filter): two sets of that
     similarity must share one among their first size - ceil(similarity * size) + 1 members, so nothing is lost.
+    ``members`` are the profiles of the subjects where they are known already.
     """
-    p = profiles(store, s).select("context", "profile")
+    p = Work(store.sparkSession, "profiles").put(_classes(members if members is not None else _profiled(store, s)).select("context", "profile"))
     rarity = p.select("context", F.explode("profile").alias("w")).groupBy("context", "w").agg(F.count(F.lit(1)).alias("df"))
     words = p.select("context", "profile", F.explode("profile").alias("w")).join(rarity, ["context", "w"])
     n = F.size("profile")
     rank = F.row_number().over(W.partitionBy("context", "profile").orderBy("df", "w"))
-    head = words.withColumn("r", rank).filter(F.col("r") <= n - F.ceil(F.lit(s.similarity) * n) + 1).select("context", "profile", "w")
-    a, b = head.select("context", "w", F.col("profile").alias("p1")), head.select("context", "w", F.col("profile").alias("p2"))
-    j = a.join(b, ["context", "w"]).filter((F.col("p1") < F.col("p2")) & (F.size("p1") * s.similarity <= F.size("p2")) & (F.size("p2") * s.similarity <= F.size("p1"))).select("context", "p1", "p2").distinct()
+    head = words.withColumn("r", rank).filter(F.col("r") <= n - F.ceil(F.lit(s.similarity) * n) + 1).select("context", "profile", "w", (n - F.col("r") + 1).alias("left"))
+    a = head.select("context", "w", F.col("profile").alias("p1"), F.col("left").alias("l1"))
+    b = head.select("context", "w", F.col("profile").alias("p2"), F.col("left").alias("l2"))
+    # what two sets can still share from their first common word on must reach what the similarity asks for
+    enough = F.least("l1", "l2") >= (F.size("p1") + F.size("p2")) * (s.similarity / (1 + s.similarity)) - 1e-9
+    j = a.join(b, ["context", "w"]).filter(enough & (F.col("p1") < F.col("p2"))).select("context", "p1", "p2").distinct()
     sim = F.size(F.array_intersect("p1", "p2")) / F.size(F.array_union("p1", "p2"))
     out = j.withColumn("sim", sim).filter(F.col("sim") >= s.similarity)
     return out if s.min_shared <= 1 else out.filter(F.size(F.array_intersect("p1", "p2")) >= s.min_shared)
@@ -259,7 +267,7 @@ def analogy(store: DataFrame, s: Settings) -> DataFrame:
         raise ValueError("analogy needs a cap: the pairs of a class of equal profiles are not listed; use similar_profiles")
     work = Work(store.sparkSession, "analogy")
     members = work.put(_profiled(store, s))
-    near = similar_profiles(store, s)
+    near = similar_profiles(store, s, members)
     both = near.select("context", F.col("p1").alias("profile"), F.col("p2").alias("other"), "sim").unionByName(near.select("context", F.col("p2").alias("profile"), F.col("p1").alias("other"), "sim"))
     own = members.select("context", "profile").distinct().select("context", "profile", F.col("profile").alias("other"), F.lit(1.0).alias("sim"))
     both = work.put(both.unionByName(own))
