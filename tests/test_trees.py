@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from rivulet.operators import trees
+from rivulet.operators import derived, trees
 
 from .conftest import collected
 
@@ -118,3 +118,19 @@ def test_paths_of_random_graphs(spark, seed):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([("a", "b", 1, None, 7, "q", "w")], SCHEMA + ", node long, at string, _salt string")
     assert collected(trees.closure(df)) == [("a", "b", 1)]
+
+
+def taxonomy(spark, pairs):
+    rows = [(i, c, "general", "is_a", p, "T") for i, (c, p) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "id long, subject string, context string, predicate string, object string, truth_value string")
+
+
+@pytest.mark.parametrize("most", [2, 5])
+def test_a_bounded_closure_makes_nothing_beyond_its_depth(spark, monkeypatch, most):
+    rnd = random.Random(most)
+    pairs = [(f"n{rnd.randrange(30)}", f"n{rnd.randrange(30)}") for _ in range(45)] + [(f"c{i}", f"c{i + 1}") for i in range(40)]
+    monkeypatch.setattr(derived, "closure", None)  # without a bound
+    got = collected(derived.build_hierarchy(taxonomy(spark, pairs), most))
+    assert got == [r for r in model(pairs) if r[2] <= most]
+    pairs_made, _ = derived.hierarchy_pairs(taxonomy(spark, pairs), most)
+    assert pairs_made.count() == len(got)
