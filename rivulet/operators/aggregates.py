@@ -50,9 +50,14 @@ def centrality(store: DataFrame, closure: DataFrame) -> DataFrame:
 
     score = out + in + 2 * descendants.  The two degrees come from one scan.
     """
+    return centrality_of(store, closure.groupBy("ancestor").agg(F.count(F.lit(1)).alias("h")))
+
+
+def centrality_of(store: DataFrame, below: DataFrame) -> DataFrame:
+    """``centrality`` where the descendants are counted already: ``below`` has ancestor, h."""
     t = store.filter("truth_value = 'T'")
     ends = t.select(F.explode(F.array(F.struct(F.col("subject").alias("term"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("object").alias("term"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
     deg = ends.filter(is_atomic("term")).groupBy(F.col("term").alias("subject")).agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
-    below = closure.groupBy(F.col("ancestor").alias("subject")).agg(F.count(F.lit(1)).alias("h"))
+    below = below.select(F.col("ancestor").alias("subject"), "h")
     h = F.coalesce("h", F.lit(0))
     return deg.join(below, "subject", "left").select("subject", "out_degree", "in_degree", h.alias("hierarchy_children"), (F.col("out_degree") + F.col("in_degree") + 2 * h).cast("double").alias("score"))

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from rivulet.operators import derived, trees
+from rivulet.operators import aggregates, derived, trees
 
 from .conftest import collected
 
@@ -134,3 +134,10 @@ def test_a_bounded_closure_makes_nothing_beyond_its_depth(spark, monkeypatch, mo
     assert got == [r for r in model(pairs) if r[2] <= most]
     pairs_made, _ = derived.hierarchy_pairs(taxonomy(spark, pairs), most)
     assert pairs_made.count() == len(got)
+
+
+def test_centrality_counts_descendants_without_their_names(spark, monkeypatch):
+    kb = taxonomy(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("x,y", "a")])
+    want = collected(aggregates.centrality(kb, derived.build_hierarchy(kb)))
+    monkeypatch.setattr(derived, "build_hierarchy", None)
+    assert collected(aggregates.centrality_of(kb, derived.descendants(kb))) == want
