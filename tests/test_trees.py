@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+from rivulet import catalog
 from rivulet.operators import aggregates, derived, trees
 
 from .conftest import collected
@@ -141,3 +142,10 @@ def test_centrality_counts_descendants_without_their_names(spark, monkeypatch):
     want = collected(aggregates.centrality(kb, derived.build_hierarchy(kb)))
     monkeypatch.setattr(derived, "build_hierarchy", None)
     assert collected(aggregates.centrality_of(kb, derived.descendants(kb))) == want
+
+
+def test_report_counts_the_hierarchy_without_its_names(spark, monkeypatch):
+    monkeypatch.setattr(derived, "build_hierarchy", None)
+    got = {(r["part"], r["key"]): r["n"] for r in catalog.kb_report_parts(spark, "/root/testdata/sf0.001").collect()}
+    kb = catalog._judged(spark, "/root/testdata/sf0.001")
+    assert got["table", "hierarchy"] == derived.hierarchy_pairs(kb)[0].count() > 0
