@@ -354,3 +354,18 @@ def test_displays(spark):
     assert collected(displays.learner_report(stats)) == [("allow", "l", "j", 0.8, 5), ("block", "l", "i", 0.8, 5), ("uncertain", "l", "k", 1.0, 1)]
     none = spark.createDataFrame([("a", "b", None)], "subject string, confused_with string, reason string")
     assert collected(displays.confusions_shown(none)) == [("a ≠ b", "")] and displays.candidates_shown(s.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("similarity, least, shared", [(0.6, 1, 1), (0.3, 3, 2), (0.5, 1, 1)])
+def test_similar_profiles_are_met_once_and_in_parts(spark, monkeypatch, similarity, least, shared):
+    monkeypatch.setattr(pulse, "BESIDE", 3)  # crowded predicates are compared in parts
+    rnd = random.Random(7)
+    quads = [(f"s{i}", f"c{i % 2}", p, "o") for i in range(60) for p in rnd.sample([f"p{k}" for k in range(9)], rnd.randrange(1, 7))]
+    quads += [("hub", "c0", f"h{k}", "o") for k in range(80)]  # no other set is near its size
+    got = collected(pulse.similar_profiles(kb(spark, quads), pulse.Settings(similarity=similarity, min_profile=least, min_shared=shared)).select("context", F.array_join("p1", ","), F.array_join("p2", ","), F.round("sim", 6)))
+    sets = {}
+    for s, c, p, _ in quads:
+        sets.setdefault((c, s), set()).add(p)
+    of = {(c, tuple(sorted(p))) for (c, _), p in sets.items() if len(p) >= least}
+    want = [(c, ",".join(x), ",".join(y), round(len({*x} & {*y}) / len({*x} | {*y}), 6)) for c, x in of for d, y in of if c == d and x < y and len({*x} & {*y}) >= max(shared, similarity * len({*x} | {*y}) - 1e-9)]
+    assert got == sorted(want, key=repr) != []
