@@ -369,3 +369,14 @@ def test_similar_profiles_are_met_once_and_in_parts(spark, monkeypatch, similari
     of = {(c, tuple(sorted(p))) for (c, _), p in sets.items() if len(p) >= least}
     want = [(c, ",".join(x), ",".join(y), round(len({*x} & {*y}) / len({*x} | {*y}), 6)) for c, x in of for d, y in of if c == d and x < y and len({*x} & {*y}) >= max(shared, similarity * len({*x} | {*y}) - 1e-9)]
     assert got == sorted(want, key=repr) != []
+
+
+def test_analogy_compares_the_first_subjects_only(spark, monkeypatch):
+    quads = [(f"s{i:03}", "c", p, "o") for i in range(120) for p in ("a", "b", "c", "d", f"r{i % 40}")]
+    monkeypatch.setattr(pulse, "BLOCK", 2)
+    monkeypatch.setattr(pulse, "similar_profiles", None)  # all pairs
+    e = kb(spark, quads)
+    got = [(r["subject"], r["object"]) for r in pulse.analogy(e, pulse.Settings(cap=7)).orderBy("subject", "object").collect()]
+    assert got == [("s000", f"s{i:03}") for i in range(1, 8)]
+    known = e.unionByName(kb(spark, [("s000", "c", "structurally_similar_to", "s001")]).withColumn("id", F.lit(10_000).cast("bigint")))
+    assert pulse.analogy(known, pulse.Settings(cap=3)).agg(F.min("object")).first()[0] == "s002"
