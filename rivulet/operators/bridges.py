@@ -73,11 +73,35 @@ def examples_of(bridges: DataFrame, examples: DataFrame) -> DataFrame:
     return bridges.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_examples"))
 
 
+#: Bridges of one term that a row lists together.
+BLOCK = 1024
+
+
 def facts_with_bridges(store: DataFrame, bridges: DataFrame) -> DataFrame:
-    """(id, bridge_id): facts whose subject or object is a side of a bridge."""
-    sides = bridges.select(F.col("id").alias("bridge_id"), F.explode(F.array(lookup_norm("term_a"), lookup_norm("term_b"))).alias("term"))
+    """(id, bridge_id): facts whose subject or object is a side of a bridge, each pair once.
+
+    A fact takes the bridges of its first term, and those of its second that do not hold the first too.  So no
+    pair comes twice and pairs, of which a term of many facts and bridges makes the product, are never shuffled.
+    """
+    held = bridges.select(F.col("id").alias("bridge_id"), F.explode(F.array(lookup_norm("term_a"), lookup_norm("term_b"))).alias("term")).filter("term is not null").groupBy("bridge_id").agg(F.collect_set("term").alias("held"))
+    held = Work(store.sparkSession, "bridges").put(held)
+    sides = held.select(F.explode("held").alias("term"), "bridge_id")
+    part = F.pmod(F.xxhash64("bridge_id"), F.ceil(F.col("n") / BLOCK))
+    blocks = sides.join(sides.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term").groupBy("term", part.alias("part")).agg(F.collect_list(F.struct("bridge_id")).alias("those")).drop("part")
+    both = held.filter(F.size("held") > 1).select("bridge_id", F.explode("held").alias("term"), "held").select("bridge_id", "term", F.explode("held").alias("first")).filter("first < term").groupBy("first", "term").agg(F.collect_list(F.struct("bridge_id")).alias("known"))
+
+    none = F.array().cast(both.schema["known"].dataType)
     ends = store.select("id", F.explode(F.array("subject", "object")).alias("term")).join(sides.select("term").distinct(), "term", "left_semi")
-    return skew_join(ends, sides, "term", hot_of(ends, "term"), "inner", "id").select("id", "bridge_id").distinct()
+    facts = ends.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    facts = Work(store.sparkSession, "bridges").put(facts)
+    one = facts.select("id", F.element_at("terms", F.lit(1)).alias("term"), none.alias("known"))
+    # of several terms each leaves out the bridges of those before it
+    more = facts.filter(F.size("terms") > 1).select("id", F.posexplode("terms").alias("i", "term"), "terms").filter("i > 0")
+    more = more.select("id", "term", F.explode(F.slice("terms", F.lit(1), F.col("i"))).alias("first")).join(both, ["first", "term"], "left").groupBy("id", "term").agg(F.flatten(F.collect_list("known")).alias("known"))
+    rows = one.unionByName(more)
+    found = skew_join(rows, blocks, "term", hot_of(rows, "term"), "inner", "id")
+    fresh = F.when(F.size(F.coalesce("known", none)) == 0, F.col("those")).otherwise(F.array_except("those", "known"))
+    return found.select("id", F.inline(fresh))
 
 
 def _confidence(p: Column, o: Column) -> Column:

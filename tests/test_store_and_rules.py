@@ -380,3 +380,14 @@ def test_analogy_compares_the_first_subjects_only(spark, monkeypatch):
     assert got == [("s000", f"s{i:03}") for i in range(1, 8)]
     known = e.unionByName(kb(spark, [("s000", "c", "structurally_similar_to", "s001")]).withColumn("id", F.lit(10_000).cast("bigint")))
     assert pulse.analogy(known, pulse.Settings(cap=3)).agg(F.min("object")).first()[0] == "s002"
+
+
+def test_facts_with_bridges_lists_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(bridges, "BLOCK", 2)  # the bridges of a term in several blocks
+    e = kb(spark, [("a", "g", "p", "b"), ("b", "g", "p", "a"), ("a", "g", "p", "a"), ("a", "g", "p", "c"), ("x", "g", "p", "y")])
+    e = e.unionByName(e.filter("subject = 'x'").withColumns({"id": F.lit(1).cast("bigint"), "object": F.lit("c")}))  # an id twice
+    b = [(1, "A", "b"), (2, "b", "a"), (3, "a", "a"), (4, "a", None), (5, "c", "q"), (6, "a", "z"), (7, None, None), (8, "y z", "y"), (8, "c", "c")]
+    table = spark.createDataFrame(b, "id long, term_a string, term_b string")
+    got = collected(bridges.facts_with_bridges(e, table))
+    want = {(r["id"], i) for r in e.collect() for i, *ts in b if {r["subject"], r["object"]} & {t.lower().replace(" ", "_") for t in ts if t}}
+    assert got == sorted(want, key=repr)
