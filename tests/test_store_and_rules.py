@@ -391,3 +391,11 @@ def test_facts_with_bridges_lists_each_pair_once(spark, monkeypatch):
     got = collected(bridges.facts_with_bridges(e, table))
     want = {(r["id"], i) for r in e.collect() for i, *ts in b if {r["subject"], r["object"]} & {t.lower().replace(" ", "_") for t in ts if t}}
     assert got == sorted(want, key=repr)
+
+
+def test_a_growing_store_frees_what_a_rule_shuffled(spark, monkeypatch):
+    freed = []
+    monkeypatch.setattr(pulse, "free", freed.append)
+    growing = pulse.Growing(kb(spark, [("a", "g", "is_a", "b")]))
+    found = growing.view().select("subject", "context", F.lit("uses").alias("predicate"), "object", "truth_value", "needs_verification", "source", F.lit("x").alias("evidence"), F.lit(0).alias("rank"))
+    assert growing.add(found, 1, 5) == 1 and freed == [spark]
