@@ -9,7 +9,7 @@ from rivulet import vocabulary as V
 from rivulet.functions.text import TERM_CHARS, is_atomic, lookup_norm
 from rivulet.operators.derived import rows
 from rivulet.operators.domains import classify, labelled
-from rivulet.tables import Work, hot_of, skew_join, union_all
+from rivulet.tables import SALTS, Work, hot_keys, skew_join, union_all
 
 TYPE_KEY = ["term_a", "term_b", "bridge_type"]
 
@@ -73,35 +73,52 @@ def examples_of(bridges: DataFrame, examples: DataFrame) -> DataFrame:
     return bridges.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_examples"))
 
 
-#: Bridges of one term that a row lists together.
-BLOCK = 1024
+#: Bridges of one term that a row lists together, and facts.
+BLOCK, TILE = 1024, 256
+#: Pairs that one task lists, about.
+TASK_PAIRS = 4_000_000
 
 
 def facts_with_bridges(store: DataFrame, bridges: DataFrame) -> DataFrame:
     """(id, bridge_id): facts whose subject or object is a side of a bridge, each pair once.
 
     A fact takes the bridges of its first term, and those of its second that do not hold the first too.  So no
-    pair comes twice and pairs, of which a term of many facts and bridges makes the product, are never shuffled.
+    pair comes twice and pairs, of which a term of many facts and bridges makes the product, are never shuffled:
+    tiles of facts meet blocks of bridges, and tasks list the pairs of as many of these as make an even share.  A
+    bridge stands before all facts of its tile, so the two columns are runs and short repeats, which Parquet packs.
     """
+    spark = store.sparkSession
+    work = Work(spark, "bridges")
     held = bridges.select(F.col("id").alias("bridge_id"), F.explode(F.array(lookup_norm("term_a"), lookup_norm("term_b"))).alias("term")).filter("term is not null").groupBy("bridge_id").agg(F.collect_set("term").alias("held"))
-    held = Work(store.sparkSession, "bridges").put(held)
+    held = work.put(held)
     sides = held.select(F.explode("held").alias("term"), "bridge_id")
-    part = F.pmod(F.xxhash64("bridge_id"), F.ceil(F.col("n") / BLOCK))
-    blocks = sides.join(sides.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term").groupBy("term", part.alias("part")).agg(F.collect_list(F.struct("bridge_id")).alias("those")).drop("part")
-    both = held.filter(F.size("held") > 1).select("bridge_id", F.explode("held").alias("term"), "held").select("bridge_id", "term", F.explode("held").alias("first")).filter("first < term").groupBy("first", "term").agg(F.collect_list(F.struct("bridge_id")).alias("known"))
+    many = sides.groupBy("term").agg(F.count(F.lit(1)).alias("b"))
+    part = F.pmod(F.xxhash64("bridge_id"), F.ceil(F.col("b") / BLOCK))
+    blocks = sides.join(many, "term").groupBy("term", part.alias("part")).agg(F.collect_list(F.struct("bridge_id"))["bridge_id"].alias("those")).drop("part")
+    both = held.filter(F.size("held") > 1).select("bridge_id", F.explode("held").alias("term"), "held").select("bridge_id", "term", F.explode("held").alias("first")).filter("first < term").groupBy("first", "term").agg(F.collect_list(F.struct("bridge_id"))["bridge_id"].alias("known"))
 
-    none = F.array().cast(both.schema["known"].dataType)
+    no_terms, none = F.array().cast("array<string>"), F.array().cast(both.schema["known"].dataType)
     ends = store.select("id", F.explode(F.array("subject", "object")).alias("term")).join(sides.select("term").distinct(), "term", "left_semi")
-    facts = ends.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    facts = Work(store.sparkSession, "bridges").put(facts)
-    one = facts.select("id", F.element_at("terms", F.lit(1)).alias("term"), none.alias("known"))
+    facts = work.put(ends.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+    one = facts.select("id", F.element_at("terms", F.lit(1)).alias("term"), no_terms.alias("firsts"))
     # of several terms each leaves out the bridges of those before it
     more = facts.filter(F.size("terms") > 1).select("id", F.posexplode("terms").alias("i", "term"), "terms").filter("i > 0")
-    more = more.select("id", "term", F.explode(F.slice("terms", F.lit(1), F.col("i"))).alias("first")).join(both, ["first", "term"], "left").groupBy("id", "term").agg(F.flatten(F.collect_list("known")).alias("known"))
-    rows = one.unionByName(more)
-    found = skew_join(rows, blocks, "term", hot_of(rows, "term"), "inner", "id")
+    more = more.select("id", "term", F.explode(F.slice("terms", F.lit(1), F.col("i"))).alias("first")).join(both.select("first", "term", F.col("first").alias("shared")), ["first", "term"], "left").groupBy("id", "term").agg(F.array_sort(F.collect_set("shared")).alias("firsts"))
+    rows = work.put(one.unionByName(more))
+
+    counted = work.put(rows.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(many, "term"))
+    total, pairs = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("b")), F.lit(0))).first()
+    hot = hot_keys(counted, "term", "n", total)
+    salt = F.when(F.col("term").isin(hot), F.pmod(F.xxhash64("id"), F.lit(SALTS))) if hot else F.lit(0)
+    lists = rows.groupBy("term", "firsts", salt.alias("_s")).agg(F.collect_list(F.struct("id"))["id"].alias("ids")).drop("_s")
+    starts = F.sequence(F.lit(1), F.size("ids"), F.lit(TILE))
+    tiles = lists.select("term", "firsts", F.explode(F.transform(starts, lambda i: F.slice("ids", i, F.lit(TILE)))).alias("ids"))
+    known = rows.filter(F.size("firsts") > 0).select("term", "firsts").distinct().select("term", "firsts", F.explode("firsts").alias("first")).join(both, ["first", "term"]).groupBy("term", "firsts").agg(F.flatten(F.collect_list("known")).alias("known"))
+    met = skew_join(tiles.join(known, ["term", "firsts"], "left"), blocks, "term", hot, "inner", "ids")
     fresh = F.when(F.size(F.coalesce("known", none)) == 0, F.col("those")).otherwise(F.array_except("those", "known"))
-    return found.select("id", F.inline(fresh))
+    tasks = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs // TASK_PAIRS), 10_000)
+    met = met.select("ids", fresh.alias("those")).repartition(tasks, F.xxhash64(F.get("ids", F.lit(0)), F.get("those", F.lit(0))))
+    return met.select("ids", F.explode("those").alias("bridge_id")).select(F.explode("ids").alias("id"), "bridge_id")
 
 
 def _confidence(p: Column, o: Column) -> Column:

@@ -393,6 +393,18 @@ def test_facts_with_bridges_lists_each_pair_once(spark, monkeypatch):
     assert got == sorted(want, key=repr)
 
 
+def test_facts_with_bridges_packs_the_pairs_of_a_hub(spark, tmp_path, monkeypatch):
+    """What is written is runs and short repeats: far less than a byte a pair."""
+    monkeypatch.setattr(bridges, "TASK_PAIRS", 100_000)
+    e = spark.range(700).select((F.col("id") * 7919).alias("id"), F.lit("hub").alias("subject"), F.concat(F.lit("o"), "id").alias("object"))
+    table = spark.range(901).select((F.col("id") * 104_729).alias("id"), F.lit("hub").alias("term_a"), F.lit(None).cast("string").alias("term_b"))
+    bridges.facts_with_bridges(e, table).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.distinct().count() == got.count() == 700 * 901
+    size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert size < 0.25 * 700 * 901
+
+
 def test_a_growing_store_frees_what_a_rule_shuffled(spark, monkeypatch):
     freed = []
     monkeypatch.setattr(pulse, "free", freed.append)
