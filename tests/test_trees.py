@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from rivulet import catalog
@@ -137,6 +138,31 @@ def test_a_bounded_closure_makes_nothing_beyond_its_depth(spark, monkeypatch, mo
     assert pairs_made.count() == len(got)
 
 
+def test_held_links_are_walked_without_a_join(spark, monkeypatch):
+    rnd = random.Random(50)
+    pairs = [(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(110)] + [(f"c{i}", f"c{i + 1}") for i in range(15)] + [(f"hub{i}", "n1") for i in range(40)]
+    kb = taxonomy(spark, [*pairs, *pairs[:9]])
+    for held in (len(pairs), 0):  # beyond the bound they are joined
+        monkeypatch.setattr(trees, "HELD_LINKS", held)
+        if held:
+            monkeypatch.setattr(trees, "within", None)
+        got = derived.build_hierarchy(kb)
+        assert collected(got) == [r for r in model(pairs) if r[2] <= 10]
+        assert collected(derived.descendants(kb)) == collected(got.groupBy("ancestor").count())
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize("followed", [1, 50, 1 << 20])
+def test_walks_that_follow_too_much_at_once_are_halved(spark, monkeypatch, followed):
+    rnd = random.Random(followed)
+    pairs = sorted({(f"n{rnd.randrange(60)}", f"m{rnd.randrange(60)}") for _ in range(110)} | {(f"m{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(110)})
+    held = trees._held(spark.createDataFrame(pairs, "child string, parent string"), False)
+    monkeypatch.setattr(trees, "FOLLOWED", followed)
+    names = held.names.to_pylist()
+    walked = [(names[a], names[b], d) for s, n, e in trees._reached(held, np.arange(len(names)), 4) for a, b, d in zip(s.tolist(), n.tolist(), e.tolist(), strict=True)]
+    assert sorted(walked, key=repr) == [r for r in model(pairs) if r[2] <= 4]
+
+
 def test_centrality_counts_descendants_without_their_names(spark, monkeypatch):
     kb = taxonomy(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("x,y", "a")])
     want = collected(aggregates.centrality(kb, derived.build_hierarchy(kb)))
