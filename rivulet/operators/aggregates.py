@@ -37,9 +37,12 @@ def report(store: DataFrame) -> DataFrame:
     )
 
 
-def report_parts(store: DataFrame, derived: dict[str, DataFrame], top: int = 10) -> DataFrame:
-    """(part, key, n): the largest sources, and how many rows each derived table has."""
+def report_parts(store: DataFrame, derived: dict[str, DataFrame], top: int = 10, counted: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(part, key, n): the largest sources, and how many rows each derived table has; of tables that are ``counted``
+    without being made, a row with ``n`` is given."""
     out = stats_by_source(store).orderBy(F.desc("n"), "source").limit(top).select(F.lit("source").alias("part"), F.col("source").alias("key"), "n")
+    for name, n in (counted or {}).items():
+        out = out.unionByName(n.select(F.lit("table").alias("part"), F.lit(name).alias("key"), "n"))
     for name, table in derived.items():
         out = out.unionByName(table.agg(F.count(F.lit(1)).alias("n")).select(F.lit("table").alias("part"), F.lit(name).alias("key"), "n"))
     return out
@@ -55,9 +58,14 @@ def centrality(store: DataFrame, closure: DataFrame) -> DataFrame:
 
 def centrality_of(store: DataFrame, below: DataFrame) -> DataFrame:
     """``centrality`` where the descendants are counted already: ``below`` has ancestor, h."""
-    t = store.filter("truth_value = 'T'")
-    ends = t.select(F.explode(F.array(F.struct(F.col("subject").alias("term"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("object").alias("term"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
-    deg = ends.filter(is_atomic("term")).groupBy(F.col("term").alias("subject")).agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+    deg = degrees(store)
     below = below.select(F.col("ancestor").alias("subject"), "h")
     h = F.coalesce("h", F.lit(0))
     return deg.join(below, "subject", "left").select("subject", "out_degree", "in_degree", h.alias("hierarchy_children"), (F.col("out_degree") + F.col("in_degree") + 2 * h).cast("double").alias("score"))
+
+
+def degrees(store: DataFrame) -> DataFrame:
+    """(subject, out_degree, in_degree) of every atomic term of a true fact."""
+    t = store.filter("truth_value = 'T'")
+    ends = t.select(F.explode(F.array(F.struct(F.col("subject").alias("term"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("object").alias("term"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
+    return ends.filter(is_atomic("term")).groupBy(F.col("term").alias("subject")).agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))

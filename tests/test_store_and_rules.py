@@ -393,6 +393,16 @@ def test_facts_with_bridges_lists_each_pair_once(spark, monkeypatch):
     assert got == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("most", [64, 1])
+def test_sourced_facts_are_the_facts(spark, most):
+    quads = [(i % 23, f"S {i % 5}", "g", "is_a", f"o{i % 3}", "TFM"[i % 3] if i % 7 else None, f"src{i % 4}" if i % 6 else None) for i in range(90)]
+    e = spark.createDataFrame([(100 - i, s, c, p, o, None, t, None, None, src, 0, 0, False, False) for i, (_, s, c, p, o, t, src) in enumerate(quads)], ENTRY)
+    want = store.facts(e).select("id", *store.QUAD, F.when(F.col("truth_value") == "T", "T").alias("truth_value"), "source")
+    got = store.sourced(e, most)
+    assert collected(got) == collected(want)
+    assert ("SortAggregate" in got._jdf.queryExecution().toString()) == (most == 1)
+
+
 def test_facts_with_bridges_packs_the_pairs_of_a_hub(spark, tmp_path, monkeypatch):
     """What is written is runs and short repeats: far less than a byte a pair."""
     monkeypatch.setattr(bridges, "TASK_PAIRS", 100_000)
